@@ -7,7 +7,7 @@ AS_OF = "TIMESTAMP '2001-01-01 00:00:00'"
 
 def r(expr: str, digits: int) -> str:
     k = f"{10**digits}.0::DOUBLE"
-    return f"(sign({expr})*floor(abs({expr})*{k}+0.5000001::DOUBLE)/{k}+0.0::DOUBLE)"
+    return f"(floor({expr}*{k}+0.5000001::DOUBLE)/{k})"
 
 
 def xsum(expr: str, digits: int = 2, where: str = "") -> str:

@@ -128,9 +128,9 @@ LOOKUP_COLUMNS = ["product_name", "promotion_type", "category", "competitor", "r
 SELECT promotion_id, product_name, total FROM hits ORDER BY last_verified_at DESC, rank_score DESC, promotion_id LIMIT 25 OFFSET 5""", "live")
 def lookup_terms(t: Tables) -> DataFrame:
     hits = Q.lookup(live(t, *LOOKUP_COLUMNS), "bolt Brand#1")
-    total = hits.agg(F.count(F.lit(1)).alias("total"))
+    total = hits.agg(F.count(F.lit(1))).scalar()
     order = [F.col("last_verified_at").desc(), F.col("rank_score").desc(), F.col("promotion_id")]
-    return Q.page(hits, limit=25, offset=5, order=order).select("promotion_id", "product_name").join(total, how="cross")
+    return Q.page(hits, limit=25, offset=5, order=order).select("promotion_id", "product_name").withColumn("total", total)
 
 
 @query("lookup_by_source", """SELECT l.promotion_id, coalesce(document_source_id, l.source_id) AS resolved_source_id,
@@ -166,7 +166,7 @@ def comparable_offers(t: Tables) -> DataFrame:
 
 
 @query("validity_classes", f"""SELECT validity_status, count(*) AS offers, count(*) FILTER (start_date IS NOT NULL OR end_date IS NOT NULL) AS stated,
- count(*) FILTER (end_date<={AS_OF}+INTERVAL 7 DAY) AS expiring, CAST(sum(CASE WHEN end_date IS NOT NULL THEN greatest(0, date_diff('day', CAST({AS_OF} AS DATE), CAST(end_date AS DATE))) END) AS BIGINT) AS days_left FROM (
+ count(*) FILTER (end_date<={AS_OF}+INTERVAL 7 DAY) AS expiring, coalesce(CAST(sum(CASE WHEN end_date IS NOT NULL THEN greatest(0, date_diff('day', CAST({AS_OF} AS DATE), CAST(end_date AS DATE))) END) AS BIGINT),0) AS days_left FROM (
  SELECT *, CASE WHEN end_date<={AS_OF}+INTERVAL 7 DAY THEN 'EXPIRING_SOON' WHEN start_date IS NOT NULL OR end_date IS NOT NULL THEN 'ACTIVE' ELSE 'ONGOING' END AS validity_status FROM live) GROUP BY 1""", "live")
 def validity_classes(t: Tables) -> DataFrame:
     from ..functions.dates import days_left
@@ -174,7 +174,7 @@ def validity_classes(t: Tables) -> DataFrame:
     return df.groupBy("validity_status").agg(
         F.count(F.lit(1)).alias("offers"), count_if(G.validity_filter("STATED_DATES", V.AS_OF)).alias("stated"),
         count_if(G.validity_filter("EXPIRING_SOON", V.AS_OF)).alias("expiring"),
-        F.sum(F.when(F.col("end_date").isNotNull(), days_left("end_date", V.AS_OF))).alias("days_left"))
+        F.coalesce(F.sum(F.when(F.col("end_date").isNotNull(), days_left("end_date", V.AS_OF))), F.lit(0)).alias("days_left"))
 
 
 @query("lifecycle_class", f"""SELECT CASE WHEN start_date IS NULL AND end_date IS NULL THEN 'UNKNOWN' WHEN TIMESTAMP '2000-06-01'<start_date THEN 'UPCOMING'

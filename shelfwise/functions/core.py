@@ -27,14 +27,19 @@ def days(n: int | float) -> Column:
 
 
 def round_half_up(value: Column, digits: int) -> Column:
-    """Half-up rounding away from zero in plain double arithmetic.
+    """Half-up rounding in plain double arithmetic.
 
     A nudge of 1e-7 units absorbs binary noise, so 12.285000000000002 and
-    12.284999999999998 round alike. Staying on doubles keeps it inside
-    whole-stage codegen without a BigDecimal per row.
+    12.284999999999998 round alike. ``value`` appears once, so nested roundings
+    stay small and inside whole-stage codegen, with no BigDecimal per row.
     """
     scale = float(10**digits)
-    return F.signum(value) * F.floor(F.abs(value) * scale + F.lit(0.5000001)) / F.lit(scale) + F.lit(0.0)
+    return F.floor(value * scale + F.lit(0.5000001)) / F.lit(scale)
+
+
+def positive(value: Column) -> Column:
+    """``value`` when above zero, else null; mentions ``value`` once so heavy expressions are not repeated."""
+    return F.nullif(F.greatest(value, F.lit(0.0)), F.lit(0.0))
 
 
 def exact_sum(value: Column, digits: int = 2) -> Column:

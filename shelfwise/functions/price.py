@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..config import CONDITIONAL_MECHANICS
-from .core import col, instant, round_half_up
+from .core import col, instant, positive, round_half_up
 
 
 def regular_pack_price(regular="regular_price", promo="promo_price", discount="discount_percentage") -> Column:
     """Shelf price before the offer: stated, else backed out of the promo price and the discount."""
     reg, pro, dis = col(regular), col(promo), col(discount)
     base = F.coalesce(reg, F.when((dis > 0) & (dis < 100), pro / (F.lit(1.0) - dis / 100.0)))
-    return F.when(base > 0, round_half_up(base, 2))
+    return positive(round_half_up(base, 2))
 
 
 def effective_pack_price(
@@ -24,18 +24,17 @@ def effective_pack_price(
     multi = F.coalesce(col(mechanic), F.lit("DISCOUNT")) == "BUY_X_GET_Y"
     base = F.coalesce(pro, F.when(dis > 0, reg * (F.lit(1.0) - dis / 100.0)), F.when(multi, reg))
     paid, given = col(buy).cast("double"), col(free).cast("double")
-    share = F.when(multi & (paid > 0) & (given != 0), base * paid / (paid + given)).otherwise(base)
-    return F.when(base > 0, round_half_up(share, 2))
+    share = F.when(multi & (paid > 0) & (given != 0), paid / (paid + given)).otherwise(F.lit(1.0))
+    return positive(round_half_up(base * share, 2))
 
 
 def per_100g(price: Column | str, grams: Column | str) -> Column:
-    p, g = col(price), col(grams)
-    return F.when((p > 0) & (g > 0), round_half_up(p / g * 100.0, 2))
+    return round_half_up(positive(col(price)) / positive(col(grams)) * 100.0, 2)
 
 
 def gap_pct(competitor: Column | str, own: Column | str) -> Column:
     c, o = col(competitor), col(own)
-    return F.when(o > 0, round_half_up((c - o) / o * 100.0, 1))
+    return round_half_up((c - o) / positive(o) * 100.0, 1)
 
 
 def stated_or_derived_discount(discount: Column | str, regular: Column | str, promo: Column | str) -> Column:

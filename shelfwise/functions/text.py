@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .core import blank_to_null, col, let, round_half_up
+from .core import blank_to_null, col, let, positive, round_half_up
 
 # Unit words and number shapes.
 WEIGHT_UNIT = r"(kg|kilogram|gram|gr|g)\b"
@@ -62,16 +62,12 @@ def _amount(text: Column) -> Column:
 def pack_grams(pack: Column | str) -> Column:
     """'300g' -> 300, '1,5 kg' -> 1500, '12x25g' -> 300; null when not a weight."""
     text = col(pack)
-
-    def weight(amount: Column, unit: Column) -> Column:
-        return F.when(F.lower(unit).startswith("k"), amount * 1000.0).otherwise(amount)
-
-    multi = round_half_up(
-        _amount(F.regexp_extract(text, MULTI_PACK, 1))
-        * weight(_amount(F.regexp_extract(text, MULTI_PACK, 2)), F.regexp_extract(text, MULTI_PACK, 3)), 2)
-    single = round_half_up(
-        weight(_amount(F.regexp_extract(text, SINGLE_PACK, 1)), F.regexp_extract(text, SINGLE_PACK, 2)), 2)
-    return F.when(text.rlike(MULTI_PACK), multi).when(text.rlike(SINGLE_PACK) & (single > 0), single)
+    factor = lambda pattern, group: F.when(
+        F.lower(F.regexp_extract(text, pattern, group)).startswith("k"), F.lit(1000.0)).otherwise(F.lit(1.0))
+    amount = lambda pattern, group: _amount(F.regexp_extract(text, pattern, group))
+    multi = amount(MULTI_PACK, 1) * amount(MULTI_PACK, 2) * factor(MULTI_PACK, 3)
+    single = amount(SINGLE_PACK, 1) * factor(SINGLE_PACK, 2)
+    return positive(round_half_up(F.coalesce(multi, single), 2))
 
 
 def pack_from_name(name: Column | str) -> Column:

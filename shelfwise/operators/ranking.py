@@ -80,3 +80,26 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """First ``n`` rows with their rank; the sort happens on the ``n`` survivors of each task only."""
     kept = df.orderBy(*order).limit(n)
     return kept.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+
+
+def change_history(change_events: DataFrame, *, as_of: AsOf, window_days: int = 90, event_type: str | None = None, limit: int = 100) -> DataFrame:
+    df = change_events.filter(F.col("observed_at") >= instant(as_of) - days(window_days))
+    if event_type:
+        df = df.filter(F.col("event_type") == event_type)
+    return df.orderBy(F.col("observed_at").desc(), "promotion_id").limit(limit)
+
+
+def detail_index(promotions: DataFrame, evidence: DataFrame, change_events: DataFrame, *, changes_kept: int = 50) -> DataFrame:
+    """Header of every promotion with its evidence count, newest evidence and how many changes the detail view lists."""
+    ev = evidence.groupBy("promotion_id").agg(F.count(F.lit(1)).alias("evidence_rows"), F.max("captured_at").alias("newest_evidence"))
+    ch = change_events.groupBy("promotion_id").agg(F.count(F.lit(1)).alias("changes"))
+    df = promotions.join(ev, "promotion_id", "left").join(ch, "promotion_id", "left")
+    return df.select(*promotions.columns, F.coalesce("evidence_rows", F.lit(0)).alias("evidence_rows"), "newest_evidence",
+                     F.least(F.coalesce("changes", F.lit(0)), F.lit(changes_kept)).cast("bigint").alias("changes_shown"))
+
+
+def latest_changes(change_events: DataFrame, promotion_ids: DataFrame, *, keep: int = 50) -> DataFrame:
+    """The newest ``keep`` changes of each requested promotion."""
+    wanted = change_events.join(promotion_ids.select("promotion_id"), "promotion_id", "left_semi")
+    order = W.partitionBy("promotion_id").orderBy(F.col("observed_at").desc(), "event_type", "field_name")
+    return wanted.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= keep)

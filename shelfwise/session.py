@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_private: dict[str, str] = {}
+
 
 def tuned(builder: SparkSession.Builder | None = None) -> SparkSession.Builder:
     builder = builder or SparkSession.builder.appName("shelfwise")
@@ -23,10 +26,11 @@ def tuned(builder: SparkSession.Builder | None = None) -> SparkSession.Builder:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the cluster names; make a private one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shelfwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if "folder" not in _private:
+        _private["folder"] = tempfile.mkdtemp(prefix="shelfwise-")
+        atexit.register(shutil.rmtree, _private["folder"], ignore_errors=True)
+    return _private["folder"]

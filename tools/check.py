@@ -31,7 +31,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def cell(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return "~"
     if isinstance(value, bool):
         return str(value)
