@@ -49,8 +49,6 @@ _SAME = rf"(?i){_DAY}\s*-\s*{_DAY}{_GAP}{_MONTH}{_YEAR}"
 _LENGTH = r"(?i)(\d+)\s*(minggu|pekan|hari)"
 _FROM = rf"(?i)(?:mulai|sejak)(?:\s+tanggal)?\s+{_DAY}{_GAP}{_MONTH}{_YEAR}"
 
-PERIOD = "struct<starts:date,ends:date>"
-
 
 def _groups(text: Column, pattern: str, count: int) -> Column:
     """Array of the capture groups of the first match; null when the pattern does not occur."""
@@ -96,17 +94,13 @@ def _single(raw: Column, default_year: Column) -> Column:
 
 def parse_local_date(text: Column | str, default_year: int | Column) -> Column:
     """'12 Mei 2026', '12/05/2026', '2026-05-12', 's/d 12 Mei' -> date; null when unreadable."""
-    return _single(col(text), _year_of(default_year))
+    return F.when(col(text).rlike(r"\d"), _single(col(text), _year_of(default_year)))
 
 
 def _period(starts: Column, ends: Column) -> Column:
     return F.struct(starts.cast("date").alias("starts"), ends.cast("date").alias("ends"))
 
 
-def _nothing() -> Column:
-    return F.lit(None).cast(PERIOD)
-
-
 def _by_duration(text: Column, default_year: Column) -> Column:
     def build(length: Column) -> Column:
         def ends(start_parts: Column) -> Column:
@@ -181,18 +175,23 @@ def parse_local_range(text: Column | str, default_year: int | Column) -> Column:
             return F.array_compact(F.array(deepest, inner, outer))
         return let(F.when(outer.isNotNull(), _strip_banner(_inner(outer))), with_inner)
 
-    tried = F.transform(let(_strip_banner(col(text)), candidates), lambda t: _one_text(t, year))
-    return F.try_element_at(F.array_compact(tried), F.lit(1))
+    def read(raw: Column) -> Column:
+        tried = F.transform(let(_strip_banner(raw), candidates), lambda t: _one_text(t, year))
+        return F.try_element_at(F.array_compact(tried), F.lit(1))
+
+    # every date has a digit, so other texts (and nulls) skip the grammar
+    return F.when(col(text).rlike(r"\d"), let(col(text), read))
 
 
 def banner_validity(values: list[Column], top_start: Column, top_end: Column, default_year: int | Column) -> Column:
     """First banner value that parses, else the top-level start/end pair."""
     year = _year_of(default_year)
-    named = F.coalesce(*[parse_local_range(v, year) for v in values]) if values else _nothing()
+    stated = F.array_compact(F.array(*values)) if values else F.array().cast("array<string>")
+    named = F.try_element_at(F.array_compact(F.transform(stated, lambda v: parse_local_range(v, year))), F.lit(1))
     holds_range = top_start.rlike(r" - | s/d | sd | sampai ")
     ranged = F.when(holds_range, parse_local_range(top_start, year))
-    starts = F.when(holds_range, ranged["starts"]).otherwise(_single(top_start, year))
-    ends = F.coalesce(ranged["ends"], _single(top_end, year))
+    starts = F.when(holds_range, ranged["starts"]).otherwise(parse_local_date(top_start, year))
+    ends = F.coalesce(ranged["ends"], parse_local_date(top_end, year))
     pair = F.when(starts.isNotNull() | ends.isNotNull(), _period(starts, ends))
     return F.coalesce(named, pair)
 

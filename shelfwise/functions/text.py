@@ -99,15 +99,15 @@ def guard_formula(value: Column | str) -> Column:
 
 def canonical_url(url: Column | str) -> Column:
     """Lower-case scheme and host, default path '/', no fragment."""
-    text = F.trim(col(url))
     head = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
-    path = F.regexp_extract(text, head, 3)
-    built = F.concat(
-        F.lower(F.regexp_extract(text, head, 1)), F.lit("://"), F.lower(F.regexp_extract(text, head, 2)),
-        F.when(path == "", F.lit("/")).otherwise(path),
-        F.when(F.regexp_extract(text, head, 4) == "?", F.lit("")).otherwise(F.regexp_extract(text, head, 4)),
-    )
-    return F.when(text.rlike(head), built).otherwise(text)
+
+    def build(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, head, i)
+        path = F.coalesce(F.nullif(part(3), F.lit("")), F.lit("/"))
+        tail = F.coalesce(F.nullif(part(4), F.lit("?")), F.lit(""))
+        return F.when(text.rlike(head), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path, tail)).otherwise(text)
+
+    return let(F.trim(col(url)), build)
 
 
 def trigrams(word: Column | str) -> Column:

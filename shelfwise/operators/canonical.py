@@ -21,6 +21,7 @@ from ..functions.core import round_half_up
 from ..functions.dates import periods_compatible
 from ..functions.identity import event_fingerprint
 from ..functions.score import change_weight
+from ..sources.staging import shuffle_width
 from .ranking import newest_per_key
 
 # Tracked fields in their order, and the class of each.
@@ -162,7 +163,7 @@ def fold_observations(observations: DataFrame, sources: DataFrame, fields: list[
     obs = observations.select("fold_key", "observation_id", "observed_at", "source_id", "confidence", *fields).dropDuplicates(["fold_key", "observation_id"])
     obs = _segments(obs, fields).join(trust, "source_id", "left").withColumn("reliability", F.coalesce("reliability", F.lit(DEFAULT_RELIABILITY)))
     order = ["fold_key", "segment", "observed_at", "observation_id"]
-    ordered = obs.repartition("fold_key", "segment").sortWithinPartitions(*order)
+    ordered = obs.repartition(shuffle_width(obs), "fold_key", "segment").sortWithinPartitions(*order)
     types = {f.name: f.dataType for f in obs.schema.fields}
     out_schema = T.StructType([
         T.StructField("fold_key", types["fold_key"]), T.StructField("segment", T.LongType()), T.StructField("observation_id", types["observation_id"]),

@@ -20,3 +20,18 @@ def stage(df: DataFrame, name: str = "frame") -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row heavy work at least one task per core.
+
+    Large inputs already have more splits than cores and pass through unchanged;
+    only a few-split input (one small file) is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """The session's shuffle width, for exchanges that feed Python and must keep their parallelism."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
