@@ -31,9 +31,9 @@ def stream_sliding_activity(t: Tables) -> DataFrame:
     return out.select(_ntz("window.start").alias("starts"), "event_type", "events")
 
 
-@query("stream_change_dedup", "SELECT user_id, event_type, CAST(value AS BIGINT) AS bucket FROM events GROUP BY ALL")
+@query("stream_change_dedup", "SELECT user_id, event_type, CAST(floor(value) AS BIGINT) AS bucket FROM events GROUP BY ALL")
 def stream_change_dedup(t: Tables) -> DataFrame:
-    keyed = events(t).withColumn("bucket", F.col("value").cast("bigint"))
+    keyed = events(t).withColumn("bucket", F.floor("value").cast("bigint"))
     # the whole month is one batch, so a month of memory makes each key unique
     out = J.run_to_table(J.emit_once(keyed.select("ts", "user_id", "event_type", "bucket"), keys=["user_id", "event_type", "bucket"], late="40 days"), "dedup")
     return out.select("user_id", "event_type", "bucket")
