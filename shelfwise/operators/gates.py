@@ -84,8 +84,10 @@ def live(promotions: DataFrame, evidence: DataFrame, sources: DataFrame, *, as_o
     promotion before the join; with selective row gates Spark's runtime bloom
     filter drops evidence of other promotions ahead of that shuffle.
     """
-    gates = row_gates(as_of, recency_days=recency_days, require_identity=require_identity, require_geography=require_geography)
-    candidates = promotions.filter(reduce(lambda a, b: a & b, gates.values()))
+    gates = row_gates(as_of, recency_days=recency_days, require_identity=require_identity, require_geography=require_geography, raw=True)
+    candidates = promotions
+    for gate in gates.values():  # plain comparisons, one filter each, so the ones on stored columns reach the scan
+        candidates = candidates.filter(gate)
     useful = evidence.filter((F.length(F.trim(F.col("evidence_text"))) > 0) | (F.col("evidence_type") == "APPROVED_FIELD"))
     df = _join_flags(candidates, evidence_flags(useful), sources)
     return df.filter(F.col("gate_evidence") & F.col("gate_source")).drop("gate_evidence", "gate_source").withColumn(

@@ -60,7 +60,7 @@ def promotions(t: Tables, *columns: str) -> DataFrame:
     need = set(wanted)
     line, qty = F.col("l_linenumber"), F.col("l_quantity")
     regular = round_half_up(F.col("l_extendedprice") / qty, 2)
-    df = t.lineitem.select(
+    df = t.facts("lineitem").select(
         "*", promotion_key().alias("promotion_id"), F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("source_id"), regular.alias("regular_price"),
         F.when(line == 2, round_half_up(regular * (F.lit(1.0) - F.col("l_discount") * 5.0), 2)).alias("promo_price"),
@@ -133,7 +133,7 @@ def promotions(t: Tables, *columns: str) -> DataFrame:
 def evidence(t: Tables) -> DataFrame:
     line, kind = F.col("l_linenumber"), F.col("l_returnflag")
     return (
-        t.lineitem.filter(F.col("l_tax") > 0)
+        t.facts("lineitem").filter(F.col("l_tax") > 0)
         .withColumn("k", F.explode(F.when(line.isin(2, 4), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         .select(
             promotion_key().alias("promotion_id"),
@@ -210,7 +210,7 @@ def own_products(t: Tables) -> DataFrame:
 
 def change_events(t: Tables) -> DataFrame:
     line = F.col("l_linenumber")
-    return t.lineitem.filter(F.col("l_discount") > 0).select(
+    return t.facts("lineitem").filter(F.col("l_discount") > 0).select(
         promotion_key().alias("promotion_id"),
         F.when(line == 1, "CREATED").when(line.isin(2, 3), "PRICE_OR_VALUE_CHANGED").when(line == 4, "MECHANIC_CHANGED")
          .when(line == 5, "DATES_CHANGED").otherwise("TERMS_CHANGED").alias("event_type"),
@@ -246,7 +246,7 @@ def decision_log(t: Tables) -> DataFrame:
 
 def observations(t: Tables) -> DataFrame:
     """Sightings of a product by its sources over time: the input of the canonical fold."""
-    return t.lineitem.select(
+    return t.facts("lineitem").select(
         F.col("l_partkey").alias("fold_key"), promotion_key().alias("observation_id"), F.col("l_orderkey").alias("document_id"),
         F.col("l_shipdate").alias("observed_at"), F.col("l_suppkey").alias("source_id"),
         F.when(F.col("l_tax") != 0.04, round_half_up(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("regular_price"),
