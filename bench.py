@@ -18,7 +18,7 @@ HEADLINE = [
     "top10_live", "gate_failures", "rescore_changed", "lookup_terms", "lifecycle_sweep", "own_offer_matches", "own_offer_top5",
     "comparison_products", "breakdown_grouping_sets", "simulate_scenarios", "regional_products", "shrinkflation", "weekly_trend",
     "competitor_overview", "bi_feed", "product_resolution", "identity_match", "lineage", "canonical_fold", "validation_split",
-    "local_range_parse", "payload_status", "content_dedup", "alert_episodes", "extraction_quality", "stream_weekly_activity",
+    "local_range_parse", "content_dedup", "alert_episodes", "extraction_quality", "stream_weekly_activity",
 ]
 
 
