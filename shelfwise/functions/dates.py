@@ -56,8 +56,9 @@ def _groups(text: Column, pattern: str, count: int) -> Column:
 
 
 def _month(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    return F.try_element_at(table, F.lower(name))
+    # one constant string instead of a node per month keeps the plan small
+    table = F.str_to_map(F.lit(",".join(f"{month}:{number}" for month, number in MONTHS.items())), F.lit(","), F.lit(":"))
+    return F.try_element_at(table, F.lower(name)).try_cast("int")
 
 
 def _full_year(text: Column) -> Column:
@@ -185,15 +186,24 @@ def parse_local_range(text: Column | str, default_year: int | Column) -> Column:
 
 def banner_validity(values: list[Column], top_start: Column, top_end: Column, default_year: int | Column) -> Column:
     """First banner value that parses, else the top-level start/end pair."""
-    year = _year_of(default_year)
-    stated = F.array_compact(F.array(*values)) if values else F.array().cast("array<string>")
-    named = F.try_element_at(F.array_compact(F.transform(stated, lambda v: parse_local_range(v, year))), F.lit(1))
     holds_range = top_start.rlike(r" - | s/d | sd | sampai ")
-    ranged = F.when(holds_range, parse_local_range(top_start, year))
-    starts = F.when(holds_range, ranged["starts"]).otherwise(parse_local_date(top_start, year))
-    ends = F.coalesce(ranged["ends"], parse_local_date(top_end, year))
-    pair = F.when(starts.isNotNull() | ends.isNotNull(), _period(starts, ends))
-    return F.coalesce(named, pair)
+    # one transform over all wordings, so the grammar enters the plan once
+    parsed = parse_local_ranges([F.when(holds_range, top_start), *values], default_year)
+
+    def choose(periods: Column) -> Column:
+        named = F.try_element_at(F.array_compact(F.slice(periods, 2, max(1, len(values)))), F.lit(1)) if values else F.lit(None)
+        ranged = periods[0]
+        starts = F.when(holds_range, ranged["starts"]).otherwise(parse_local_date(top_start, default_year))
+        ends = F.coalesce(ranged["ends"], parse_local_date(top_end, default_year))
+        pair = F.when(starts.isNotNull() | ends.isNotNull(), _period(starts, ends))
+        return F.coalesce(named, pair)
+
+    return let(parsed, choose)
+
+
+def parse_local_ranges(texts: list[Column], default_year: int | Column) -> Column:
+    """Array with the period of each text (null where unreadable)."""
+    return F.transform(F.array(*texts), lambda text: parse_local_range(text, default_year))
 
 
 def day_start(day: Column | str) -> Column:
