@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 from .batches import map_rows
 
-CHUNK_CHARS = 16_384
-OVERLAP_CHARS = 512
+CHUNK_CHARS = 65_536
+OVERLAP_CHARS = 1_024
 #: Characters after a boundary that can still move it: the longest contraction, less one, and one looked ahead at.
 REACH = 3
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The characters that the pattern's ``\s`` stands for (Unicode White_Space).
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @functools.cache
