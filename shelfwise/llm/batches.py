@@ -61,6 +61,23 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
     return df.mapInArrow(run, schema)
 
 
+def extend_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], extra: str) -> DataFrame:
+    """``df`` through Python with more columns behind: ``fn`` yields each row with the values of ``extra`` (DDL).
+
+    The columns of ``df`` travel as c0, c1 ..., so none of their names can clash; ``renamed`` gives them back.
+    """
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in plain.schema)
+    return map_rows(plain, fn, fields + extra)
+
+
+def renamed(extended: DataFrame, columns: list[str], *extra) -> DataFrame:
+    """What ``extend_rows`` gave, its first columns under their names and then ``extra``."""
+    from pyspark.sql import functions as F
+
+    return extended.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(columns)), *extra)
+
+
 def _arrow(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

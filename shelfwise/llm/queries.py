@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, byte_cnn, fm_index
+from .batches import renamed
 from .registry import query, table
 
 
@@ -13,3 +14,34 @@ from .registry import query, table
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.decode(bpe.encode(table(spark, folder, "documents")))
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_byte_cnn_language")
+def byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = byte_cnn.predict(docs.select("doc_id", "text"), byte_cnn.fit(docs))
+    return renamed(found.drop("c1"), ["doc_id"], "lang_pred", "score").select("doc_id", byte_cnn.held_out().alias("held_out"), "lang_pred", "score")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op10_fm_decontamination", oracle=f"""
+    WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS k
+           FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) t(i) WHERE len(w) > 0),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+    h AS (SELECT rid, i, n, item_id FROM (
+              SELECT rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+              FROM d, (SELECT DISTINCT n FROM bw) l, unnest(range(1, len(w) - n + 2)) t(i)) JOIN bw USING (n, k)),
+    p AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, n)) u(j) GROUP BY rid),
+    s AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM h) GROUP BY rid)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN p USING (rid) LEFT JOIN s USING (rid)""")
+def fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = fm_index.find_overlap(docs.select("doc_id", "text"), benchmark)
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(F.col("c0").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "contaminated")
