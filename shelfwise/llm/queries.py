@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, fm_index
+from . import bpe, byte_cnn, cover_tree, feistel_shards, fm_index, jaccard_regions, length_histogram, license_diagonals, main_text, sentence_spans
 from .batches import renamed
 from .registry import query, table
 
@@ -16,6 +16,61 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op2_main_text")
+def main_text_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
+
+
+@query("op3_feistel_shards")
+def feistel_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return feistel_shards.shard(table(spark, folder, "documents"))
+
+
+@query("op4_cover_tree_top_k", oracle="""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)) AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+          FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 50 = 0)
+    SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""")
+def cover_tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % cover_tree.QUERY_EVERY == 0)
+
+
+@query("op5_license_diagonals")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_diagonals.scan(table(spark, folder, "documents")).drop("spans")
+
+
+@query("op6_length_histogram")
+def length_histogram_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return length_histogram.histogram(length_histogram.lengths(table(spark, folder, "documents")))
+
+
+@query("op7_jaccard_join", oracle=r"""
+    WITH RECURSIVE d AS (
+        SELECT row_number() OVER () AS rid, doc_id,
+               coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    s AS (SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + least(len(w), 3) - 1), ' ') AS k
+          FROM d, unnest(range(1, len(w) - least(len(w), 3) + 2)) t(i) WHERE len(w) > 0),
+    z AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+    p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.rid < b.rid GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN z u ON u.rid = x JOIN z v ON v.rid = y WHERE 100 * o >= 90 * (u.n + v.n - o)),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+    SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, m.component_id
+    FROM d LEFT JOIN z USING (rid) JOIN (SELECT r.x AS rid, min(q.doc_id) AS component_id FROM r JOIN d q ON q.rid = r.y GROUP BY r.x) m USING (rid)""")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_regions.classes(table(spark, folder, "documents"))
+
+
+@query("op8_sentence_span_dedup")
+def sentence_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return sentence_spans.remove_repeats(docs).select("doc_id", "text", "n_sentences", "n_removed")
+
+
 @query("op9_byte_cnn_language")
 def byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
