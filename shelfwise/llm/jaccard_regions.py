@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import stage
 from .batches import map_rows
 from .components import components
-from .key_filter import likely
+from .key_filter import likely, unlikely
 
 SHINGLE_WORDS, LINK = 3, Fraction(9, 10)
 SAMPLE_WORDS = 4_000_000
@@ -124,6 +124,10 @@ class Members:
         return (F.least(n - i, m - j) * (p + q)) >= ((n + m) * p)
 
 
+def row_key(doc_id: str, text: str):
+    return F.xxhash64(F.col(doc_id), F.col(text))
+
+
 def _point(own: bytes) -> int:
     """The point of a set, from the bytes of its sorted shingles."""
     return xxhash.xxh3_64_intdigest(own) - (1 << 63)
@@ -168,21 +172,21 @@ def point_sets(docs: DataFrame, text: str, doc_id: str, k: int, members: Members
 
     def run(part: Iterator[tuple]) -> Iterator[tuple]:
         hashes = _Hashes()
-        for own_id, value, key in part:
+        for own_id, row_key, value, key in part:
             own = shingles(value, k, hashes)
             n = len(own)
             if not n:
-                yield own_id, key, 0, None, [], b""
+                yield own_id, row_key, key, 0, None, [], b""
                 continue
             shared = np.zeros(n, np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 shared = np.where(known[at] == own, counts[at], 0)
             first = np.lexsort((own, shared))[:members.missing(n) + 1]
-            yield own_id, key, n, _point(own.tobytes()), own[first].view(np.int64), _sketch(own)
+            yield own_id, row_key, key, n, _point(own.tobytes()), own[first].view(np.int64), _sketch(own)
 
-    return map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("text_key")), run,
-                    f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_key string, n bigint, point bigint, pivots array<bigint>, sketch binary")
+    return map_rows(docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"), F.md5(text).alias("text_key")), run,
+                    f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row_key bigint, text_key string, n bigint, point bigint, pivots array<bigint>, sketch binary")
 
 
 def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, members: Members) -> DataFrame:
@@ -220,7 +224,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, mem
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, threshold: Fraction = LINK,
          sample_words: int = SAMPLE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, point, component) and links (a, b, n_a, n_b, overlap) between points.
+    """Rows (doc_id, row_key, n_shingles, point, component) and links (a, b, n_a, n_b, overlap) between points.
 
     ``point`` is equal for equal sets, null without words; ``component`` is equal for points that links connect.
     """
@@ -274,7 +278,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     links = links.unionAll(second.filter(is_link))
     parts = components(links)
     named = rows.join(parts.select(F.col("node").alias("point"), "component"), "point", "left").withColumn("component", F.coalesce("component", "point"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "point", "component"), links
+    return named.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "point", "component"), links
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
@@ -282,3 +286,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     rows, _ = join(docs, doc_id=doc_id, **options)
     names = rows.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
     return rows.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: the least id, then the least key of id and text. Rows without words all stay.
+
+    Only rows that may have to go are looked up; the others stay where they are.
+    """
+    rows = stage(join(docs, doc_id=doc_id, text=text, **options)[0].filter(F.col("component").isNotNull()).select("component", "doc_id", "row_key"), "members")
+    ids = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    leading = rows.join(ids, "component").filter(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("row_key").alias("lead"))
+    goes = stage(rows.join(leading, "component").filter(F.col("row_key") != F.col("lead")).select("row_key").distinct(), "goes")
+    again = stage(rows.groupBy("row_key").count().filter("count > 1").select("row_key").join(goes, "row_key", "left_anti"), "again")
+    keyed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    keyed = keyed.withColumn("row_key", row_key(f"c{docs.columns.index(doc_id)}", f"c{docs.columns.index(text)}"))
+    either = stage(goes.unionAll(again), "either")
+    kept = unlikely(keyed, "row_key", either).unionAll(likely(keyed, "row_key", either).join(goes, "row_key", "left_anti").select(*keyed.columns))
+    if not again.isEmpty():
+        kept = kept.join(again, "row_key", "left_anti").select(*keyed.columns).unionAll(kept.join(again, "row_key", "left_semi").select(*keyed.columns).dropDuplicates(["row_key"]))
+    return kept.drop("row_key").toDF(*docs.columns)
