@@ -201,7 +201,8 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, mem
     close = stage(map_rows(met.select("a", "b", "n_a", "n_b", "s_a", "s_b"), sketched, "a bigint, b bigint"), "close")
     needed = close.select(F.col("a").alias("point")).unionAll(close.select(F.col("b").alias("point"))).distinct()
     keys = stage(points.join(needed, "point", "left_semi").select("text_key"), "keys")
-    found = likely(texts.select("text", F.md5("text").alias("text_key")), "text_key", keys).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
+    # An inner join, the keys being distinct: Spark would move a semi join below the filter in front of it.
+    found = likely(texts.select("text", F.md5("text").alias("text_key")), "text_key", keys).join(keys, "text_key").dropDuplicates(["text_key"])
 
     def make(part: Iterator[tuple]) -> Iterator[tuple]:
         hashes = _Hashes()
@@ -288,6 +289,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     return rows.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not among ``keys``. An outer join, as Spark would move an anti join below the filter in front of it."""
+    return rows.join(keys.withColumn("listed", F.lit(True)), "row_key", "left").filter(F.col("listed").isNull()).select(*rows.columns)
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with one row of each component: the least id, then the least key of id and text. Rows without words all stay.
 
@@ -301,7 +307,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     keyed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     keyed = keyed.withColumn("row_key", row_key(f"c{docs.columns.index(doc_id)}", f"c{docs.columns.index(text)}"))
     either = stage(goes.unionAll(again), "either")
-    kept = unlikely(keyed, "row_key", either).unionAll(likely(keyed, "row_key", either).join(goes, "row_key", "left_anti").select(*keyed.columns))
+    kept = unlikely(keyed, "row_key", either).unionAll(_without(likely(keyed, "row_key", either), goes))
     if not again.isEmpty():
         kept = kept.join(again, "row_key", "left_anti").select(*keyed.columns).unionAll(kept.join(again, "row_key", "left_semi").select(*keyed.columns).dropDuplicates(["row_key"]))
     return kept.drop("row_key").toDF(*docs.columns)
