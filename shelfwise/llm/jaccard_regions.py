@@ -57,6 +57,7 @@ SHINGLE_WORDS, LINK = 3, Fraction(9, 10)
 SAMPLE_WORDS = 4_000_000
 RINGS = 10
 FAR = RINGS + 1
+REGION_FILTER_BITS = 1 << 24
 
 #: Bytes of a UTF-8 text with A-Z lower-cased.
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
@@ -237,10 +238,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
 
     # Regions: the first pivots of each point, with the pivot's place in it.
     copies = points.select("point", "n", F.posexplode("pivots").alias("place", "pivot"))
+    shared = stage(copies.groupBy("pivot").count().filter("count > 1").select("pivot"), "shared")
     rank = F.col("place").cast("bigint") * (1 << 44) + F.pmod("point", F.lit(1 << 44))
-    regions = (copies.groupBy("pivot").agg(F.min_by("point", rank).alias("centre"), F.min("point").alias("low"), F.max("point").alias("high"))
-               .filter(F.col("low") < F.col("high")).select("pivot", "centre"))
-    inside = stage(copies.join(regions, "pivot"), "regions")
+    held = stage(likely(copies, "pivot", shared, REGION_FILTER_BITS).join(shared, "pivot"), "held")
+    inside = stage(held.join(held.groupBy("pivot").agg(F.min_by("point", rank).alias("centre")), "pivot"), "regions")
 
     # Step 1: members against the document pivot of their region.
     spokes = inside.filter(F.col("point") != F.col("centre")).select(F.col("point").alias("a"), F.col("centre").alias("b")).distinct()
