@@ -68,7 +68,7 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_sentence_span_dedup")
 def sentence_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return sentence_spans.remove_repeats(docs).select("doc_id", "text", "n_sentences", "n_removed")
+    return sentence_spans.remove_repeats(docs)
 
 
 @query("op9_byte_cnn_language")

@@ -19,6 +19,7 @@ columns stay as they are. Sentences are compared by their words with A-Z lower-c
 
 from __future__ import annotations
 
+import array
 import re
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from .batches import extend_rows, map_rows, renamed
 from .key_filter import likely, unlikely
 
 RUN_SENTENCES, RUN_WORDS = 3, 25
-LONG_WORDS, STRETCH_WORDS = 20, 6
+LONG_WORDS, STRETCH_WORDS = 24, 12
 SPAN_FILTER_BITS = 1 << 24
 
 _END = re.compile(r"[.!?…。！？]+[\"')\]»”’]*\s+|\n\s*")
@@ -40,27 +41,60 @@ _WORD = re.compile(r"\S+")
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, stop, words) of each sentence with at least one word; between them is white space only."""
-    found: list[tuple[int, int, int]] = []
+class _Hashes(dict):
+    """Hash of each lower-cased word, computed once per task; emptied when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return value
+
+    def of(self, words: list[str]) -> list[int]:
+        if len(self) > 1_000_000:
+            self.clear()
+        return list(map(self.__getitem__, words))
+
+
+def lowered(text: str) -> str:
+    return text.encode().translate(_LOWER).decode()
+
+
+def _ends(text: str) -> list[int]:
+    return [*(m.end() for m in _END.finditer(text)), len(text)]
+
+
+def _firsts(words: list[str], hashes: _Hashes) -> list[int]:
+    """Where the pieces of a long sentence begin: at its start and at the least hash of every stretch of words."""
+    own, found = hashes.of(words), {0}
+    for i in range(len(own) - STRETCH_WORDS + 1):
+        part = own[i:i + STRETCH_WORDS]
+        found.add(i + part.index(min(part)))
+    return sorted(found)
+
+
+def said(low: str, hashes: _Hashes) -> list[list[str]]:
+    """The words of each sentence of a lower-cased text."""
+    found: list[list[str]] = []
     at = 0
-    for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        piece = text[at:stop]
-        n = len(piece.split())
-        if n > LONG_WORDS:
-            found += _cut(text, at, stop)
-        elif n:
-            found.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip()), n))
+    for stop in _ends(low):
+        words = low[at:stop].split()
+        if len(words) > LONG_WORDS:
+            firsts = _firsts(words, hashes)
+            found += [words[a:b] for a, b in zip(firsts, [*firsts[1:], len(words)])]
+        elif words:
+            found.append(words)
         at = stop
     return found
 
 
-def _cut(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text, start, stop)]
-    hashes = np.array([xxhash.xxh3_64_intdigest(text[a:b].encode().translate(_LOWER)) for a, b in words], np.uint64)
-    least = np.lib.stride_tricks.sliding_window_view(hashes, STRETCH_WORDS).argmin(axis=1) + np.arange(len(hashes) - STRETCH_WORDS + 1)
-    firsts = sorted({0, *least.tolist()})
-    return [(words[a][0], words[b - 1][1], b - a) for a, b in zip(firsts, [*firsts[1:], len(words)])]
+def sentences(text: str) -> list[tuple[int, int, int]]:
+    """(start, stop, words) of the same sentences in the text; between them is white space only."""
+    found, hashes, low = [], _Hashes(), lowered(text)
+    places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    at = 0
+    for words in said(low, hashes):
+        found.append((places[at][0], places[at + len(words) - 1][1], len(words)))
+        at += len(words)
+    return found
 
 
 def shortest_runs(words: list[int], run: int, run_words: int) -> list[tuple[int, int]]:
@@ -73,12 +107,12 @@ def shortest_runs(words: list[int], run: int, run_words: int) -> list[tuple[int,
                    *((a, b + 1) for a, b in zip(firsts.tolist(), places.tolist()) if a >= 0)})
 
 
-def run_hashes(text: str, run: int, run_words: int) -> Iterator[tuple[int, int, int]]:
+def run_hashes(text: str, run: int, run_words: int, hashes: _Hashes) -> list[tuple[int, int, int]]:
     """(hash, first sentence, sentences) of each run."""
-    own = sentences(text)
-    raw = np.array([xxhash.xxh3_64_intdigest(b" ".join(text[a:b].encode().translate(_LOWER).split())) for a, b, _ in own], np.uint64)
-    for first, stop in shortest_runs([n for _, _, n in own], run, run_words):
-        yield xxhash.xxh3_64_intdigest(raw[first:stop].tobytes()) - (1 << 63), first, stop - first
+    own = said(lowered(text), hashes)
+    raw = array.array("Q", [xxhash.xxh3_64_intdigest(" ".join(words).encode()) for words in own]).tobytes()
+    return [(xxhash.xxh3_64_intdigest(raw[8 * first:8 * stop]) - (1 << 63), first, stop - first)
+            for first, stop in shortest_runs([len(words) for words in own], run, run_words)]
 
 
 def without(text: str, covered: set[int]) -> str:
@@ -98,15 +132,19 @@ def row_key(doc_id: str, text: str):
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
     """(row_key, runs): the runs of a row, as (first, size) of sentences, that are repeats."""
     def runs(part: Iterator[tuple]) -> Iterator[tuple]:
+        hashes = _Hashes()
         for own_id, key, value in part:
-            for value_hash, first, size in run_hashes(value, run, run_words):
-                yield value_hash, own_id, key, first, size
+            found = run_hashes(value, run, run_words, hashes)
+            if found:
+                yield own_id, key, *zip(*found)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-    spans = stage(map_rows(rows, runs, f"run bigint, doc_id {kind}, row_key bigint, first int, size int"), "spans")
+    each = map_rows(rows, runs, f"doc_id {kind}, row_key bigint, run array<bigint>, first array<int>, size array<int>")
+    spans = stage(each.select("doc_id", "row_key", F.inline(F.arrays_zip("run", "first", "size"))), "spans")
     several = stage(spans.groupBy("run").count().filter("count > 1").select("run"), "several")
-    again = stage(likely(spans, "run", several, SPAN_FILTER_BITS).join(several, "run", "left_semi"), "again")
+    # An inner join, the hashes being distinct: Spark would move a semi join below the filter in front of it.
+    again = stage(likely(spans, "run", several, SPAN_FILTER_BITS).join(several, "run"), "again")
     # The first row: least id, rows without one last, then least key; in it the least place. Plain minima combine before the shuffle.
     ids = again.groupBy("run").agg(F.min("doc_id").alias("first_id"))
     leading = again.join(ids, "run").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
@@ -117,18 +155,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: in
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with their text cut, columns in order, and behind them ``n_sentences`` and ``n_removed``."""
+    """The rows of ``docs`` with their text cut, columns in order, and behind them ``n_removed``, the number of sentences removed."""
     columns, at = docs.columns, docs.columns.index(text)
     found = repeats(docs, doc_id, text, run, run_words)
     plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     keyed = plain.withColumn("row_key", row_key(f"c{columns.index(doc_id)}", f"c{at}"))
-    joined = (likely(keyed, "row_key", found).join(found, "row_key", "left").select(*plain.columns, "runs")
-              .unionByName(unlikely(keyed, "row_key", found).select(*plain.columns), allowMissingColumns=True))
 
     def cut(part: Iterator[tuple]) -> Iterator[tuple]:
         for *row, own in part:
             covered = {place for x in own or () for place in range(x["first"], x["first"] + x["size"])}
-            total = len(sentences(row[at])) if row[at] else 0
-            yield *row[:at], without(row[at], covered) if covered else row[at], *row[at + 1:], None, total, len(covered)
+            yield *row[:at], without(row[at], covered) if covered else row[at], *row[at + 1:], None, len(covered)
 
-    return renamed(extend_rows(joined, cut, "n_sentences bigint, n_removed bigint"), columns, "n_sentences", "n_removed")
+    maybe = likely(keyed, "row_key", found).join(found, "row_key", "left").select(*plain.columns, "runs")
+    whole = unlikely(keyed, "row_key", found).select(*plain.columns, F.lit(0).cast("bigint").alias("n_removed"))
+    names = [F.col(f"c{i}").alias(name) for i, name in enumerate(columns)]
+    return renamed(extend_rows(maybe, cut, "n_removed bigint"), columns, "n_removed").unionAll(whole.select(*names, "n_removed"))
