@@ -115,7 +115,7 @@ SELECT promotion_id AS id, product_id, retailer_id, geography_region AS region,
 VIEWS["decision_log"] = ((), f"""
 SELECT p_partkey AS own_id, {offer_key('s_nationkey', 'p_name', PACK, CATEGORY)} AS offer_key, l_discount>=0.05::DOUBLE AS accepted,
  l_shipdate AS reviewed_at, {PID} AS log_id FROM lineitem LEFT JOIN part ON l_partkey=p_partkey LEFT JOIN supplier ON l_suppkey=s_suppkey
-WHERE l_quantity=1 AND l_tax<=0.01::DOUBLE AND l_linenumber<>7""")
+WHERE l_tax<=0.01::DOUBLE AND l_linenumber<>7""")
 VIEWS["decisions"] = (("decision_log",), """SELECT own_id, offer_key, accepted FROM (SELECT *, row_number() OVER (PARTITION BY own_id, offer_key
  ORDER BY reviewed_at DESC, log_id DESC) rn FROM decision_log) WHERE rn=1""")
 VIEWS["gates"] = (("promotions", "evidence", "sources"), f"""

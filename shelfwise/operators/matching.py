@@ -11,8 +11,11 @@ cell, split into price blocks so that one crowded cell is not one task.
 ``scope`` carries allow-lists: an unrestricted product looks at scope ``*``; a
 product restricted to brands or SKUs looks at those brands' or SKUs' scopes.
 
-Analyst rejections are handled exactly and separately: only products that
-rejected something, and only offer keys somebody rejected, meet one by one.
+Analyst rejections are handled exactly and by their keys. What a product's
+rejections take away is a join of the rejections with the offers of their keys.
+What stays cheapest for a product with r rejections is among the first r + 1 keys
+of its band, so it looks at a shortlist of that length, in classes of r by powers
+of two. Nobody meets offers that somebody else rejected.
 """
 
 from __future__ import annotations
@@ -150,17 +153,17 @@ def count_below(prices: DataFrame, probes: DataFrame) -> DataFrame:
         *CELL, "value", (F.col("before") + F.col("run")).alias("n_lt"), (F.col("before") + F.col("run") + F.col("same")).alias("n_le"))
 
 
-def offer_prices(offers: DataFrame, contested_keys: DataFrame) -> DataFrame:
-    """Offers per (cell, unit price), and how many of them nobody rejected: combines map-side."""
-    marked = offers.select(*CELL, "unit", "offer_key").join(contested_keys.withColumn("_c", F.lit(True)), "offer_key", "left")
-    return marked.groupBy(*CELL, "unit").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_c").isNull(), 1)).alias("n_plain"))
+def offer_prices(offers: DataFrame) -> DataFrame:
+    """Offers per (cell, unit price): combines map-side."""
+    return offers.groupBy(*CELL, "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
 def offer_totals(prices: DataFrame) -> DataFrame:
-    cents = F.floor(F.col("unit") * 100 + F.lit(0.5000001)).cast("bigint")
-    return prices.groupBy(*CELL).agg(
-        F.sum("n").alias("cell_n"), F.sum(cents * F.col("n")).alias("cell_cents"), F.min("unit").alias("cell_min"),
-        F.min(F.when(F.col("n_plain") > 0, F.col("unit"))).alias("cell_plain_min"))
+    return prices.groupBy(*CELL).agg(F.sum("n").alias("cell_n"), F.sum(_cents("unit") * F.col("n")).alias("cell_cents"), F.min("unit").alias("cell_min"))
+
+
+def _cents(unit: str) -> Column:
+    return F.floor(F.col(unit) * 100 + F.lit(0.5000001)).cast("bigint")
 
 
 def below_in_band(bands: DataFrame, prices: DataFrame, values: DataFrame) -> DataFrame:
@@ -194,15 +197,13 @@ def price_position(own: DataFrame, offers: DataFrame, decisions: DataFrame, prob
     ``own`` carries own_id, scope, category, grams and the probe columns. Adds
     ``matches``, ``cents``, ``cheapest_unit`` and ``<probe>_lt`` / ``<probe>_le``.
     """
-    no = decisions.filter(~F.col("accepted")).select("own_id", "offer_key").distinct()
-    contested_keys = no.select("offer_key").distinct()
-    prices = offer_prices(offers, contested_keys)
+    no = rejections(decisions)
+    prices = offer_prices(offers)
     totals = offer_totals(prices)
     bands = band(own, totals, low=low, high=high)
     key = ["scope", "category", "own_grams"]
     per_cell = bands.join(totals, CELL).groupBy(*key).agg(
-        F.sum("cell_n").alias("n"), F.sum("cell_cents").alias("cents"), F.min("cell_min").alias("cheapest"),
-        F.min("cell_plain_min").alias("cheapest_plain"))
+        F.sum("cell_n").alias("n"), F.sum("cell_cents").alias("cents"), F.min("cell_min").alias("cheapest"))
     products = own.select("own_id", "scope", "category", F.col("grams").alias("own_grams"), *probes)
     below = below_in_band(bands, prices, products.select(*key, F.explode(F.array(*probes)).alias("value")))
     joined = products.join(per_cell, key, "left")
@@ -210,30 +211,64 @@ def price_position(own: DataFrame, offers: DataFrame, decisions: DataFrame, prob
         joined = joined.join(below.select(*key, F.col("value").alias(p), F.col("n_lt").alias(f"{p}_lt"), F.col("n_le").alias(f"{p}_le")),
                              key + [p], "left")
     counts = [f"{p}_{side}" for p in probes for side in ("lt", "le")]
-    reviewed = _reviewed(products, offers, no, contested_keys, probes, low, high)
+    reviewed = _taken_away(products, offers, no, probes, low, high)
+    left = cheapest_left(own, offers, no, 1, low=low, high=high).groupBy("own_id").agg(F.min("unit").alias("left_min"))
+    reviewers = no.select("own_id").distinct().withColumn("is_reviewer", F.lit(True))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     # a product with several scopes (several allowed brands) adds them up
-    kept_min = F.when(F.col("is_reviewed"), F.least("cheapest_plain", "allowed_min")).otherwise(F.col("cheapest"))
-    return joined.join(reviewed, ["own_id", "scope"], "left").groupBy("own_id").agg(
+    summed = joined.join(reviewed, ["own_id", "scope"], "left").groupBy("own_id").agg(
         F.sum(zero("n") - zero("r_n")).alias("matches"), F.sum(zero("cents") - zero("r_cents")).alias("cents"),
-        *[F.sum(zero(c) - zero(f"r_{c}")).alias(c) for c in counts], F.min(kept_min).alias("cheapest_unit"))
+        *[F.sum(zero(c) - zero(f"r_{c}")).alias(c) for c in counts], F.min("cheapest").alias("cheapest"))
+    return summed.join(reviewers, "own_id", "left").join(left, "own_id", "left").withColumn(
+        "cheapest_unit", F.when(F.col("is_reviewer"), F.col("left_min")).otherwise(F.col("cheapest"))).drop("cheapest", "is_reviewer", "left_min")
+
 
+def rejections(decisions: DataFrame) -> DataFrame:
+    return decisions.filter(~F.col("accepted")).select("own_id", "offer_key").distinct()
 
-def _reviewed(products: DataFrame, offers: DataFrame, no: DataFrame, contested_keys: DataFrame, probes: list[str],
-              low: float, high: float) -> DataFrame:
-    """For products that rejected something: what their rejections take away, and the cheapest contested offer they still allow."""
-    keyed = offers.join(contested_keys, "offer_key", "left_semi").groupBy(*CELL, "unit", "offer_key").agg(F.count(F.lit(1)).alias("c_n"))
-    reviewers = products.join(no.select("own_id").distinct(), "own_id", "left_semi")
+
+def _taken_away(products: DataFrame, offers: DataFrame, no: DataFrame, probes: list[str], low: float, high: float) -> DataFrame:
+    """What the rejections of a product take away in its band: one row per rejection and price of the rejected key."""
+    keyed = offers.groupBy(*CELL, "unit", "offer_key").agg(F.count(F.lit(1)).alias("c_n"))
     ratio = F.col("grams") / F.col("own_grams")
-    near = reviewers.join(keyed, ["scope", "category"], "left").withColumn("c_n", F.when((ratio >= low) & (ratio <= high), F.col("c_n")))
-    near = near.join(no.withColumn("_no", F.lit(True)), ["own_id", "offer_key"], "left")
-    lost = F.when(F.col("_no"), F.col("c_n"))
-    cents = F.floor(F.col("unit") * 100 + F.lit(0.5000001)).cast("bigint")
-    return near.groupBy("own_id", "scope").agg(
-        F.sum(lost).alias("r_n"), F.sum(cents * lost).alias("r_cents"), F.lit(True).alias("is_reviewed"),
-        F.min(F.when(F.col("_no").isNull() & F.col("c_n").isNotNull(), F.col("unit"))).alias("allowed_min"),
-        *[F.sum(F.when(F.col("unit") < F.col(p), lost)).alias(f"r_{p}_lt") for p in probes],
-        *[F.sum(F.when(F.col("unit") <= F.col(p), lost)).alias(f"r_{p}_le") for p in probes])
+    lost = products.join(no, "own_id").join(keyed, ["offer_key", "scope", "category"]).filter((ratio >= low) & (ratio <= high))
+    return lost.groupBy("own_id", "scope").agg(
+        F.sum("c_n").alias("r_n"), F.sum(_cents("unit") * F.col("c_n")).alias("r_cents"),
+        *[F.sum(F.when(F.col("unit") < F.col(p), F.col("c_n"))).alias(f"r_{p}_lt") for p in probes],
+        *[F.sum(F.when(F.col("unit") <= F.col(p), F.col("c_n"))).alias(f"r_{p}_le") for p in probes])
+
+
+def _by_rejections(rows: DataFrame, no: DataFrame, key: str) -> list[tuple[int, DataFrame]]:
+    """(most rejections of its rows, rows) for each class of rejection counts by powers of two; rows without any are left out.
+
+    The classes that occur are at most as many as a count has bits.
+    """
+    counted = rows.join(no.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key).withColumn("_class", F.ceil(F.log2("_r")).cast("int"))
+    found = sorted(r["_class"] for r in counted.select("_class").distinct().collect())
+    return [(2 ** c, counted.filter(F.col("_class") == c).drop("_r", "_class")) for c in found]
+
+
+def cheapest_left(own: DataFrame, offers: DataFrame, no: DataFrame, keep: int, *, low: float = PACK_RATIO_LOW, high: float = PACK_RATIO_HIGH) -> DataFrame:
+    """For products that rejected something: the ``keep`` cheapest offers of their band that they did not reject.
+
+    Of the first r + keep offer keys of a band at least ``keep`` are left to a product with r rejections.
+    """
+    key = ["scope", "category", "own_grams"]
+    cols = ["own_id", "promotion_id", "unit", "offer_key"]
+    products = own.select("own_id", "scope", "category", F.col("grams").alias("own_grams")).distinct()
+    slim = offers.select(*CELL, "unit", "promotion_id", "offer_key")
+    first = slim.groupBy(*CELL, "offer_key").agg(F.min(F.struct("unit", "promotion_id")).alias("first"))
+    per_key = best_of_cell(slim, keep, "offer_key")
+    per_own = W.partitionBy("own_id", "scope").orderBy("first")
+    found = products.join(per_key.limit(0), ["scope", "category"]).select(*cols)
+    for most, people in _by_rejections(products, no, "own_id"):
+        in_cell = first.withColumn("_rn", F.row_number().over(W.partitionBy(*CELL).orderBy("first"))).filter(F.col("_rn") <= most + keep).drop("_rn")
+        sizes = band(people.withColumnRenamed("own_grams", "grams"), in_cell, low=low, high=high)
+        short = sizes.join(in_cell, CELL).withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy("first"))).filter(F.col("_rn") <= most + keep)
+        free = people.join(short.select(*key, "grams", "offer_key", "first"), key).join(no, ["own_id", "offer_key"], "left_anti")
+        kept = free.withColumn("_rn", F.row_number().over(per_own)).filter(F.col("_rn") <= keep)
+        found = found.unionByName(kept.select("own_id", *CELL, "offer_key").join(per_key, [*CELL, "offer_key"]).select(*cols))
+    return found
 
 
 def match_summary(own: DataFrame, offers: DataFrame, decisions: DataFrame, *, low: float = PACK_RATIO_LOW,
@@ -254,28 +289,24 @@ def top_matches(own: DataFrame, offers: DataFrame, decisions: DataFrame, *, keep
                 low: float = PACK_RATIO_LOW, high: float = PACK_RATIO_HIGH) -> DataFrame:
     """The ``keep`` cheapest matches of every own product, rejected offers excluded, confirmed ones marked.
 
-    Offers nobody rejected: the shortlist of a band is the best of its cells'
-    shortlists, computed once per own pack size. Offers somebody rejected: kept
-    per offer key and checked product by product.
+    Without rejections, the shortlist of a band is the best of its cells' shortlists,
+    computed once per own pack size. With rejections, see ``cheapest_left``.
     """
     key = ["scope", "category", "own_grams"]
-    no = decisions.filter(~F.col("accepted")).select("own_id", "offer_key")
-    contested_keys = no.select("offer_key").distinct()
+    no = rejections(decisions)
     slim = offers.select(*CELL, "unit", "promotion_id", "offer_key")
-    plain = best_of_cell(slim.join(contested_keys, "offer_key", "left_anti"), keep)
-    contested = best_of_cell(slim.join(contested_keys, "offer_key", "left_semi"), keep, "offer_key")
-    bands = band(own, slim.select(*CELL).distinct(), low=low, high=high)
+    best = best_of_cell(slim, keep)
+    bands = band(own, best.select(*CELL).distinct(), low=low, high=high)
     by_size = W.partitionBy(*key).orderBy("unit", "promotion_id")
-    plain_short = bands.join(plain, CELL).withColumn("_rn", F.row_number().over(by_size)).filter(F.col("_rn") <= keep).drop("_rn")
-    contested_short = bands.join(contested, CELL)
+    short = bands.join(best, CELL).withColumn("_rn", F.row_number().over(by_size)).filter(F.col("_rn") <= keep).drop("_rn")
     products = own.select("own_id", "scope", "category", F.col("grams").alias("own_grams"))
+    untouched = products.join(no.select("own_id").distinct(), "own_id", "left_anti")
     cols = ["own_id", "promotion_id", "unit", "offer_key"]
-    a = products.join(plain_short, key).select(*cols)
-    b = products.join(contested_short, key).select(*cols).join(no, ["own_id", "offer_key"], "left_anti").select(*cols)
+    both = untouched.join(short, key).select(*cols).unionByName(cheapest_left(own, offers, no, keep, low=low, high=high))
     per_own = W.partitionBy("own_id").orderBy("unit", "promotion_id")
-    best = a.unionByName(b).withColumn("position", F.row_number().over(per_own)).filter(F.col("position") <= keep)
+    top = both.withColumn("position", F.row_number().over(per_own)).filter(F.col("position") <= keep)
     yes = decisions.filter("accepted").select("own_id", "offer_key", F.lit(True).alias("confirmed"))
-    return best.join(yes, ["own_id", "offer_key"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+    return top.join(yes, ["own_id", "offer_key"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
 
 
 def match_details(top: DataFrame, own: DataFrame, offers: DataFrame, *, as_of: AsOf) -> DataFrame:
@@ -305,34 +336,29 @@ def undercut_flags(offers: DataFrame, own: DataFrame, decisions: DataFrame, targ
     """Adds ``undercuts``: some own product in the band, not rejecting this offer, has ``target`` above the offer's unit price.
 
     "Some product is dearer" is "the dearest product is dearer", so one maximum per
-    own pack size answers it for every offer.
+    own pack size answers it for every offer that nobody rejected. An offer key with
+    k rejections has a willing product, if any, among the k + 1 dearest of its band.
     """
     products = own.filter(F.col("own_unit").isNotNull()).select(
-        "own_id", F.lit("*").alias("scope"), "category", "grams", target.alias("target"))
-    no = decisions.filter(~F.col("accepted")).select("own_id", "offer_key")
-    reviewers = no.select("own_id").distinct()
+        "own_id", F.lit("*").alias("scope"), "category", "grams", target.alias("target")).filter(F.col("target").isNotNull()).distinct()
+    no = rejections(decisions).join(products.select("own_id").distinct(), "own_id", "left_semi")
     cells = offers.select(F.lit("*").alias("scope"), "category", "grams").distinct()
     bands = band(products, cells, low=low, high=high)
-    key = ["scope", "category", "own_grams"]
-
-    def ceiling(rows: DataFrame, name: str) -> DataFrame:
-        peak = rows.groupBy("scope", "category", F.col("grams").alias("own_grams")).agg(F.max("target").alias("peak"))
-        return bands.join(peak, key).groupBy("category", "grams").agg(F.max("peak").alias(name))
-
-    everyone = ceiling(products, "peak_all")
-    neutral = ceiling(products.join(reviewers, "own_id", "left_anti"), "peak_neutral")
-    contested = offers.join(no.select("offer_key").distinct(), "offer_key", "left_semi").select("offer_key", "category", "grams").distinct()
-    active = products.join(reviewers, "own_id", "left_semi").withColumnRenamed("grams", "own_grams")
-    near = contested.join(bands.select("category", "own_grams", "grams"), ["category", "grams"]).join(
-        active.select("own_id", "category", "own_grams", "target"), ["category", "own_grams"])
-    willing = near.join(no, ["own_id", "offer_key"], "left_anti").groupBy("offer_key", "category", "grams").agg(
-        F.max("target").alias("peak_willing"))
-    contested = contested.withColumn("is_contested", F.lit(True)).join(willing, ["offer_key", "category", "grams"], "left")
-    df = (offers.join(everyone, ["category", "grams"], "left").join(neutral, ["category", "grams"], "left")
-          .join(contested, ["offer_key", "category", "grams"], "left"))
-    peak = F.when(F.col("is_contested"), F.greatest("peak_neutral", "peak_willing")).otherwise(F.col("peak_all"))
-    return df.withColumn("undercuts", F.coalesce(F.col("unit") < peak, F.lit(False))).drop(
-        "peak_all", "peak_neutral", "peak_willing", "is_contested")
+    key = ["category", "own_grams"]
+    sized = products.withColumnRenamed("grams", "own_grams")
+    peak = sized.groupBy(*key).agg(F.max("target").alias("peak"))
+    everyone = bands.join(peak, key).groupBy("category", "grams").agg(F.max("peak").alias("peak_all"))
+    asked = offers.select("offer_key", "category", "grams").distinct()
+    willing = asked.limit(0).withColumn("peak_willing", F.lit(None).cast("double")).withColumn("is_contested", F.lit(True))
+    for most, keys in _by_rejections(asked, no, "offer_key"):
+        dearest = sized.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("target"), "own_id"))).filter(F.col("_rn") <= most + 1).drop("_rn")
+        in_band = W.partitionBy("category", "grams").orderBy(F.desc("target"), "own_id")
+        short = bands.join(dearest, key).select("category", "grams", "own_id", "target").withColumn("_rn", F.row_number().over(in_band)).filter(F.col("_rn") <= most + 1)
+        free = keys.join(short, ["category", "grams"]).join(no, ["own_id", "offer_key"], "left_anti").groupBy("offer_key", "category", "grams").agg(F.max("target").alias("peak_willing"))
+        willing = willing.unionByName(keys.withColumn("is_contested", F.lit(True)).join(free, ["offer_key", "category", "grams"], "left").select(*willing.columns))
+    df = offers.join(everyone, ["category", "grams"], "left").join(willing, ["offer_key", "category", "grams"], "left")
+    peak = F.when(F.col("is_contested"), F.col("peak_willing")).otherwise(F.col("peak_all"))
+    return df.withColumn("undercuts", F.coalesce(F.col("unit") < peak, F.lit(False))).drop("peak_all", "peak_willing", "is_contested")
 
 
 def apply_scoped_prices(own: DataFrame, scoped: DataFrame, retailers: DataFrame, *, retailer: str | None, region: str | None,

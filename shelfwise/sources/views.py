@@ -235,7 +235,7 @@ def scoped_prices(t: Tables) -> DataFrame:
 def decision_log(t: Tables) -> DataFrame:
     """Analyst verdicts on own-product / offer pairs, every recorded version."""
     from ..functions.text import offer_key
-    base = (t.lineitem.filter((F.col("l_quantity") == 1) & (F.col("l_tax") <= 0.01) & (F.col("l_linenumber") != 7))
+    base = (t.lineitem.filter((F.col("l_tax") <= 0.01) & (F.col("l_linenumber") != 7))
             .join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left")
             .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left"))
     return base.select(
