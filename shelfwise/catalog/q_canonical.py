@@ -101,8 +101,8 @@ IDENTITY = ["promotion_id", "product_id", "product_name", "brand", "competitor",
 
 
 def identified(t: Tables) -> DataFrame:
-    from ..functions.geo import identity_token
-    p = V.promotions(t, *IDENTITY).withColumn("_geo", identity_token("geography", F.col("geography_region")))
+    from ..functions.geo import geography_key
+    p = V.promotions(t, *IDENTITY).withColumn("_geo", geography_key("geography", F.col("geography_region")))
     day = lambda c: F.to_date(c)
     return p.withColumns({
         "fingerprint": identity_fingerprint({"competitor_id": "competitor_id", "product_id": "product_id", "retailer_id": "retailer_id", "product_name": "product_name",

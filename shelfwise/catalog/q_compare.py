@@ -150,7 +150,7 @@ def comparison_export(t: Tables) -> DataFrame:
 
 _FLAGS = """flagged AS (SELECT f.*, coalesce(f.brand,f.competitor,'Unknown') AS b, coalesce(f.competitor,f.brand,'Unknown') AS c, EXISTS (SELECT 1 FROM own o LEFT JOIN decisions d ON d.own_id=o.own_id AND d.offer_key=f.offer_key
  WHERE o.category=f.category AND o.own_unit IS NOT NULL AND f.grams/o.grams>=0.5::DOUBLE AND f.grams/o.grams<=2.0::DOUBLE AND coalesce(d.accepted,true) AND f.unit<coalesce(o.own_promo_unit,o.own_unit)) AS undercuts FROM offers f)"""
-_AVG_UNIT, _AVG_DISC = r(xavg("unit"), 2), r(xavg("discount_percentage", 1), 1)
+_AVG_UNIT, _AVG_DISC = r(xavg("unit"), 2), r(xavg("discount_percentage", 4), 1)
 _MEASURES = f"count(*) AS offers, count(*) FILTER (undercuts) AS undercut_offers, {_AVG_UNIT} AS avg_unit, min(unit) AS min_unit, max(unit) AS max_unit, {_AVG_DISC} AS avg_discount"
 
 

@@ -50,16 +50,16 @@ def link_discovery(t: Tables) -> DataFrame:
     return DOC.anchors(t.pages).filter("same_host").groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query("pagination_top", f"SELECT page_id, {_CANON} AS link, 1::INTEGER AS position, CAST(coalesce(nullif(regexp_extract(url,'[?&]page=([0-9]+)',1),''),'-1') AS INTEGER) AS number FROM pages")
+@query("pagination_top", f"SELECT page_id, {_CANON} AS link, 1::INTEGER AS position, CAST(coalesce(nullif(regexp_extract(url,'[?&]page=([0-9]+)',1),''),'-1') AS INTEGER) AS number, true AS within_budget FROM pages")
 def pagination_top(t: Tables) -> DataFrame:
     found = DOC.discover_links(t.pages)
-    return found.select("page_id", "link", "position", F.coalesce("number", F.lit(-1)).alias("number"))
+    return found.select("page_id", "link", "position", F.coalesce("number", F.lit(-1)).alias("number"), "within_budget")
 
 
 @query("merged_urls", f"""+ c AS (SELECT page_id, {_CANON} AS link, lower(regexp_extract(url,'^[a-z]+://([^/?#]+)',1)) AS host FROM pages), u AS (SELECT host, link, min(page_id) AS p FROM c GROUP BY 1,2)
-SELECT host, link, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY p, link) AS place FROM u) WHERE place<=10""".replace("+ c AS", "WITH c AS", 1))
+SELECT host, link, CASE WHEN place<=10 THEN place ELSE 0 END::INTEGER AS place, place<=10 AS within_budget FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY p, link) AS place FROM u)""".replace("+ c AS", "WITH c AS", 1))
 def merged_urls(t: Tables) -> DataFrame:
-    return DOC.merge_urls(t.pages, DOC.discover_links(t.pages))
+    return DOC.merge_urls(t.pages, DOC.discover_links(t.pages)).withColumn("place", F.coalesce("place", F.lit(0)))
 
 
 @query("doc_type", """SELECT page_id, 'HTML' AS by_content, CASE page_id%4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'IMAGE' WHEN 2 THEN 'PDF' ELSE 'UNKNOWN' END AS mixed FROM pages""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.core import count_if, round_half_up
 from ..functions.dates import lifecycle
-from ..functions.geo import display_channel
+from ..functions.geo import shown_channel
 from ..functions.price import comparable_offer
 from ..operators import gates as G, ranking as R, search as Q
 from ..sources import views as V
@@ -147,7 +147,7 @@ def lookup_by_source(t: Tables) -> DataFrame:
     shown = F.when(F.col("evidence_type") == "APPROVED_FIELD", "Approved field observation").otherwise(F.col("registered_name"))
     return found.join(names, "resolved_source_id", "left").select(
         "promotion_id", "resolved_source_id", shown.alias("source_name"), "source_url",
-        display_channel("channel", "retailer_channel_type").alias("shown_channel"))
+        shown_channel("channel", "retailer_channel_type").alias("shown_channel"))
 
 
 @query("strict_valid", f"""SELECT promotion_id FROM promotions WHERE status IN ('ACTIVE','UNKNOWN') AND NOT has_open_conflict

@@ -71,7 +71,7 @@ def alerts_resolved(t: Tables) -> DataFrame:
     return MON.resolve_alerts(before, V.sources(t), as_of=V.AS_OF).filter(F.col("resolved_at").isNotNull()).select("subject_id")
 
 
-@query("commercial_alerts", f"""+ d AS (SELECT * FROM live WHERE discount_percentage>=20 AND promotion_id NOT IN (SELECT {PID} FROM lineitem WHERE l_linestatus='F') ORDER BY last_seen_at DESC, promotion_id DESC LIMIT 50), b AS (SELECT * FROM live WHERE promotion_type='BUY_X_GET_Y' ORDER BY last_seen_at DESC, promotion_id DESC LIMIT 50),
+@query("commercial_alerts", f"""+ d AS (SELECT * FROM live WHERE discount_percentage>=20 AND promotion_id NOT IN (SELECT {PID} FROM lineitem WHERE l_linestatus='F')), b AS (SELECT * FROM live WHERE promotion_type='BUY_X_GET_Y'),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY own_id ORDER BY unit, promotion_id) rn FROM matches) WHERE rn<=5 AND gap<=-15.0)
 SELECT 'PRICE_SHOCK' AS kind, concat('price-shock:',promotion_id,':',CAST({r('discount_percentage', 0)} AS INTEGER)) AS fingerprint FROM d UNION ALL SELECT 'DISRUPTIVE_PROMO', concat('disruptive-promo:',promotion_id,':bogo:',buy_quantity,'x',free_quantity) FROM b
 UNION ALL SELECT 'COMPETITOR_UNDERCUT', concat('competitor-undercut:',own_id,':',promotion_id,':',CAST(abs({r('gap', 0)}) AS INTEGER)) FROM t""", "live matches")

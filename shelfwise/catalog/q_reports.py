@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
-from ..functions.geo import display_channel
+from ..functions.geo import shown_channel
 from ..operators import matching as M, ranking as R, reports as P
 from ..plans import comparison as C
 from ..sources import views as V
@@ -35,7 +35,7 @@ def retailer_distribution(t: Tables) -> DataFrame:
 
 
 @query("weekly_trend", f"""+ p AS (SELECT competitor, CAST(date_trunc('week', first_seen_at) AS DATE) AS week, discount_percentage FROM promotions WHERE competitor IS NOT NULL AND first_seen_at>={AS_OF}-INTERVAL 56 DAY),
-cells AS (SELECT competitor, week, count(*) AS promotions, {r(xavg('discount_percentage', 1), 1)} AS avg_discount FROM p WHERE week BETWEEN DATE '2000-11-13' AND DATE '2001-01-01' GROUP BY 1,2),
+cells AS (SELECT competitor, week, count(*) AS promotions, {r(xavg('discount_percentage', 4), 1)} AS avg_discount FROM p WHERE week BETWEEN DATE '2000-11-13' AND DATE '2001-01-01' GROUP BY 1,2),
 tot AS (SELECT competitor, CAST(sum(promotions) AS BIGINT) AS total FROM cells GROUP BY 1), wk AS (SELECT DATE '2000-11-13' + CAST(i*7 AS INTEGER) AS week FROM range(8) x(i))
 SELECT t.competitor, CAST(w.week AS VARCHAR) AS week, coalesce(c.promotions,0) AS promotions, avg_discount, total FROM tot t CROSS JOIN wk w LEFT JOIN cells c ON c.competitor=t.competitor AND c.week=w.week""", "promotions")
 def weekly_trend(t: Tables) -> DataFrame:
@@ -45,7 +45,7 @@ def weekly_trend(t: Tables) -> DataFrame:
 
 @query("competitor_overview", f"""+ m AS (SELECT competitor_id, promotion_type, row_number() OVER (PARTITION BY competitor_id ORDER BY count(*) DESC, promotion_type) rn FROM live GROUP BY 1,2),
 ch AS (SELECT competitor_id, count(*) AS n FROM change_events e JOIN promotions p ON p.promotion_id=e.promotion_id WHERE observed_at>={AS_OF}-INTERVAL 7 DAY AND event_type<>'CREATED' GROUP BY 1)
-SELECT c.competitor_id, c.name, count(l.promotion_id) AS live_promotions, {r(xavg('l.discount_percentage', 1, ' FILTER (l.discount_percentage<>0)'), 1)} AS avg_discount, max(m.promotion_type) AS top_mechanic,
+SELECT c.competitor_id, c.name, count(l.promotion_id) AS live_promotions, {r(xavg('l.discount_percentage', 4, ' FILTER (l.discount_percentage<>0)'), 1)} AS avg_discount, max(m.promotion_type) AS top_mechanic,
  count(DISTINCT l.retailer_id) AS outlets, count(*) FILTER (l.first_seen_at>={AS_OF}-INTERVAL 7 DAY) AS new_this_week, coalesce(max(ch.n),0) AS changes_this_week,
  count(*) FILTER (l.end_date>={AS_OF} AND l.end_date<={AS_OF}+INTERVAL 7 DAY) AS ending_soon
 FROM competitors c LEFT JOIN live l ON l.competitor_id=c.competitor_id LEFT JOIN m ON m.competitor_id=c.competitor_id AND rn=1 LEFT JOIN ch ON ch.competitor_id=c.competitor_id WHERE c.is_active GROUP BY 1,2""", "live competitors promotions change_events")
@@ -216,7 +216,7 @@ def ranked_export(t: Tables) -> DataFrame:
     stated = F.col("start_date").isNotNull() | F.col("end_date").isNotNull()
     return best.join(newest, "promotion_id", "left").select(
         "rank", "promotion_id", F.col("product_name").alias("product"), "competitor", "category", F.col("retailer").alias("outlet"),
-        display_channel("channel", "retailer_channel_type").alias("channel"), "regular_price", F.col("discount_percentage").alias("discount"),
+        shown_channel("channel", "retailer_channel_type").alias("channel"), "regular_price", F.col("discount_percentage").alias("discount"),
         F.when(stated, "Yes").otherwise("No").alias("dates_stated"), F.col("rank_score").alias("score"), "source_url", "evidence")
 
 
@@ -226,14 +226,13 @@ def own_product_list(t: Tables) -> DataFrame:
                                     "promo_type").orderBy("category", "name", "own_id")
 
 
-@query("change_history", f"""SELECT promotion_id, event_type, field_name, observed_at FROM change_events WHERE observed_at>={AS_OF}-INTERVAL 30 DAY AND event_type='DATES_CHANGED'
- ORDER BY observed_at DESC, promotion_id LIMIT 100""", "change_events")
+@query("change_history", f"""SELECT promotion_id, event_type, field_name, observed_at FROM change_events WHERE observed_at>={AS_OF}-INTERVAL 30 DAY AND event_type='DATES_CHANGED'""", "change_events")
 def change_history(t: Tables) -> DataFrame:
-    return R.change_history(V.change_events(t), as_of=V.AS_OF, window_days=30, event_type="DATES_CHANGED", limit=100).select(
+    return R.change_history(V.change_events(t), as_of=V.AS_OF, window_days=30, event_type="DATES_CHANGED").select(
         "promotion_id", "event_type", "field_name", "observed_at")
 
 
 @query("promotion_detail", """+ p AS (SELECT promotion_id, product_name, competitor FROM promotions), e AS (SELECT promotion_id, count(*) AS evidence_rows, max(captured_at) AS newest_evidence FROM evidence GROUP BY 1), c AS (SELECT promotion_id, count(*) AS changes FROM change_events GROUP BY 1)
-SELECT p.promotion_id, product_name, competitor, coalesce(evidence_rows,0) AS evidence_rows, newest_evidence, least(coalesce(changes,0),50) AS changes_shown FROM p LEFT JOIN e ON e.promotion_id=p.promotion_id LEFT JOIN c ON c.promotion_id=p.promotion_id""", "promotions evidence change_events")
+SELECT p.promotion_id, product_name, competitor, coalesce(evidence_rows,0) AS evidence_rows, newest_evidence, coalesce(changes,0) AS changes FROM p LEFT JOIN e ON e.promotion_id=p.promotion_id LEFT JOIN c ON c.promotion_id=p.promotion_id""", "promotions evidence change_events")
 def promotion_detail(t: Tables) -> DataFrame:
     return R.detail_index(V.promotions(t, "promotion_id", "product_name", "competitor"), V.evidence(t), V.change_events(t))

@@ -131,7 +131,7 @@ def review_rows_new(t: Tables) -> DataFrame:
     return RES.review_rows(out, pending_queue(t)).select("observation_id", "priority", "reason")
 
 
-@query("review_worklist", f"WITH {_QUEUE} SELECT review_id, entity_type, priority, created_at FROM q WHERE status='PENDING' ORDER BY priority DESC, created_at DESC, review_id LIMIT 100")
+@query("review_worklist", f"WITH {_QUEUE} SELECT review_id, entity_type, priority, created_at FROM q WHERE status='PENDING'")
 def review_worklist(t: Tables) -> DataFrame:
     return RES.review_worklist(pending_queue(t)).select("review_id", "entity_type", "priority", "created_at")
 

@@ -96,21 +96,21 @@ def banner_fallback(t: Tables) -> DataFrame:
 @query("region_class", "SELECT coalesce(geography,'') AS geography, geography_region AS region, count(*) AS promotions FROM promo_base GROUP BY 1,2", "promo_base")
 def region_class(t: Tables) -> DataFrame:
     p = V.promotions(t, "geography").groupBy("geography").agg(F.count(F.lit(1)).alias("promotions"))
-    return p.select(F.coalesce("geography", F.lit("")).alias("geography"), GEO.normalize_region("geography").alias("region"), "promotions")
+    return p.select(F.coalesce("geography", F.lit("")).alias("geography"), GEO.region_code("geography").alias("region"), "promotions")
 
 
 @query("geography_token", """SELECT coalesce(CASE WHEN geography_region IN ('STORE_SPECIFIC','UNMAPPED','MULTI_REGION') THEN concat(geography_region,':',lower(geography)) WHEN geography_region='UNKNOWN' THEN NULL ELSE geography_region END,'') AS token,
  count(*) AS promotions FROM promo_base GROUP BY 1""", "promo_base")
 def geography_token(t: Tables) -> DataFrame:
     p = V.promotions(t, "geography").groupBy("geography").agg(F.count(F.lit(1)).alias("n"))
-    return p.groupBy(F.coalesce(GEO.identity_token("geography"), F.lit("")).alias("token")).agg(F.sum("n").alias("promotions"))
+    return p.groupBy(F.coalesce(GEO.geography_key("geography"), F.lit("")).alias("token")).agg(F.sum("n").alias("promotions"))
 
 
 @query("channel_class", """SELECT coalesce(CASE channel WHEN 'E-commerce' THEN 'E-commerce' WHEN 'Modern Trade' THEN 'Modern Trade' END, CASE retailer_channel_type WHEN 'MINIMARKET' THEN 'Modern Trade' WHEN 'SUPERMARKET' THEN 'Modern Trade'
  WHEN 'ECOMMERCE' THEN 'E-commerce' WHEN 'WHOLESALE' THEN 'Wholesale' END, 'N/A') AS channel, count(*) AS promotions FROM promotions GROUP BY 1""", "promotions")
 def channel_class(t: Tables) -> DataFrame:
     p = V.promotions(t, "channel", "retailer_channel_type").groupBy("channel", "retailer_channel_type").agg(F.count(F.lit(1)).alias("n"))
-    return p.groupBy(GEO.display_channel("channel", "retailer_channel_type").alias("channel")).agg(F.sum("n").alias("promotions"))
+    return p.groupBy(GEO.shown_channel("channel", "retailer_channel_type").alias("channel")).agg(F.sum("n").alias("promotions"))
 
 
 @query("formula_guard", "SELECT s_suppkey AS source_id, CASE WHEN s_nationkey%3=0 THEN concat('''=',s_name) WHEN s_nationkey%3=1 THEN concat('''@',s_name) ELSE s_name END AS cell FROM supplier")
@@ -201,7 +201,7 @@ def order_submissions(t: Tables) -> DataFrame:
 
 
 @query("submission_worklist", """SELECT o_orderkey AS submission_id, 'NATION_'||(o_custkey%30) AS competitor, 'RETAILER_'||(o_custkey%25) AS retailer, o_orderpriority AS product, o_orderpriority IN ('1-URGENT','2-HIGH') AS has_photo,
- CASE o_orderstatus WHEN 'F' THEN 'CORRECTION' WHEN 'O' THEN 'PENDING' ELSE 'APPROVED' END AS status FROM (SELECT * FROM orders ORDER BY o_orderstatus='O' DESC, o_orderdate DESC, o_orderkey LIMIT 200)""".replace(
+ CASE o_orderstatus WHEN 'F' THEN 'CORRECTION' WHEN 'O' THEN 'PENDING' ELSE 'APPROVED' END AS status FROM orders""".replace(
     "'NATION_'||(o_custkey%30) AS competitor", "CASE WHEN o_custkey%30<25 THEN 'NATION_'||(o_custkey%30) END AS competitor"))
 def submission_worklist(t: Tables) -> DataFrame:
     return VAL.submission_worklist(order_submissions(t), V.competitors(t), V.retailers(t)).select(

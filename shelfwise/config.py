@@ -25,7 +25,6 @@ SHRINK_UNIT_FLOOR = -2.0
 
 ALERT_PRICE_SHOCK = 20.0
 ALERT_UNDERCUT_GAP = -15.0
-ALERT_LIMIT = 50
 
 RETENTION_DOCUMENT_DAYS, RETENTION_DOCUMENT_FLOOR = 90, 14
 RETENTION_AUDIT_DAYS, RETENTION_RUN_DAYS, RETENTION_ALERT_DAYS = 365, 180, 180

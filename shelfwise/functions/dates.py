@@ -14,25 +14,22 @@ from .core import AsOf, col, instant, let
 
 # Month names and abbreviations.
 MONTHS = {
-    "januari": 1, "january": 1, "jan": 1,
-    "februari": 2, "febuari": 2, "pebruari": 2, "february": 2, "feb": 2,
-    "maret": 3, "march": 3, "mar": 3,
+    "januari": 1, "jan": 1, "january": 1,
+    "februari": 2, "feb": 2, "febuari": 2, "february": 2, "pebruari": 2,
+    "maret": 3, "mar": 3, "march": 3,
     "april": 4, "apr": 4,
     "mei": 5, "may": 5,
-    "juni": 6, "june": 6, "jun": 6,
-    "juli": 7, "july": 7, "jul": 7,
-    "agustus": 8, "august": 8, "ags": 8, "agt": 8, "agu": 8, "aug": 8,
-    "september": 9, "sept": 9, "sep": 9,
-    "oktober": 10, "october": 10, "okt": 10, "oct": 10,
-    "november": 11, "nopember": 11, "nov": 11, "nop": 11,
-    "desember": 12, "december": 12, "des": 12, "dec": 12,
+    "juni": 6, "jun": 6, "june": 6,
+    "juli": 7, "jul": 7, "july": 7,
+    "agustus": 8, "ags": 8, "agt": 8, "agu": 8, "aug": 8, "august": 8,
+    "september": 9, "sep": 9, "sept": 9,
+    "oktober": 10, "okt": 10, "oct": 10, "october": 10,
+    "november": 11, "nov": 11, "nopember": 11, "nop": 11,
+    "desember": 12, "des": 12, "dec": 12, "december": 12,
 }
-# Words in front of a validity period.
-BANNER_WORDS = [
-    r"periode\s*promosi", r"periode\s*promo", "periode", r"promo\s*jsm", "berlaku", "valid", r"katalog\s*super\s*hemat",
-    r"promo\s*koran", r"promo\s*mingguan", r"edisi\s*ke-?\d+", r"minggu\s*ke-?\d+", r"minggu\s*\d+", r"week\s*\d+",
-    r"promo\s*\d+\s*(?:minggu|pekan)", r"periode\s*\d+\s*(?:minggu|pekan)",
-]
+# The words in front of a validity period, as one pattern.
+BANNER_WORDS = (r"periode\s*promosi|periode\s*promo|periode|promo\s*jsm|berlaku|valid|katalog\s*super\s*hemat|promo\s*koran|promo\s*mingguan|"
+                r"edisi\s*ke-?\d+|minggu\s*ke-?\d+|minggu\s*\d+|week\s*\d+|promo\s*\d+\s*(?:minggu|pekan)|periode\s*\d+\s*(?:minggu|pekan)")
 BANNER_KEYS = ["banner_date", "validity_period", "valid_period", "period", "periode", "flyer_period", "flyer_date",
                "header_date", "catalog_period", "dates", "date_banner", "promo_period"]
 
@@ -43,7 +40,7 @@ _DMY = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](?:'?(\d{2,4}))?$"
 _YMD = r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})$"
 _UNTIL = r"(?i)^(?:s/?d\.?|sampai|hingga|maks\.?)\s+"
 _UNTIL_OR_ON = r"(?i)^(?:s/?d\.?|sampai|hingga|maks\.?|tgl\.?|tanggal)\s+"
-_BANNER = r"(?i)^(?:" + "|".join(BANNER_WORDS) + r")\s*[:\-–—]?\s*"
+_BANNER = rf"(?i)^(?:{BANNER_WORDS})\s*[:\-–—]?\s*"
 _CROSS = rf"(?i){_DAY}{_GAP}{_MONTH}{_YEAR}\s*-\s*{_DAY}{_GAP}{_MONTH}{_YEAR}"
 _SAME = rf"(?i){_DAY}\s*-\s*{_DAY}{_GAP}{_MONTH}{_YEAR}"
 _LENGTH = r"(?i)(\d+)\s*(minggu|pekan|hari)"

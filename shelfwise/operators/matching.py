@@ -38,7 +38,7 @@ CELL = ["scope", "category", "grams"]
 def priced_offers(live: DataFrame, *, as_of: AsOf, validity: str | None = None) -> DataFrame:
     """Live offers that are strictly valid, unconditional and have a price per 100 g."""
     df = live.filter(strictly_valid(as_of) & comparable_offer() & validity_filter(validity, as_of))
-    df = df.withColumn("grams", pack_grams("pack_size")).withColumn("pack_price", effective_pack_price())
+    df = df.withColumn("category", F.upper(F.trim("category"))).withColumn("grams", pack_grams("pack_size")).withColumn("pack_price", effective_pack_price())
     df = df.withColumn("unit", per_100g("pack_price", "grams")).filter(F.col("unit").isNotNull())
     df = df.withColumn("regular_pack", regular_pack_price())
     return df.withColumns({
@@ -49,7 +49,8 @@ def priced_offers(live: DataFrame, *, as_of: AsOf, validity: str | None = None)
 
 def own_catalogue(own: DataFrame, *, as_of: AsOf) -> DataFrame:
     """Own products with grams, regular unit price and, while a promotion runs, promo unit price."""
-    df = own.withColumn("grams", F.coalesce(F.when(F.col("pack_grams") > 0, F.col("pack_grams")), pack_grams("pack_size")))
+    df = own.withColumn("category", F.upper(F.trim("category")))
+    df = df.withColumn("grams", F.coalesce(F.when(F.col("pack_grams") > 0, F.col("pack_grams")), pack_grams("pack_size")))
     df = df.withColumn("has_promo", own_promo_active(as_of))
     df = df.withColumn("promo_pack", F.when(F.col("has_promo"), effective_pack_price(
         discount=F.lit(None).cast("double"), mechanic="promo_type")))
@@ -92,11 +93,11 @@ def scope_own(own: DataFrame, *, brand_map: DataFrame | None = None, sku_map: Da
     """
     df = own
     if brand_map is not None:
-        allowed = brand_map.select(F.trim("brand").alias("brand"), F.upper(F.trim(F.col("allowed_brand"))).alias("_b")).distinct()
-        df = df.join(allowed, "brand", "left")
+        allowed = brand_map.select(F.trim("brand").alias("_brand"), F.upper(F.trim(F.col("allowed_brand"))).alias("_b")).distinct()
+        df = df.join(allowed, F.trim(df["brand"]) == F.col("_brand"), "left").drop("_brand")
     if sku_map is not None:
-        allowed = sku_map.select(F.trim("sku").alias("sku"), F.trim(F.col("allowed_sku")).alias("_s")).distinct()
-        df = df.join(allowed, "sku", "left")
+        allowed = sku_map.select(F.trim("sku").alias("_sku"), F.trim(F.col("allowed_sku")).alias("_s")).distinct()
+        df = df.join(allowed, F.trim(df["sku"]) == F.col("_sku"), "left").drop("_sku")
     b = F.concat(F.lit("B:"), F.col("_b")) if brand_map is not None else F.lit(None).cast("string")
     s = F.concat(F.lit("S:"), F.col("_s")) if sku_map is not None else F.lit(None).cast("string")
     return df.withColumn("scope", F.coalesce(F.concat(s, F.lit("|"), b), s, b, F.lit("*"))).drop("_b", "_s")
@@ -264,10 +265,11 @@ def cheapest_left(own: DataFrame, offers: DataFrame, no: DataFrame, keep: int, *
     for most, people in _by_rejections(products, no, "own_id"):
         in_cell = first.withColumn("_rn", F.row_number().over(W.partitionBy(*CELL).orderBy("first"))).filter(F.col("_rn") <= most + keep).drop("_rn")
         sizes = band(people.withColumnRenamed("own_grams", "grams"), in_cell, low=low, high=high)
-        short = sizes.join(in_cell, CELL).withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy("first"))).filter(F.col("_rn") <= most + keep)
-        free = people.join(short.select(*key, "grams", "offer_key", "first"), key).join(no, ["own_id", "offer_key"], "left_anti")
-        kept = free.withColumn("_rn", F.row_number().over(per_own)).filter(F.col("_rn") <= keep)
-        found = found.unionByName(kept.select("own_id", *CELL, "offer_key").join(per_key, [*CELL, "offer_key"]).select(*cols))
+        in_band = sizes.join(in_cell, CELL).groupBy(*key, "offer_key").agg(F.min("first").alias("first"))
+        short = in_band.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy("first"))).filter(F.col("_rn") <= most + keep).drop("_rn")
+        free = people.join(short, key).join(no, ["own_id", "offer_key"], "left_anti")
+        kept = free.withColumn("_rn", F.row_number().over(per_own)).filter(F.col("_rn") <= keep).select("own_id", *key, "offer_key")
+        found = found.unionByName(kept.join(sizes, key).join(per_key, [*CELL, "offer_key"]).select(*cols))
     return found
 
 

@@ -82,20 +82,22 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def change_history(change_events: DataFrame, *, as_of: AsOf, window_days: int = 90, event_type: str | None = None, limit: int = 100) -> DataFrame:
+def change_history(change_events: DataFrame, *, as_of: AsOf, window_days: int = 90, event_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """Changes of the window, newest first; ``limit`` is a page size."""
     df = change_events.filter(F.col("observed_at") >= instant(as_of) - days(window_days))
     if event_type:
         df = df.filter(F.col("event_type") == event_type)
-    return df.orderBy(F.col("observed_at").desc(), "promotion_id").limit(limit)
+    df = df.orderBy(F.col("observed_at").desc(), "promotion_id")
+    return df if limit is None else df.limit(limit)
 
 
-def detail_index(promotions: DataFrame, evidence: DataFrame, change_events: DataFrame, *, changes_kept: int = 50) -> DataFrame:
-    """Header of every promotion with its evidence count, newest evidence and how many changes the detail view lists."""
+def detail_index(promotions: DataFrame, evidence: DataFrame, change_events: DataFrame) -> DataFrame:
+    """Header of every promotion with its evidence count, newest evidence and number of changes."""
     ev = evidence.groupBy("promotion_id").agg(F.count(F.lit(1)).alias("evidence_rows"), F.max("captured_at").alias("newest_evidence"))
     ch = change_events.groupBy("promotion_id").agg(F.count(F.lit(1)).alias("changes"))
     df = promotions.join(ev, "promotion_id", "left").join(ch, "promotion_id", "left")
     return df.select(*promotions.columns, F.coalesce("evidence_rows", F.lit(0)).alias("evidence_rows"), "newest_evidence",
-                     F.least(F.coalesce("changes", F.lit(0)), F.lit(changes_kept)).cast("bigint").alias("changes_shown"))
+                     F.coalesce("changes", F.lit(0)).cast("bigint").alias("changes"))
 
 
 def latest_changes(change_events: DataFrame, promotion_ids: DataFrame, *, keep: int = 50) -> DataFrame:

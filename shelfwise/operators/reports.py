@@ -44,7 +44,7 @@ def weekly_trend(promotions: DataFrame, *, as_of: AsOf, weeks: int = 8) -> DataF
     monday = F.date_trunc("week", now.cast("timestamp_ntz")).cast("date")
     recent = promotions.filter(F.col("first_seen_at") >= now - days(7 * weeks)).filter(F.col("competitor").isNotNull())
     cells = recent.groupBy("competitor", F.date_trunc("week", "first_seen_at").cast("date").alias("week")).agg(
-        F.count(F.lit(1)).alias("promotions"), round_half_up(exact_avg(F.col("discount_percentage"), 1), 1).alias("avg_discount"))
+        F.count(F.lit(1)).alias("promotions"), round_half_up(exact_avg(F.col("discount_percentage"), 4), 1).alias("avg_discount"))
     cells = cells.filter((F.col("week") >= F.date_sub(monday, 7 * (weeks - 1))) & (F.col("week") <= monday))
     totals = cells.groupBy("competitor").agg(F.sum("promotions").alias("total"))
     calendar = F.sequence(F.date_sub(monday, 7 * (weeks - 1)), monday, F.expr("INTERVAL 7 DAYS"))
@@ -60,7 +60,7 @@ def competitor_overview(live: DataFrame, competitors: DataFrame, promotions: Dat
     known = live.filter(F.col("competitor_id").isNotNull())
     base = known.groupBy("competitor_id").agg(
         F.count(F.lit(1)).alias("live_promotions"),
-        round_half_up(exact_avg(F.when(F.col("discount_percentage") != 0, F.col("discount_percentage")), 1), 1).alias("avg_discount"),
+        round_half_up(exact_avg(F.when(F.col("discount_percentage") != 0, F.col("discount_percentage")), 4), 1).alias("avg_discount"),
         F.countDistinct("retailer_id").alias("outlets"), count_if(F.col("first_seen_at") >= now - days(7)).alias("new_this_week"),
         count_if(ending_between(as_of)).alias("ending_soon"))
     mechanic = top_value(known, "competitor_id", "promotion_type", "top_mechanic")

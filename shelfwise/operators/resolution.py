@@ -8,7 +8,9 @@ names that have rarer ones, and no name meets a name it cannot match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..config import FUZZY_AUTO, FUZZY_MARGIN, FUZZY_REVIEW
 from ..functions.text import entity_key, similarity, trigrams
@@ -47,10 +49,21 @@ def best_two(candidates: DataFrame, dim: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("place") == 2, F.col("sim"))), F.lit(0.0)).alias("second"))
 
 
-def _outcome(status: str | Column, method: str | Column, entity: Column, candidate: Column, confidence: Column) -> Column:
+def _id_type(dim: DataFrame, column: str) -> str:
+    """Type of the ids in an outcome: whole numbers as bigint, any other id (a text, say) as it is."""
+    kind = dim.schema[column].dataType
+    return "bigint" if isinstance(kind, T.IntegralType) else kind.simpleString()
+
+
+def _outcomes(kind: str) -> Callable[..., Column]:
+    """Builder of an outcome whose ids are of type ``kind``."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(as_col(status).alias("status"), as_col(method).alias("method"), entity.cast("bigint").alias("entity_id"),
-                    candidate.cast("bigint").alias("candidate_id"), confidence.cast("double").alias("confidence"))
+
+    def outcome(status: str | Column, method: str | Column, entity: Column, candidate: Column, confidence: Column) -> Column:
+        return F.struct(as_col(status).alias("status"), as_col(method).alias("method"), entity.cast(kind).alias("entity_id"),
+                        candidate.cast(kind).alias("candidate_id"), confidence.cast("double").alias("confidence"))
+
+    return outcome
 
 
 def resolve_names(norms: DataFrame, dim: DataFrame, aliases: DataFrame, *, unmatched: str = "UNRESOLVED", auto: float = FUZZY_AUTO,
@@ -61,7 +74,7 @@ def resolve_names(norms: DataFrame, dim: DataFrame, aliases: DataFrame, *, unmat
     alias_confidence. ``unmatched`` is the status when nothing is similar enough
     (brands go to REVIEW, retailers and products are UNRESOLVED).
     """
-    null = F.lit(None)
+    null, _outcome = F.lit(None), _outcomes(_id_type(dim, "entity_id"))
     keys = norms.select("norm").distinct()
     known = dim.groupBy("norm").agg(F.min("entity_id").alias("exact_id"))
     alias = aliases.groupBy("norm").agg(F.min_by(F.struct("alias_entity_id", "alias_confidence"), "alias_entity_id").alias("a")).select("norm", "a.*")
@@ -114,7 +127,7 @@ def resolve_products(items: DataFrame, products: DataFrame, aliases: DataFrame,
     ``products``: product_id, brand_id, name, sku, barcode, pack_label. A hit whose
     stated pack contradicts the canonical pack goes to review.
     """
-    null = F.lit(None)
+    null, _outcome = F.lit(None), _outcomes(_id_type(products, "product_id"))
     df = items.withColumns({"norm": entity_key("product_text"), "pack_norm": entity_key("pack_size")})
     p = products.select("product_id", F.col("brand_id").alias("p_brand"), entity_key("name").alias("p_norm"), F.trim("sku").alias("p_sku"),
                         F.trim("barcode").alias("p_barcode"), entity_key("pack_label").alias("p_pack"))
@@ -133,7 +146,7 @@ def resolve_products(items: DataFrame, products: DataFrame, aliases: DataFrame,
     dim = p.select(F.col("p_brand").cast("string").alias("scope"), F.col("p_norm").alias("norm"), F.col("product_id").alias("entity_id"), "p_pack")
     two = best_two(trigram_candidates(open_items, dim, threshold=review), dim)
     packs = dim.select(F.col("entity_id").alias("candidate_id"), F.col("p_pack").alias("candidate_pack"))
-    two = two.join(packs, "candidate_id", "left").select(F.col("scope").cast("int").alias("brand_id"), "norm", "best", "second", "candidate_id", "candidate_pack")
+    two = two.join(packs, "candidate_id", "left").select(F.col("scope").cast(items.schema["brand_id"].dataType).alias("brand_id"), "norm", "best", "second", "candidate_id", "candidate_pack")
     df = df.join(two, ["brand_id", "norm"], "left")
     clash = lambda pack: (F.col("pack_norm") != "") & F.coalesce(pack != "", F.lit(False)) & (F.col("pack_norm") != pack)
 
@@ -169,8 +182,10 @@ def review_rows(outcomes: DataFrame, pending: DataFrame) -> DataFrame:
                         F.lit("PENDING").alias("status"), reason.alias("reason"))
 
 
-def review_worklist(queue: DataFrame, *, status: str = "PENDING", limit: int = 100) -> DataFrame:
-    return queue.filter(F.col("status") == status).orderBy(F.col("priority").desc(), F.col("created_at").desc(), "review_id").limit(limit)
+def review_worklist(queue: DataFrame, *, status: str = "PENDING", limit: int | None = None) -> DataFrame:
+    """All items of a status, most urgent first; ``limit`` is a page size."""
+    df = queue.filter(F.col("status") == status).orderBy(F.col("priority").desc(), F.col("created_at").desc(), "review_id")
+    return df if limit is None else df.limit(limit)
 
 
 def review_backlog(queue: DataFrame) -> DataFrame:

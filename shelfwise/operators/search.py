@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LOOKUP_MAX_TERMS
-from ..functions.geo import reporting_channel, retailer_types_for
+from ..functions.geo import channel_named, shop_types
 from .ranking import newest_evidence
 
 SEARCH_FIELDS = ["product_name", "promotion_type", "category", "channel", "geography", "retailer", "competitor", "brand"]
@@ -22,11 +22,11 @@ def contains(column: str, text: str) -> Column:
 
 def channel_condition(channel: str) -> Column:
     """Own channel equals the target, or no own channel and the retailer's type maps to it."""
-    target = reporting_channel(channel)
+    target = channel_named(channel)
     own, kind = F.col("channel"), F.col("retailer_channel_type")
     if target is None:
         return own.isNull() & kind.isNull()
-    types = retailer_types_for(target)
+    types = shop_types(target)
     mapped = own.isNull() & F.upper(kind).isin(*types) if types else F.lit(False)
     return F.coalesce((own == target) | mapped, F.lit(False))
 

@@ -10,8 +10,8 @@ from ..functions.price import effective_pack_price, gap_pct, per_100g
 from ..operators import matching as M
 from ..operators.search import contains
 
-NO_PACK_NOTE = "Add a pack size in grams (for example 300g) to enable comparison."
-NO_OFFER_NOTE = "No comparable competitor offers in the selected data."
+NO_PACK_NOTE = "No pack size in grams, so there is no price per 100 g."
+NO_OFFER_NOTE = "No live offer of this category has a pack near this size."
 
 
 def filter_offers(live: DataFrame, *, category: str | None = None, brand: str | None = None, competitor: str | None = None,
@@ -134,7 +134,7 @@ def _measures() -> dict[str, Column]:
     return {
         "offers": F.count(F.lit(1)), "undercut_offers": count_if(F.col("undercuts")),
         "avg_unit": round_half_up(exact_avg(F.col("unit"), 2), 2), "min_unit": F.min("unit"), "max_unit": F.max("unit"),
-        "avg_discount": round_half_up(exact_avg(F.col("stated"), 1), 1),
+        "avg_discount": round_half_up(exact_avg(F.col("stated"), 4), 1),
     }
 
 

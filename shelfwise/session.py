@@ -26,10 +26,13 @@ def tuned(builder: SparkSession.Builder | None = None) -> SparkSession.Builder:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where none is set (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only in local mode and where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "folder" not in _private:
         _private["folder"] = tempfile.mkdtemp(prefix="shelfwise-")
         atexit.register(shutil.rmtree, _private["folder"], ignore_errors=True)

@@ -43,12 +43,12 @@ def test_formula_guard(evaluate):
 def test_region(evaluate):
     cases = {"Jawa Barat": "JAWA", "Seluruh Indonesia": "NATIONAL", "Jakarta dan Bandung": "JABODETABEK", "Semua kecuali Papua": "UNMAPPED", "Toko tertentu": "STORE_SPECIFIC",
              "Sumatera, Bali": "MULTI_REGION", "Seluruh Indonesia, online": "ONLINE", "balikpapan": "KALIMANTAN", "somewhere": "UNMAPPED", "  ": "UNKNOWN"}
-    assert evaluate(geo.normalize_region, list(cases)) == list(cases.values())
-    assert evaluate(geo.identity_token, ["Jawa", "Toko  Tertentu", "", None]) == ["JAWA", "STORE_SPECIFIC:toko tertentu", None, None]
+    assert evaluate(geo.region_code, list(cases)) == list(cases.values())
+    assert evaluate(geo.geography_key, ["Jawa", "Toko  Tertentu", "", None]) == ["JAWA", "STORE_SPECIFIC:toko tertentu", None, None]
 
 
 def test_channels(evaluate):
-    assert evaluate(geo.normalize_channel, ["minimarket", "E-COMMERCE", "general_trade", "kiosk", None]) == ["Modern Trade", "E-commerce", "General Trade", None, None]
+    assert evaluate(geo.channel_of, ["minimarket", "E-COMMERCE", "general_trade", "kiosk", None]) == ["Modern Trade", "E-commerce", "General Trade", None, None]
 
 
 @pytest.mark.parametrize("wording, starts, ends", [
@@ -83,3 +83,16 @@ def test_campaigns(spark):
     df = spark.createDataFrame([("Biskuit kaleng lebaran gopay", "DISCOUNT"), ("Wafer", "BUY_X_GET_Y"), ("pointless", "MEMBER_PRICE")], "v string, m string")
     got = [r["c"] for r in df.select(campaigns.campaign_codes("v", "m").alias("c")).collect()]
     assert got == [["RAMADHAN_LEBARAN", "CASHBACK_EWALLET"], ["BOGO"], ["MEMBER_SPECIAL"]]
+
+
+def test_long_wordings_stay_whole(evaluate):
+    shared = "toko tertentu " + "x" * 300
+    one, other = evaluate(geo.geography_key, [shared + " a", shared + " b"])
+    assert one != other and one.endswith(" a")
+
+
+def test_average_discount_keeps_its_decimals(spark):
+    from pyspark.sql import functions as F
+    from shelfwise.functions.core import exact_avg, round_half_up
+    df = spark.createDataFrame([(33.33,), (33.33,), (33.34,), (66.65,)], "v double")
+    assert df.select(round_half_up(exact_avg(F.col("v"), 4), 2)).first()[0] == 41.66
