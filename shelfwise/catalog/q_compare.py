@@ -75,6 +75,24 @@ def own_offer_matches_allowlist(t: Tables) -> DataFrame:
     return M.match_summary(catalogue, book, decisions(t)).filter("matches > 0").select("own_id", "matches", "undercuts", "cheapest_unit")
 
 
+@query("own_offer_matches_sku_list", """SELECT m.own_id, count(*) AS matches, min(unit) AS cheapest_unit FROM matches m JOIN promotions p ON p.promotion_id=m.promotion_id
+WHERE m.own_id%3<>0 OR p.product_id IN (m.own_id, m.own_id+1, m.own_id+2) GROUP BY 1""", "matches promotions")
+def own_offer_matches_sku_list(t: Tables) -> DataFrame:
+    sku = lambda number: F.concat(F.lit("SKU-"), number)
+    listed = t.part.filter("p_partkey % 3 = 0").select(F.concat(sku(F.col("p_partkey")), F.lit(" ")).alias("sku"), F.explode(F.array(*[sku(F.col("p_partkey") + k) for k in range(3)])).alias("allowed_sku"))
+    book = offers(t, "product_id")
+    book = M.scope_offers(book.withColumn("sku", sku(F.col("product_id"))), by_sku=True)
+    return M.match_summary(M.scope_own(own(t), sku_map=listed), book, decisions(t)).filter("matches > 0").select("own_id", "matches", "cheapest_unit")
+
+
+@query("brand_catalogue", """SELECT 'known' AS asked, own_id FROM own_products WHERE brand='Brand#3' UNION ALL SELECT 'unknown', own_id FROM own_products UNION ALL SELECT 'none', own_id FROM own_products""", "own_products")
+def brand_catalogue(t: Tables) -> DataFrame:
+    book = V.own_products(t)
+    asked = {"known": "Brand#3", "unknown": "Brand#none", "none": None}
+    parts = [M.brand_or_all(book, brand).select(F.lit(name).alias("asked"), "own_id") for name, brand in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("scoped_catalogue", f"""+ best AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY product_id ORDER BY recorded_at DESC, id) rn FROM scoped_prices s JOIN retailers r ON r.retailer_id=s.retailer_id
  WHERE lower(r.name)='retailer_3' AND region='MULTI_REGION' AND DATE '2001-01-01' BETWEEN starts AND ends) WHERE rn=1)
 SELECT o.own_id, CASE WHEN b.id IS NOT NULL THEN b.regular_price ELSE o.regular_price END AS regular_price,

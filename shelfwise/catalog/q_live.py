@@ -150,6 +150,12 @@ def lookup_by_source(t: Tables) -> DataFrame:
         shown_channel("channel", "retailer_channel_type").alias("shown_channel"))
 
 
+@query("lookup_from_source", """SELECT l.promotion_id, e.source_url FROM live l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY promotion_id ORDER BY captured_at DESC, created_at DESC, evidence_id DESC) rn FROM evidence) e
+ ON e.promotion_id=l.promotion_id AND rn=1 LEFT JOIN crawl_documents d ON d.document_id=e.document_id WHERE coalesce(document_source_id, l.source_id)=7""", "live evidence crawl_documents")
+def lookup_from_source(t: Tables) -> DataFrame:
+    return Q.from_source(Q.with_evidence_source(live(t, *LOOKUP_COLUMNS), V.evidence(t), V.crawl_documents(t)), 7).select("promotion_id", "source_url")
+
+
 @query("strict_valid", f"""SELECT promotion_id FROM promotions WHERE status IN ('ACTIVE','UNKNOWN') AND NOT has_open_conflict
  AND (start_date IS NULL OR start_date<={AS_OF}) AND (end_date IS NULL OR end_date>={AS_OF})
  AND last_verified_at>={AS_OF}-(CASE WHEN start_date IS NULL AND end_date IS NULL THEN INTERVAL 14 DAY ELSE INTERVAL 90 DAY END)""", "promotions")

@@ -115,6 +115,18 @@ def retention_totals(t: Tables) -> DataFrame:
     return MON.retention_totals(MON.retention_plan(stored_pages(t), as_of=V.AS_OF))
 
 
+@query("retention_applied", f"WITH {_PAGES} SELECT doc_id AS document_id, purge AS text_gone, remove_file AS file_gone, CASE WHEN purge THEN {AS_OF} END AS purged_at FROM k")
+def retention_applied(t: Tables) -> DataFrame:
+    done = MON.apply_retention(MON.retention_plan(stored_pages(t), as_of=V.AS_OF), as_of=V.AS_OF)
+    return done.select("document_id", F.col("text").isNull().alias("text_gone"), F.col("raw_uri").isNull().alias("file_gone"), "purged_at")
+
+
+@query("recent_alerts", f"""SELECT concat('old:', s_suppkey) AS fingerprint, CASE WHEN s_suppkey%2=0 THEN 'SOURCE_FAILING' ELSE 'SOURCE_STALE' END AS kind, CAST(s_suppkey AS VARCHAR) AS subject_id, s_suppkey%3<>0 AS open FROM supplier
+ UNION ALL SELECT concat('seen:', {PID}), 'PRICE_SHOCK', {PID}, true FROM lineitem WHERE l_linestatus='F'""")
+def recent_alerts(t: Tables) -> DataFrame:
+    return MON.recent_alerts(alert_history(t)).select("fingerprint", "kind", "subject_id", F.col("resolved_at").isNull().alias("open"))
+
+
 @query("runs_pruned", f"WITH {_RUNS} SELECT count(*) AS kept FROM runs WHERE started_at>={AS_OF}-INTERVAL 180 DAY")
 def runs_pruned(t: Tables) -> DataFrame:
     return MON.prune_log(runs(t), "started_at", 180, as_of=V.AS_OF).agg(F.count(F.lit(1)).alias("kept"))

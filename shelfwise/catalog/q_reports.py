@@ -232,6 +232,13 @@ def change_history(t: Tables) -> DataFrame:
         "promotion_id", "event_type", "field_name", "observed_at")
 
 
+@query("promotion_latest_changes", """+ w AS (SELECT * FROM change_events WHERE promotion_id IN (SELECT promotion_id FROM live)),
+n AS (SELECT *, row_number() OVER (PARTITION BY promotion_id ORDER BY observed_at DESC, event_type, field_name NULLS FIRST) AS position FROM w)
+SELECT promotion_id, position::INTEGER AS position, event_type, previous_value, new_value, observed_at FROM n WHERE position<=50""", "live change_events")
+def promotion_latest_changes(t: Tables) -> DataFrame:
+    return R.latest_changes(V.change_events(t), live(t)).select("promotion_id", "position", "event_type", "previous_value", "new_value", "observed_at")
+
+
 @query("promotion_detail", """+ p AS (SELECT promotion_id, product_name, competitor FROM promotions), e AS (SELECT promotion_id, count(*) AS evidence_rows, max(captured_at) AS newest_evidence FROM evidence GROUP BY 1), c AS (SELECT promotion_id, count(*) AS changes FROM change_events GROUP BY 1)
 SELECT p.promotion_id, product_name, competitor, coalesce(evidence_rows,0) AS evidence_rows, newest_evidence, coalesce(changes,0) AS changes FROM p LEFT JOIN e ON e.promotion_id=p.promotion_id LEFT JOIN c ON c.promotion_id=p.promotion_id""", "promotions evidence change_events")
 def promotion_detail(t: Tables) -> DataFrame:

@@ -73,5 +73,10 @@ def with_evidence_source(df: DataFrame, evidence: DataFrame, documents: DataFram
             .withColumn("resolved_source_id", F.coalesce("document_source_id", "source_id")))
 
 
+def from_source(resolved: DataFrame, source_id) -> DataFrame:
+    """Rows whose newest evidence (or, without one, the promotion itself) comes from a source."""
+    return resolved.filter(F.col("resolved_source_id") == F.lit(source_id))
+
+
 def page(df: DataFrame, *, limit: int = 25, offset: int = 0, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
