@@ -51,6 +51,8 @@ ASIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisement
 consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices overlay
 pagination pager paywall popup promo promos promotion promoted recommended recommendations related respond share sharing sidebar sidebars signin
 signup skip social sponsor sponsored sponsors subscribe subscription tagcloud teaser teasers toast toolbar topbar tracking widget widgets discussion replies reply""".split())
+#: First words of names that say what a page has or lacks.
+ABOUT = frozenset("has no with without non is".split())
 #: A header holds the title when it stands in an article; elsewhere it is the site's.
 HEADERS = frozenset("header".split())
 WHOLE = frozenset("html body main".split())
@@ -70,9 +72,16 @@ def _set_aside(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool
         return True
     if (attrs.get("role") or "").strip().lower() in ASIDE_ROLES:
         return True
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    words = {w.lower() for w in _NAME.findall(names)}
-    return bool(words & ASIDE_WORDS) or bool("header" in words and not in_article)
+    return False
+
+
+def _named_aside(attrs: dict[str, str | None], in_article: bool) -> bool:
+    """Whether a class or id names page furniture; ``has-sidebar``, ``no-comments`` and the like name the rest of the page."""
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if words and words[0] not in ABOUT and (not ASIDE_WORDS.isdisjoint(words) or ("header" in words and not in_article)):
+            return True
+    return False
 
 
 class _Element:
@@ -87,8 +96,9 @@ class _Element:
 class Lines(HTMLParser):
     """Collects (text, characters, tags, element) of each line."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_name, self.hidden_article = by_name, False
         self.elements = 0
         self.top = self.open = _Element("", None, 0, False)
         self.lines: list[tuple[str, int, int, _Element]] = []
@@ -134,8 +144,10 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag not in VOID:
             self.elements += 1
-            aside = _set_aside(tag, dict(attrs), self.open.in_article)
-            self.open = _Element(tag, self.open, self.elements, aside)
+            given, in_article = dict(attrs), self.open.in_article
+            named = self.by_name and tag not in WHOLE and _named_aside(given, in_article)
+            self.hidden_article |= tag in ("article", "main", "h1") and self.open.aside
+            self.open = _Element(tag, self.open, self.elements, _set_aside(tag, given, in_article) or named)
         if breaks:
             self.at = self.block()
 
@@ -186,11 +198,14 @@ def _chain(element: _Element) -> list[_Element]:
     return found
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the main text, one a line."""
+def main_text(html: str | None, by_name: bool = True) -> str:
+    """Blocks of the main text, one a line.
+
+    Where names of furniture hide an article and leave no text at all, they are not believed.
+    """
     if not html:
         return ""
-    parser = Lines()
+    parser = Lines(by_name)
     for start in range(0, len(html), FEED_CHARS):
         parser.feed(html[start:start + FEED_CHARS])
     parser.close()
@@ -198,7 +213,7 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     kept = [i for i, (text, _, _, at) in enumerate(lines) if text]
     if not kept:
-        return ""
+        return main_text(html, False) if by_name and parser.hidden_article else ""
     ratios = smoothed(np.array([len(text) / max(tags, 1) for text, _, tags, _ in lines], np.float64))
     threshold = SPREAD_SHARE * float(ratios.std())
     cluster = [i for i in kept if ratios[i] >= threshold] or kept
