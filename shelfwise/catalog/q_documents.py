@@ -77,7 +77,10 @@ def dynamic_shell(t: Tables) -> DataFrame:
     return t.pages.select("page_id", looks_like_shell(marked).alias("shell"))
 
 
-@query("promo_cards")
+@query("promo_cards", r"""WITH p AS (SELECT page_id, replace(replace(html,'<p>','<div class="catalog-item"> Promo '),'</p>','</div>') AS h FROM pages),
+b AS (SELECT page_id, unnest(x) AS block, generate_subscripts(x,1)-1 AS place FROM (SELECT page_id, regexp_extract_all(h,'(?is)<div class="catalog-item">.*?</div>') AS x FROM p)),
+c AS (SELECT page_id, place, trim(regexp_replace(regexp_replace(block,'<[^>]+>',' ','g'),'\s+',' ','g')) AS card FROM b)
+SELECT page_id, card, min(place)::INTEGER AS place FROM c WHERE length(card)>30 AND regexp_matches(lower(card),'rp|diskon|hemat|beli|promo|gratis|%') GROUP BY 1,2""")
 def promo_cards(t: Tables) -> DataFrame:
     """Paragraphs stand in for item blocks, since the pages have none."""
     pages = t.pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", r"<p>", '<div class="catalog-item"> Promo '), "</p>", "</div>"))
