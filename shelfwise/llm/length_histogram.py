@@ -20,10 +20,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from .batches import map_rows
 from .bpe import VOCABULARY, encoder
 
-BLOCK = 1024
+BLOCK = 256
 
 
 def lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -39,7 +40,8 @@ def lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, p
 def histogram(lengths_: DataFrame) -> DataFrame:
     """Per length: n_docs, and of all documents: n_longer, tokens_longer, n_total, tokens_total, tokens_kept and share_fitting
     when the length is the context limit."""
-    counts = lengths_.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    # Written once: both kinds of sums read the counts, and the encoding behind them is not run again.
+    counts = stage(lengths_.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths").withColumn("block", F.floor(F.col("length") / BLOCK))
     tokens = F.col("length") * F.col("n_docs")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum(tokens).alias("block_tokens"))
     behind = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
@@ -48,7 +50,7 @@ def histogram(lengths_: DataFrame) -> DataFrame:
     blocks = blocks.select("block", F.coalesce(F.sum("block_docs").over(behind), zero).alias("docs_behind"), F.coalesce(F.sum("block_tokens").over(behind), zero).alias("tokens_behind"),
                            F.sum("block_docs").over(everything).alias("n_total"), F.sum("block_tokens").over(everything).alias("tokens_total"))
     within = Window.partitionBy("block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    longer = counts.join(F.broadcast(blocks), "block").select(  # a row per 1,024 lengths
+    longer = counts.join(F.broadcast(blocks), "block").select(  # a row per 256 lengths
         "length", "n_docs", (F.coalesce(F.sum("n_docs").over(within), zero) + F.col("docs_behind")).alias("n_longer"),
         (F.coalesce(F.sum(tokens).over(within), zero) + F.col("tokens_behind")).alias("tokens_longer"), "n_total", "tokens_total")
     return (longer.withColumn("tokens_kept", F.col("tokens_total") - F.col("tokens_longer") + F.col("n_longer") * F.col("length"))
