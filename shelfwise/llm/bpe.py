@@ -149,7 +149,3 @@ def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, i
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
     return map_rows(named, run, f"{fields}, decoded binary").toDF(*columns, into)
 
-
-def texts_of(decoded: DataFrame, column: str = "decoded", into: str = "text") -> DataFrame:
-    """Decoded bytes back as text."""
-    return decoded.withColumn(into, F.col(column).cast("string")).drop(column)

@@ -54,7 +54,6 @@ class WaveletMatrix:
             self.ones.append(np.concatenate(([0], np.cumsum(plane, dtype=np.int32))).astype(np.int32))
             self.zeros.append(len(sequence) - int(self.ones[-1][-1]))
             sequence = np.concatenate((sequence[plane == 0], sequence[plane == 1]))
-        self.start: dict[int, int] = {}
 
     def rank(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""

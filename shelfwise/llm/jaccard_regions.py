@@ -48,10 +48,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
 from .batches import map_rows
 from .components import components
 from .key_filter import likely, unlikely
+from .scratch import Scratch
 
 SHINGLE_WORDS, LINK = 3, Fraction(9, 10)
 SAMPLE_WORDS = 4_000_000
@@ -190,65 +190,70 @@ def point_sets(docs: DataFrame, text: str, doc_id: str, k: int, members: Members
                     f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row_key bigint, text_key string, n bigint, point bigint, pivots array<bigint>, sketch binary")
 
 
-def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, members: Members) -> DataFrame:
+def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, members: Members, scratch: Scratch) -> DataFrame:
     """(a, b, n_a, n_b, overlap) of the pairs (a, b) that the sketches let pass; ``texts`` are the texts behind the points."""
     def sketched(part: Iterator[tuple]) -> Iterator[tuple]:
-        for a, b, n_a, n_b, own, other in part:
-            if _differing(own, other) <= members.most_different(n_a, n_b):
+        for a, b, n_a, n_b, one, other in part:
+            if _differing(one, other) <= members.most_different(n_a, n_b):
                 yield a, b
 
     side = lambda name: points.select(F.col("point").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").filter(~members.far(F.col("n_a"), F.col("n_b")))
-    close = stage(map_rows(met.select("a", "b", "n_a", "n_b", "s_a", "s_b"), sketched, "a bigint, b bigint"), "close")
+    own = Scratch(texts.sparkSession)
+    close = own.keep(map_rows(met.select("a", "b", "n_a", "n_b", "s_a", "s_b"), sketched, "a bigint, b bigint"), "close")
     needed = close.select(F.col("a").alias("point")).unionAll(close.select(F.col("b").alias("point"))).distinct()
-    keys = stage(points.join(needed, "point", "left_semi").select("text_key"), "keys")
+    keys = own.keep(points.join(needed, "point", "left_semi").select("text_key"), "keys")
     # An inner join, the keys being distinct: Spark would move a semi join below the filter in front of it.
     found = likely(texts.select("text", F.md5("text").alias("text_key")), "text_key", keys).join(keys, "text_key").dropDuplicates(["text_key"])
 
     def make(part: Iterator[tuple]) -> Iterator[tuple]:
         hashes = _Hashes()
         for (value,) in part:
-            own = shingles(value, k, hashes).tobytes()
-            yield _point(own), own
+            held = shingles(value, k, hashes).tobytes()
+            yield _point(held), held
 
-    sets = stage(map_rows(found.select("text"), make, "point bigint, held binary"), "sets")
+    sets = own.keep(map_rows(found.select("text"), make, "point bigint, held binary"), "sets")
 
     def measure(part: Iterator[tuple]) -> Iterator[tuple]:
-        for a, b, own, other in part:
-            x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+        for a, b, one, other in part:
+            x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
             both = np.concatenate((x, y))
             both.sort()
             yield a, b, len(x), len(y), int((both[1:] == both[:-1]).sum())
 
     held = close.join(sets.select(F.col("point").alias("a"), F.col("held").alias("held_a")), "a").join(sets.select(F.col("point").alias("b"), F.col("held").alias("held_b")), "b")
-    return stage(map_rows(held.select("a", "b", "held_a", "held_b"), measure, "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint"), "measured")
+    measured = scratch.keep(map_rows(held.select("a", "b", "held_a", "held_b"), measure, "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint"), "measured")
+    own.free()
+    return measured
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, threshold: Fraction = LINK,
-         sample_words: int = SAMPLE_WORDS) -> tuple[DataFrame, DataFrame]:
+         sample_words: int = SAMPLE_WORDS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row_key, n_shingles, point, component) and links (a, b, n_a, n_b, overlap) between points.
 
     ``point`` is equal for equal sets, null without words; ``component`` is equal for points that links connect.
+    Both frames stand on what ``scratch`` keeps.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     members = Members(Fraction(threshold))
     p, q = members.t.numerator, members.t.denominator
-    rows = stage(point_sets(docs, text, doc_id, k, members, shared_pivots(docs, text, k, sample_words)), "points")
-    points = stage(rows.filter(F.col("point").isNotNull()).dropDuplicates(["point"]).select("point", "text_key", "n", "pivots", "sketch"), "distinct")
+    rows = scratch.keep(point_sets(docs, text, doc_id, k, members, shared_pivots(docs, text, k, sample_words)), "points")
+    points = scratch.keep(rows.filter(F.col("point").isNotNull()).dropDuplicates(["point"]).select("point", "text_key", "n", "pivots", "sketch"), "distinct")
     texts = docs.select(F.col(text).alias("text"))
 
     # Regions: the first pivots of each point, with the pivot's place in it.
     copies = points.select("point", "n", F.posexplode("pivots").alias("place", "pivot"))
-    shared = stage(copies.groupBy("pivot").count().filter("count > 1").select("pivot"), "shared")
+    shared = scratch.keep(copies.groupBy("pivot").count().filter("count > 1").select("pivot"), "shared")
     rank = F.col("place").cast("bigint") * (1 << 44) + F.pmod("point", F.lit(1 << 44))
-    held = stage(likely(copies, "pivot", shared, REGION_FILTER_BITS).join(shared, "pivot"), "held")
-    inside = stage(held.join(held.groupBy("pivot").agg(F.min_by("point", rank).alias("centre")), "pivot"), "regions")
+    held = scratch.keep(likely(copies, "pivot", shared, REGION_FILTER_BITS).join(shared, "pivot"), "held")
+    inside = scratch.keep(held.join(held.groupBy("pivot").agg(F.min_by("point", rank).alias("centre")), "pivot"), "regions")
 
     # Step 1: members against the document pivot of their region.
     spokes = inside.filter(F.col("point") != F.col("centre")).select(F.col("point").alias("a"), F.col("centre").alias("b")).distinct()
-    first = _measured(spokes, points, texts, k, members)
+    first = _measured(spokes, points, texts, k, members, scratch)
     is_link = (F.col("overlap") * q) >= ((F.col("n_a") + F.col("n_b") - F.col("overlap")) * p)
     links = first.filter(is_link)
-    parts = components(links)
+    parts = components(links, scratch)
 
     # Step 2: regions that several components share, in windows of the distance to the document pivot.
     width = float(1 - members.t)
@@ -259,7 +264,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
               .join(rings, ["point", "centre"], "left"))
     mixed = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") < F.col("high")).select("pivot")
     # The document pivot is done; what the sketch kept from it is in no ring.
-    left = stage(placed.filter(F.col("point") != F.col("centre")).join(mixed, "pivot", "left_semi")
+    left = scratch.keep(placed.filter(F.col("point") != F.col("centre")).join(mixed, "pivot", "left_semi")
                  .select("pivot", "point", "n", "place", "component", F.coalesce("ring", F.lit(FAR)).alias("ring")), "left")
     # Ring 0 are the linked members, the threshold itself included: their windows reach one ring further, and not to each other.
     window = F.when(F.col("ring") == 0, F.array(F.lit(1), F.lit(2), F.lit(FAR))).when(F.col("ring") == FAR, F.sequence(F.lit(0), F.lit(FAR))).otherwise(
@@ -276,16 +281,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     met = (large.join(small, ["pivot", "ring", "step"])
            .filter((F.col("c_x") != F.col("c_y")) & (F.col("n_y") <= F.col("n_x")) & members.possible(F.col("n_x"), F.col("i"), F.col("n_y"), F.col("j")))
            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    second = _measured(met, points, texts, k, members)
+    second = _measured(met, points, texts, k, members, scratch)
     links = links.unionAll(second.filter(is_link))
-    parts = components(links)
+    parts = components(links, scratch)
     named = rows.join(parts.select(F.col("node").alias("point"), "component"), "point", "left").withColumn("component", F.coalesce("component", "point"))
     return named.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "point", "component"), links
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    rows, _ = join(docs, doc_id=doc_id, **options)
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.result(join(docs, doc_id=doc_id, scratch=scratch, **options)[0], "classes")
     names = rows.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
     return rows.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -300,14 +306,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
     Only rows that may have to go are looked up; the others stay where they are.
     """
-    rows = stage(join(docs, doc_id=doc_id, text=text, **options)[0].filter(F.col("component").isNotNull()).select("component", "doc_id", "row_key"), "members")
+    scratch = Scratch(docs.sparkSession)
+    found = join(docs, doc_id=doc_id, text=text, scratch=scratch, **options)[0]
+    rows = scratch.result(found.filter(F.col("component").isNotNull()).select("component", "doc_id", "row_key"), "members")
     ids = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
     leading = rows.join(ids, "component").filter(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("row_key").alias("lead"))
-    goes = stage(rows.join(leading, "component").filter(F.col("row_key") != F.col("lead")).select("row_key").distinct(), "goes")
-    again = stage(rows.groupBy("row_key").count().filter("count > 1").select("row_key").join(goes, "row_key", "left_anti"), "again")
+    goes = scratch.keep(rows.join(leading, "component").filter(F.col("row_key") != F.col("lead")).select("row_key").distinct(), "goes")
+    again = scratch.keep(rows.groupBy("row_key").count().filter("count > 1").select("row_key").join(goes, "row_key", "left_anti"), "again")
     keyed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     keyed = keyed.withColumn("row_key", row_key(f"c{docs.columns.index(doc_id)}", f"c{docs.columns.index(text)}"))
-    either = stage(goes.unionAll(again), "either")
+    either = scratch.keep(goes.unionAll(again), "either")
     kept = unlikely(keyed, "row_key", either).unionAll(_without(likely(keyed, "row_key", either), goes))
     if not again.isEmpty():
         kept = kept.join(again, "row_key", "left_anti").select(*keyed.columns).unionAll(kept.join(again, "row_key", "left_semi").select(*keyed.columns).dropDuplicates(["row_key"]))

@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
 from .batches import extend_rows, map_rows, renamed
 from .key_filter import likely, unlikely
+from .scratch import Scratch
 
 RUN_SENTENCES, RUN_WORDS = 3, 25
 LONG_WORDS, STRETCH_WORDS = 24, 12
@@ -138,20 +138,20 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: in
             if found:
                 yield own_id, key, *zip(*found)
 
-    kind = docs.schema[doc_id].dataType.simpleString()
+    scratch, kind = Scratch(docs.sparkSession), docs.schema[doc_id].dataType.simpleString()
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
     each = map_rows(rows, runs, f"doc_id {kind}, row_key bigint, run array<bigint>, first array<int>, size array<int>")
-    spans = stage(each.select("doc_id", "row_key", F.inline(F.arrays_zip("run", "first", "size"))), "spans")
-    several = stage(spans.groupBy("run").count().filter("count > 1").select("run"), "several")
+    spans = scratch.keep(each.select("doc_id", "row_key", F.inline(F.arrays_zip("run", "first", "size"))), "spans")
+    several = scratch.keep(spans.groupBy("run").count().filter("count > 1").select("run"), "several")
     # An inner join, the hashes being distinct: Spark would move a semi join below the filter in front of it.
-    again = stage(likely(spans, "run", several, SPAN_FILTER_BITS).join(several, "run"), "again")
+    again = scratch.keep(likely(spans, "run", several, SPAN_FILTER_BITS).join(several, "run"), "again")
     # The first row: least id, rows without one last, then least key; in it the least place. Plain minima combine before the shuffle.
     ids = again.groupBy("run").agg(F.min("doc_id").alias("first_id"))
     leading = again.join(ids, "run").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
     keys = leading.groupBy("run").agg(F.min("row_key").alias("first_key"))
     places = leading.join(keys, "run").filter(F.col("row_key") == F.col("first_key")).groupBy("run", "first_key").agg(F.min("first").alias("first_place"))
     later = again.join(places, "run").filter((F.col("row_key") != F.col("first_key")) | (F.col("first") != F.col("first_place")))
-    return stage(later.select("row_key", "first", "size").groupBy("row_key").agg(F.collect_set(F.struct("first", "size")).alias("runs")), "repeats")
+    return scratch.result(later.select("row_key", "first", "size").groupBy("row_key").agg(F.collect_set(F.struct("first", "size")).alias("runs")), "repeats")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:

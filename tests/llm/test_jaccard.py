@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import pytest
 from shelfwise.llm import components, jaccard_regions
+from shelfwise.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,7 +76,7 @@ def test_keep_one(spark):
 
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(60, 120)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
-    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in range(60, 120)} == {60} and {found[i] for i in (200, 201, 202)} == {200} and 300 not in found
 
 
