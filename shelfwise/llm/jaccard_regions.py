@@ -39,6 +39,7 @@ not read. Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -58,6 +59,8 @@ SAMPLE_WORDS = 4_000_000
 RINGS = 10
 FAR = RINGS + 1
 REGION_FILTER_BITS = 1 << 24
+#: In regions of so few members all may meet; in larger ones only members of neighbouring sizes and rings.
+FEW = 24
 
 #: Bytes of a UTF-8 text with A-Z lower-cased.
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
@@ -227,6 +230,33 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, mem
     return measured
 
 
+def _meetings(left: DataFrame, members: Members) -> DataFrame:
+    """Pairs (x, y) of members of one region, of different components, that sizes, places and rings allow to be linked."""
+    p, q = members.t.numerator, members.t.denominator
+    # The larger set may meet sizes from ``low`` to ``top``, in steps of a hundredth; the smaller one has its own.
+    most = F.floor(((F.col("n") - F.col("place")) * (p + q) - F.col("n") * p) / p)
+    low, top = F.ceil(F.col("n") * p / q), F.least(F.col("n"), most)
+    step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(1.01)) + 1e-9).cast("int")
+    large = left.filter(top >= low).select("pivot", "size", F.col("point").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("i"), F.col("component").alias("c_x"), "ring",
+                                           F.sequence(step(low) - 1, step(top) + 1).alias("steps"))
+    small = left.filter(most >= F.col("n")).select("pivot", "size", F.col("point").alias("y"), F.col("n").alias("n_y"), F.col("place").alias("j"), F.col("component").alias("c_y"), "ring",
+                                                   step(F.col("n")).alias("step"))
+    fits = (F.col("c_x") != F.col("c_y")) & (F.col("n_y") <= F.col("n_x")) & members.possible(F.col("n_x"), F.col("i"), F.col("n_y"), F.col("j"))
+    few, many = F.col("size") <= FEW, F.col("size") > FEW
+    met = [large.filter(few).drop("ring", "size", "steps").join(small.filter(few).drop("ring", "size", "step"), "pivot")]
+    # Ring 0 are the linked members, the threshold itself included: they need not meet each other, and reach one ring further.
+    window = F.when(F.col("ring") == 0, F.array(F.lit(1), F.lit(2))).otherwise(
+        F.array_distinct(F.array(F.greatest(F.col("ring") - 2, F.lit(0)), F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+    stepped = large.filter(many).withColumn("step", F.explode("steps")).drop("size", "steps")
+    known, lost = F.col("ring") < FAR, F.col("ring") == FAR
+    beside = small.filter(many).drop("size")
+    met.append(stepped.filter(known).withColumn("ring", F.explode(window)).join(beside.filter(known), ["pivot", "ring", "step"]).drop("ring"))
+    met.append(stepped.filter(lost).drop("ring").join(beside.drop("ring"), ["pivot", "step"]))
+    met.append(stepped.filter(known).drop("ring").join(beside.filter(lost).drop("ring"), ["pivot", "step"]))
+    columns = ["x", "y", "n_x", "n_y", "i", "j", "c_x", "c_y"]
+    return functools.reduce(DataFrame.unionAll, [m.filter(fits).select(*columns) for m in met])
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, threshold: Fraction = LINK,
          sample_words: int = SAMPLE_WORDS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row_key, n_shingles, point, component) and links (a, b, n_a, n_b, overlap) between points.
@@ -262,25 +292,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     rings = first.select(F.col("a").alias("point"), F.col("b").alias("centre"), F.when(is_link, 0).otherwise(F.greatest(ring, F.lit(1))).alias("ring"))
     placed = (inside.join(parts.select(F.col("node").alias("point"), "component"), "point", "left").withColumn("component", F.coalesce("component", "point"))
               .join(rings, ["point", "centre"], "left"))
-    mixed = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") < F.col("high")).select("pivot")
-    # The document pivot is done; what the sketch kept from it is in no ring.
-    left = scratch.keep(placed.filter(F.col("point") != F.col("centre")).join(mixed, "pivot", "left_semi")
-                 .select("pivot", "point", "n", "place", "component", F.coalesce("ring", F.lit(FAR)).alias("ring")), "left")
-    # Ring 0 are the linked members, the threshold itself included: their windows reach one ring further, and not to each other.
-    window = F.when(F.col("ring") == 0, F.array(F.lit(1), F.lit(2), F.lit(FAR))).when(F.col("ring") == FAR, F.sequence(F.lit(0), F.lit(FAR))).otherwise(
-        F.array_distinct(F.array(F.greatest(F.col("ring") - 2, F.lit(0)), F.col("ring") - 1, F.col("ring"), F.col("ring") + 1, F.lit(FAR))))
-    # The larger set comes with the sizes it can meet, in steps of a hundredth; the smaller one with its own.
-    step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.01)) + 1e-9).cast("int")
-    most = F.floor(((F.col("n") - F.col("place")) * (p + q) - F.col("n") * p) / p)
-    top = F.least(F.col("n"), most)
-    low = F.ceil(F.col("n") * p / q)
-    large = (left.filter(top >= low).withColumn("steps", F.sequence(step(F.greatest(low, F.lit(1))) - 1, step(F.greatest(top, F.lit(1))) + 1))
-             .select("pivot", F.col("point").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("i"), F.col("component").alias("c_x"), F.explode(window).alias("ring"), "steps")
-             .withColumn("step", F.explode("steps")).drop("steps"))
-    small = left.filter(most >= F.col("n")).select("pivot", F.col("point").alias("y"), F.col("n").alias("n_y"), F.col("place").alias("j"), F.col("component").alias("c_y"), "ring", step(F.col("n")).alias("step"))
-    met = (large.join(small, ["pivot", "ring", "step"])
-           .filter((F.col("c_x") != F.col("c_y")) & (F.col("n_y") <= F.col("n_x")) & members.possible(F.col("n_x"), F.col("i"), F.col("n_y"), F.col("j")))
-           .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    # The document pivot is done, so only regions whose other members are of several components are left.
+    others = placed.filter(F.col("point") != F.col("centre"))
+    mixed = (others.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+             .filter(F.col("low") < F.col("high")).select("pivot", "size"))
+    # What the sketch kept from the document pivot is in no ring.
+    left = scratch.keep(others.join(mixed, "pivot").select("pivot", "size", "point", "n", "place", "component", F.coalesce("ring", F.lit(FAR)).alias("ring")), "left")
+    met = _meetings(left, members).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = _measured(met, points, texts, k, members, scratch)
     links = links.unionAll(second.filter(is_link))
     parts = components(links, scratch)
