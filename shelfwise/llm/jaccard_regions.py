@@ -262,6 +262,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     """Rows (doc_id, row_key, n_shingles, point, component) and links (a, b, n_a, n_b, overlap) between points.
 
     ``point`` is equal for equal sets, null without words; ``component`` is equal for points that links connect.
+    The links are those that were measured: enough to connect every component, not each pair inside one.
     Both frames stand on what ``scratch`` keeps.
     """
     scratch = scratch or Scratch(docs.sparkSession)
