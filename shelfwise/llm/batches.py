@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def in_slices(rows: Iterable[tuple], schema: pa.Schema, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -57,6 +57,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_slices(fn(rows_of(batches)), arrow)
+        pa.default_memory_pool().release_unused()  # workers are used again, so what this task needed must not stay with them
 
     return df.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ from .batches import extend_rows, map_rows
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 STRIDE = WINDOW - max(WIDTHS) + 1
 DOCS_PER_LANG, WINDOWS_PER_DOC, EPOCHS, BATCH = 600, 4, 6, 64
-BATCH_WINDOWS = 2048
+BATCH_WINDOWS = 512
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .batches import map_rows, renamed
 
 WINDOW_WORDS = 13
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 300_000
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 32_000_000
 SAMPLE_EVERY = 8

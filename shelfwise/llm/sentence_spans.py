@@ -49,7 +49,7 @@ class _Hashes(dict):
         return value
 
     def of(self, words: list[str]) -> list[int]:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         return list(map(self.__getitem__, words))
 
