@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
+#: Spark's setting for the bytes of a batch handed to Python, its default, and what is used here in its place.
+BATCH_SETTING, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
 
 
 def in_slices(rows: Iterable[tuple], schema: pa.Schema, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,6 +56,9 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
     from pyspark.sql.types import StructType
 
     arrow = _arrow(StructType.fromDDL(schema))
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) == DEFAULT_BATCH:  # a value that somebody chose stays
+        conf.set(BATCH_SETTING, BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_slices(fn(rows_of(batches)), arrow)
