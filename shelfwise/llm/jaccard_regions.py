@@ -61,6 +61,7 @@ FAR = RINGS + 1
 REGION_FILTER_BITS = 1 << 24
 #: In regions of so few members all may meet; in larger ones only members of neighbouring sizes and rings.
 FEW = 24
+PARITIES = ("b0", "b1", "b2", "b3")
 
 #: Bytes of a UTF-8 text with A-Z lower-cased.
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
@@ -144,6 +145,12 @@ def _sketch(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount(((own >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def _parities(own: np.ndarray) -> list[int]:
+    """A sketch of 256 bits as whole numbers, for use in a join's condition."""
+    bits = np.bincount(((own >> np.uint64(20)) % np.uint64(256)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _differing(a: bytes, b: bytes) -> int:
     """Bits in which two sketches differ; the longer one is folded onto the shorter."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -180,17 +187,17 @@ def point_sets(docs: DataFrame, text: str, doc_id: str, k: int, members: Members
             own = shingles(value, k, hashes)
             n = len(own)
             if not n:
-                yield own_id, row_key, key, 0, None, [], b""
+                yield own_id, row_key, key, 0, None, [], b"", 0, 0, 0, 0
                 continue
             shared = np.zeros(n, np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 shared = np.where(known[at] == own, counts[at], 0)
             first = np.lexsort((own, shared))[:members.missing(n) + 1]
-            yield own_id, row_key, key, n, _point(own.tobytes()), own[first].view(np.int64), _sketch(own)
+            yield own_id, row_key, key, n, _point(own.tobytes()), own[first].view(np.int64), _sketch(own), *_parities(own)
 
     return map_rows(docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"), F.md5(text).alias("text_key")), run,
-                    f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row_key bigint, text_key string, n bigint, point bigint, pivots array<bigint>, sketch binary")
+                    f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row_key bigint, text_key string, n bigint, point bigint, pivots array<bigint>, sketch binary, {', '.join(f'{b} bigint' for b in PARITIES)}")
 
 
 def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, members: Members, scratch: Scratch) -> DataFrame:
@@ -237,11 +244,14 @@ def _meetings(left: DataFrame, members: Members) -> DataFrame:
     most = F.floor(((F.col("n") - F.col("place")) * (p + q) - F.col("n") * p) / p)
     low, top = F.ceil(F.col("n") * p / q), F.least(F.col("n"), most)
     step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(1.01)) + 1e-9).cast("int")
-    large = left.filter(top >= low).select("pivot", "size", F.col("point").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("i"), F.col("component").alias("c_x"), "ring",
+    large = left.filter(top >= low).select("pivot", "size", *(F.col(b).alias(f"x_{b}") for b in PARITIES), F.col("point").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("i"), F.col("component").alias("c_x"), "ring",
                                            F.sequence(step(low) - 1, step(top) + 1).alias("steps"))
-    small = left.filter(most >= F.col("n")).select("pivot", "size", F.col("point").alias("y"), F.col("n").alias("n_y"), F.col("place").alias("j"), F.col("component").alias("c_y"), "ring",
+    small = left.filter(most >= F.col("n")).select("pivot", "size", *(F.col(b).alias(f"y_{b}") for b in PARITIES), F.col("point").alias("y"), F.col("n").alias("n_y"), F.col("place").alias("j"), F.col("component").alias("c_y"), "ring",
                                                    step(F.col("n")).alias("step"))
-    fits = (F.col("c_x") != F.col("c_y")) & (F.col("n_y") <= F.col("n_x")) & members.possible(F.col("n_x"), F.col("i"), F.col("n_y"), F.col("j"))
+    # The parity sketches differ in no more bits than the sets in shingles: what is too far leaves no row behind.
+    differing = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))).cast("bigint") for b in PARITIES), F.lit(0).cast("bigint"))
+    both = F.col("n_x") + F.col("n_y")
+    fits = (differing <= both - 2 * F.ceil(both * p / (p + q))) & (F.col("c_x") != F.col("c_y")) & (F.col("n_y") <= F.col("n_x")) & members.possible(F.col("n_x"), F.col("i"), F.col("n_y"), F.col("j"))
     few, many = F.col("size") <= FEW, F.col("size") > FEW
     met = [large.filter(few).drop("ring", "size", "steps").join(small.filter(few).drop("ring", "size", "step"), "pivot")]
     # Ring 0 are the linked members, the threshold itself included: they need not meet each other, and reach one ring further.
@@ -253,8 +263,7 @@ def _meetings(left: DataFrame, members: Members) -> DataFrame:
     met.append(stepped.filter(known).withColumn("ring", F.explode(window)).join(beside.filter(known), ["pivot", "ring", "step"]).drop("ring"))
     met.append(stepped.filter(lost).drop("ring").join(beside.drop("ring"), ["pivot", "step"]))
     met.append(stepped.filter(known).drop("ring").join(beside.filter(lost).drop("ring"), ["pivot", "step"]))
-    columns = ["x", "y", "n_x", "n_y", "i", "j", "c_x", "c_y"]
-    return functools.reduce(DataFrame.unionAll, [m.filter(fits).select(*columns) for m in met])
+    return functools.reduce(DataFrame.unionAll, [m.filter(fits).select("x", "y") for m in met])
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, threshold: Fraction = LINK,
@@ -269,7 +278,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     members = Members(Fraction(threshold))
     p, q = members.t.numerator, members.t.denominator
     rows = scratch.keep(point_sets(docs, text, doc_id, k, members, shared_pivots(docs, text, k, sample_words)), "points")
-    points = scratch.keep(rows.filter(F.col("point").isNotNull()).dropDuplicates(["point"]).select("point", "text_key", "n", "pivots", "sketch"), "distinct")
+    points = scratch.keep(rows.filter(F.col("point").isNotNull()).dropDuplicates(["point"]).select("point", "text_key", "n", "pivots", "sketch", *PARITIES), "distinct")
     texts = docs.select(F.col(text).alias("text"))
 
     # Regions: the first pivots of each point, with the pivot's place in it.
@@ -298,7 +307,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     mixed = (others.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
              .filter(F.col("low") < F.col("high")).select("pivot", "size"))
     # What the sketch kept from the document pivot is in no ring.
-    left = scratch.keep(others.join(mixed, "pivot").select("pivot", "size", "point", "n", "place", "component", F.coalesce("ring", F.lit(FAR)).alias("ring")), "left")
+    left = scratch.keep(others.join(mixed, "pivot").select("pivot", "size", "point", "n", "place", "component", F.coalesce("ring", F.lit(FAR)).alias("ring"))
+                        .join(points.select("point", *PARITIES), "point"), "left")
     met = _meetings(left, members).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = _measured(met, points, texts, k, members, scratch)
     links = links.unionAll(second.filter(is_link))
