@@ -7,6 +7,8 @@ last return the columns of ``docs``.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from shelfwise.sources.staging import stage
 
 #: A document of known letters goes only where the network is hardly surer of a language than of none.
 LEAST_SCORE = 0.3
+#: Near copies share so much of their shingles of so many words; the query op7_jaccard_join has figures of its own.
+NEAR_WORDS, NEAR = 5, Fraction(4, 5)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that links connect, the one with the smallest id; documents without words are no group."""
-    return jaccard_regions.keep_one(docs)
+    return jaccard_regions.keep_one(docs, k=NEAR_WORDS, threshold=NEAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
