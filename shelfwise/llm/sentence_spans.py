@@ -2,7 +2,9 @@
 
 A text is cut into sentences at the ends of sentences and lines. A sentence that
 runs on is cut further at places that its own words choose (the least hash in each
-stretch of words), so a passage is cut alike wherever it stands. Every shortest run of
+stretch of words), so a passage is cut alike wherever it stands. Where it begins or ends
+inside a sentence, at most a stretch of its words falls to a piece of the host's, so any
+50 shared words hold a whole run. Every shortest run of
 several consecutive sentences that has enough words is hashed: the shortest from each
 sentence on, and the shortest up to each sentence. Runs are joined over the whole table.
 In order of the rows (by id) and places the first run of each hash stays and all others
@@ -33,7 +35,8 @@ from .key_filter import likely, unlikely
 from .scratch import Scratch
 
 RUN_SENTENCES, RUN_WORDS = 3, 25
-LONG_WORDS, STRETCH_WORDS = 24, 12
+#: Pieces hold at most 12 words, so a run is never short of sentences where it has its words. Both sides of 50 shared words may lose 12.
+LONG_WORDS, STRETCH_WORDS = 12, 12
 SPAN_FILTER_BITS = 1 << 24
 
 _END = re.compile(r"[.!?…。！？]+[\"')\]»”’]*\s+|\n\s*")

@@ -64,3 +64,43 @@ def test_passages_of_over_fifty_words_go_wherever_they_stand(spark):
         assert got[first[0]].text == first[1]
         lines = second[1].split("\n")
         assert got[second[0]].text.split("\n") == [lines[0], lines[2]]
+
+
+def shared_pieces(seed, n=300):
+    """Pairs of hosts with one passage of 50 words pasted at random word positions; sentences of any length, so it begins and ends inside some."""
+    pick = random.Random(seed)
+
+    def prose(size):
+        words = passage(pick, size).split()
+        for i in range(size):
+            if pick.random() < pick.choice((0.03, 0.08, 0.3)):
+                words[i] += pick.choice(".!?")
+        return words
+
+    for _ in range(n):
+        shared = prose(50)
+        hosts = []
+        for _ in range(2):
+            host = prose(pick.randint(0, 80))
+            at = pick.randint(0, len(host))
+            hosts.append((" ".join(host[:at]), " ".join(shared), " ".join(host[at:])))
+        yield [" ".join(x for x in host if x) for host in hosts]
+
+
+def test_fifty_shared_words_hold_a_run_wherever_they_are_pasted():
+    hashes = sentence_spans._Hashes()
+    for one, other in shared_pieces(11):
+        found = [{h for h, _, _ in sentence_spans.run_hashes(x, sentence_spans.RUN_SENTENCES, sentence_spans.RUN_WORDS, hashes)} for x in (one, other)]
+        assert found[0] & found[1], (one, other)
+
+
+def test_passage_inside_sentences_goes(spark):
+    pick = random.Random(12)
+    rows = []
+    for i in range(20):
+        tail, middle, head = passage(pick, 20), passage(pick, 14), passage(pick, 20)
+        for j in range(2):
+            rows.append((2 * i + j, f"{passage(pick, 9)} {tail}. {middle}. {head} {passage(pick, 8)}."))
+    got = {r.doc_id: r.text for r in sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for key, text in rows:
+        assert got[key] == text if key % 2 == 0 else len(got[key].split()) <= len(text.split()) - 26
