@@ -6,10 +6,10 @@ the chain of elements it stands in. Nothing else of the page is kept.
 
 A line's ratio is its characters per tag. The ratios are smoothed with a Gaussian over
 the lines before and after, and lines whose smoothed ratio passes a threshold (a share
-of the ratios' spread) form the content cluster. The region of the content is the
-element that holds the cluster: an article or main element if the page has one with
-most of the cluster, else the smallest element with nearly all of it. All lines of the
-region are the text, whatever their own length, but for those in elements that are
+of the ratios' spread) form the content cluster. The regions of the content hold
+the whole cluster and the title: every article (or main element) with lines of it, and
+the lowest element around those outside. All lines of the
+regions are the text, whatever their own length, but for those in elements that are
 menus, headers, footers, sidebars, notices, adverts, forms, comments and the like by
 their tag, role, class or id.
 
@@ -32,7 +32,7 @@ from .batches import map_rows
 
 FEED_CHARS = 65_536
 SIGMA, REACH = 1.0, 3
-SPREAD_SHARE, REGION_SHARE, ARTICLE_SHARE = 0.25, 0.9, 0.3
+SPREAD_SHARE = 0.25
 
 #: Elements by their place in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +56,8 @@ ABOUT = frozenset("has no with without non is".split())
 #: A header holds the title when it stands in an article; elsewhere it is the site's.
 HEADERS = frozenset("header".split())
 WHOLE = frozenset("html body main".split())
+#: Blocks that are one piece of a text.
+PIECES = frozenset("p li td th tr h1 h2 h3 h4 h5 h6".split())
 
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -217,28 +219,29 @@ def main_text(html: str | None, by_name: bool = True) -> str:
     ratios = smoothed(np.array([len(text) / max(tags, 1) for text, _, tags, _ in lines], np.float64))
     threshold = SPREAD_SHARE * float(ratios.std())
     cluster = [i for i in kept if ratios[i] >= threshold] or kept
-    mass: dict[int, int] = {}
-    by_number: dict[int, _Element] = {}
-    for i in cluster:
-        for element in _chain(lines[i][3]):
-            mass[element.number] = mass.get(element.number, 0) + len(lines[i][0])
-            by_number[element.number] = element
-    total = sum(len(lines[i][0]) for i in cluster)
-    region = _region(mass, by_number, total)
-    if region is None:
+    title = [i for i in kept if any(e.tag == "h1" for e in _chain(lines[i][3]))]
+    regions = _regions([lines[i][3] for i in sorted({*cluster, *title})])
+    if regions is None:
         return "\n".join(lines[i][0] for i in kept)
-    return "\n".join(lines[i][0] for i in kept if any(e is region for e in _chain(lines[i][3])))
-
-
-def _region(mass: dict[int, int], by_number: dict[int, _Element], total: int) -> _Element | None:
-    for tags in (("article",), ("main",)):
-        named = [n for n, e in by_number.items() if e.tag in tags and not any(x.tag in tags for x in _chain(e)[1:])]
-        if named:
-            most = max(named, key=lambda n: (mass[n], -n))
-            if mass[most] >= ARTICLE_SHARE * total:
-                return by_number[most]
-    holders = [n for n, e in by_number.items() if e.tag in BLOCKS and e.tag not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6") and mass[n] >= REGION_SHARE * total]
-    return by_number[max(holders)] if holders else None
+    return "\n".join(lines[i][0] for i in kept if any(e in regions for e in _chain(lines[i][3])))
+
+
+def _regions(places: list[_Element]) -> set[_Element] | None:
+    """The regions that hold all these elements: articles, else main elements, and the lowest element around those outside; None for the whole page."""
+    found, rest = set(), []
+    for place in places:
+        chain = _chain(place)
+        holders = [e for e in chain if e.tag == "article"] or [e for e in chain if e.tag == "main"]
+        if holders:
+            found.add(holders[-1])
+        else:
+            rest.append(chain)
+    if not rest:
+        return found
+    common = [e for e in rest[0] if all(e in chain for chain in map(set, rest))]
+    if not found:
+        common = [e for e in common if e.tag in BLOCKS and e.tag not in PIECES]
+    return found | {common[0]} if common else None
 
 
 def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:

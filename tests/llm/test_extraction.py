@@ -49,3 +49,20 @@ def test_table(spark):
     got = sorted((r.text, r.n_chars) for r in main_text.extract(pages).collect())
     assert got == [("", 0), ("", 0), (TEXT, len(TEXT))]
     assert main_text.extract(pages.limit(0)).count() == 0
+
+
+def prose(name, n):
+    return "".join(f"<p>Paragraph {i} of {name} says a thing or two that is long enough to be read.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("n", [2, 60])
+def test_title_lead_and_end_stay_beside_a_body_of_any_length(n):
+    got = main_text.main_text(f"<body><nav>Menu</nav><div id=content><h1>Title</h1><p>Lead of the text.</p><div class=body>{prose('body', n)}</div><p>The end of it.</p></div></body>").split("\n")
+    assert got[:2] == ["Title", "Lead of the text."] and got[-1] == "The end of it." and len(got) == n + 3
+
+
+def test_text_of_several_articles_and_beside_one():
+    split = main_text.main_text(f"<body><article>{prose('one', 6)}</article><article>{prose('two', 8)}</article></body>").split("\n")
+    assert len(split) == 14
+    beside = main_text.main_text(f"<body><div><h1>T</h1>{prose('text', 12)}</div><div><article>{prose('card', 7)}</article></div></body>").split("\n")
+    assert len(beside) == 20 and beside[0] == "T"
