@@ -11,7 +11,8 @@ the whole cluster and the title: every article (or main element) with lines of i
 the lowest element around those outside. All lines of the
 regions are the text, whatever their own length, but for those in elements that are
 menus, headers, footers, sidebars, notices, adverts, forms, comments and the like by
-their tag, role, class or id.
+their tag, role, class or id. A class, an id, a form or a header sets nothing aside where
+it is around the page's only title or most of its text.
 
 Defined results: a null or empty page has no text, and so has one without lines outside
 such elements. Unclosed and misplaced tags are closed as browsers do. Repeated rows get
@@ -44,13 +45,17 @@ ENDS_P = BLOCKS - frozenset("body caption dd dt head html legend li optgroup opt
 #: What a start tag ends of its own kind, up to the element that may hold it.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
-ASIDE_TAGS = frozenset("""script style noscript template iframe object svg math canvas audio video head title nav footer aside form button select textarea
-input label fieldset dialog menu datalist search""".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
+ASIDE_TAGS = frozenset("""script style noscript template iframe object svg canvas audio video head title nav footer aside button select textarea
+input fieldset dialog menu datalist search""".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
 ASIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense banner billboard breadcrumb breadcrumbs comment comments commentlist
 consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices overlay
 pagination pager paywall popup promo promos promotion promoted recommended recommendations related respond share sharing sidebar sidebars signin
 signup skip social sponsor sponsored sponsors subscribe subscription tagcloud teaser teasers toast toolbar topbar tracking widget widgets discussion replies reply""".split())
+#: Comments may well be longer than what they are about.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
+#: What names, forms and headers set aside is no furniture where it is more than such a share of the page's text.
+MOST, MOST_COMMENTS = 0.5, 0.9
 #: First words of names that say what a page has or lacks.
 ABOUT = frozenset("has no with without non is".split())
 #: A header holds the title when it stands in an article; elsewhere it is the site's.
@@ -63,13 +68,11 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
-def _set_aside(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+def _set_aside(tag: str, attrs: dict[str, str | None]) -> bool:
     if tag in ASIDE_TAGS:
         return True
     if tag in WHOLE:
         return False
-    if tag in HEADERS and not in_article:
-        return True
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or _HIDDEN.search(attrs.get("style") or ""):
         return True
     if (attrs.get("role") or "").strip().lower() in ASIDE_ROLES:
@@ -77,41 +80,64 @@ def _set_aside(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool
     return False
 
 
-def _named_aside(attrs: dict[str, str | None], in_article: bool) -> bool:
-    """Whether a class or id names page furniture; ``has-sidebar``, ``no-comments`` and the like name the rest of the page."""
+def _doubtful(tag: str, attrs: dict[str, str | None], in_article: bool) -> str:
+    """Why an element may be page furniture, to be held against the whole page: "tag", "name", "comments" or "".
+
+    ``has-sidebar``, ``no-comments`` and the like name the rest of the page. Names say nothing of an article.
+    """
+    if tag in WHOLE:
+        return ""
+    if tag == "form" or (attrs.get("role") or "").strip().lower() == "form" or (tag in HEADERS and not in_article):
+        return "tag"
+    if tag == "article":
+        return ""
+    found = ""
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
         words = [w.lower() for w in _NAME.findall(name)]
-        if words and words[0] not in ABOUT and (not ASIDE_WORDS.isdisjoint(words) or ("header" in words and not in_article)):
-            return True
-    return False
+        if words and words[0] not in ABOUT:
+            if not COMMENT_WORDS.isdisjoint(words):
+                return "comments"
+            if not ASIDE_WORDS.isdisjoint(words) or ("header" in words and not in_article):
+                found = "name"
+    return found
 
 
 class _Element:
-    __slots__ = ("tag", "above", "number", "aside", "in_article")
+    __slots__ = ("tag", "above", "number", "aside", "doubt", "doubtful", "in_article")
 
-    def __init__(self, tag: str, above: _Element | None, number: int, aside: bool):
-        self.tag, self.above, self.number = tag, above, number
+    def __init__(self, tag: str, above: _Element | None, number: int, aside: bool, doubt: str = ""):
+        self.tag, self.above, self.number, self.doubt = tag, above, number, doubt
         self.aside = aside or (above is not None and above.aside)
+        #: The nearest doubtful element from here upwards.
+        self.doubtful: _Element | None = self if doubt else above.doubtful if above is not None else None
         self.in_article = tag in ("article", "main") or (above is not None and above.in_article)
 
 
+def _doubts(element: _Element) -> list[_Element]:
+    found, at = [], element.doubtful
+    while at is not None:
+        found.append(at)
+        at = at.above.doubtful if at.above is not None else None
+    return found
+
+
 class Lines(HTMLParser):
-    """Collects (text, characters, tags, element) of each line."""
+    """Collects (parts of the text and their elements, characters, tags, element) of each line."""
 
-    def __init__(self, by_name: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.by_name, self.hidden_article = by_name, False
+        self.titles: list[_Element] = []
+        self.articles: list[_Element] = []
         self.elements = 0
         self.top = self.open = _Element("", None, 0, False)
-        self.lines: list[tuple[str, int, int, _Element]] = []
-        self.parts: list[str] = []
+        self.lines: list[tuple[list[tuple[str, _Element]], int, int, _Element]] = []
+        self.parts: list[tuple[str, _Element]] = []
         self.seen = self.tags = 0
         self.at = self.top
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text or self.seen or self.tags:
-            self.lines.append((text, self.seen, self.tags, self.at))
+        if self.parts or self.seen or self.tags:
+            self.lines.append((self.parts, self.seen, self.tags, self.at))
         self.parts, self.seen, self.tags, self.at = [], 0, 0, self.block()
 
     def block(self) -> _Element:
@@ -143,13 +169,13 @@ class Lines(HTMLParser):
                     self.close_to(own, holders)
         self.tags += 1
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", self.open))
         if tag not in VOID:
             self.elements += 1
-            given, in_article = dict(attrs), self.open.in_article
-            named = self.by_name and tag not in WHOLE and _named_aside(given, in_article)
-            self.hidden_article |= tag in ("article", "main", "h1") and self.open.aside
-            self.open = _Element(tag, self.open, self.elements, _set_aside(tag, given, in_article) or named)
+            given = dict(attrs)
+            self.open = _Element(tag, self.open, self.elements, _set_aside(tag, given), _doubtful(tag, given, self.open.in_article))
+            if not self.open.aside and tag in ("h1", "article", "main"):
+                (self.titles if tag == "h1" else self.articles).append(self.open)
         if breaks:
             self.at = self.block()
 
@@ -182,7 +208,37 @@ class Lines(HTMLParser):
             return
         self.seen += len(data)
         if not self.open.aside:
-            self.parts.append(data)
+            self.parts.append((data, self.open))
+
+    def furniture(self) -> set[_Element]:
+        """The doubtful elements that are furniture: not those around the only title, an article's form, or most of the page's text.
+
+        Beside an article with the title, an element is furniture whatever its size.
+        """
+        mass: dict[_Element, int] = {}
+        doubted: dict[tuple[_Element, ...], int] = {}
+        total = 0
+        for parts, *_ in self.lines:
+            for text, at in parts:
+                size = len("".join(text.split()))
+                total += size
+                if at.doubtful is not None and size:
+                    chain = tuple(_doubts(at))
+                    doubted[chain] = doubted.get(chain, 0) + size
+                    for element in chain:
+                        mass[element] = mass.get(element, 0) + size
+        kept = {e for article in self.articles for e in _doubts(article) if e.tag == "form"}
+        if all(title.doubtful is not None for title in self.titles):
+            kept |= {e for title in self.titles for e in _doubts(title)}
+        anchors = {e for title in self.titles if title.doubtful is None for e in _chain(title) if e.tag in ("article", "main")}
+        judged = {e for e in mass if not anchors or not anchors.isdisjoint(_chain(e))}
+        kept |= {e for e, size in mass.items() if e in judged and size > (MOST_COMMENTS if e.doubt == "comments" else MOST) * total}
+        # Many small elements of such names may be most of the text together.
+        for doubts, most in ((("tag", "name"), MOST), (("tag", "name", "comments"), MOST_COMMENTS)):
+            gone = sum(size for chain, size in doubted.items() if any(e in judged and e.doubt in doubts and e not in kept for e in chain))
+            if gone > most * total:
+                kept |= {e for e in judged if e.doubt in doubts and e.doubt != "tag"}
+        return set(mass) - kept
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -200,22 +256,21 @@ def _chain(element: _Element) -> list[_Element]:
     return found
 
 
-def main_text(html: str | None, by_name: bool = True) -> str:
-    """Blocks of the main text, one a line.
-
-    Where names of furniture hide an article and leave no text at all, they are not believed.
-    """
+def main_text(html: str | None) -> str:
+    """Blocks of the main text, one a line."""
     if not html:
         return ""
-    parser = Lines(by_name)
+    parser = Lines()
     for start in range(0, len(html), FEED_CHARS):
         parser.feed(html[start:start + FEED_CHARS])
     parser.close()
     parser.flush()
-    lines = parser.lines
-    kept = [i for i, (text, _, _, at) in enumerate(lines) if text]
+    furniture = parser.furniture()
+    shown = lambda at: at.doubtful is None or furniture.isdisjoint(_doubts(at))
+    lines = [(" ".join("".join(text for text, own in parts if shown(own)).split()), seen, tags, at) for parts, seen, tags, at in parser.lines]
+    kept = [i for i, (text, _, _, _) in enumerate(lines) if text]
     if not kept:
-        return main_text(html, False) if by_name and parser.hidden_article else ""
+        return ""
     ratios = smoothed(np.array([len(text) / max(tags, 1) for text, _, tags, _ in lines], np.float64))
     threshold = SPREAD_SHARE * float(ratios.std())
     cluster = [i for i in kept if ratios[i] >= threshold] or kept

@@ -66,3 +66,26 @@ def test_text_of_several_articles_and_beside_one():
     assert len(split) == 14
     beside = main_text.main_text(f"<body><div><h1>T</h1>{prose('text', 12)}</div><div><article>{prose('card', 7)}</article></div></body>").split("\n")
     assert len(beside) == 20 and beside[0] == "T"
+
+
+@pytest.mark.parametrize("name", ["post category-newsletter", "tag-social", "elementor-widget-text", "share-enabled", "related-post"])
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_a_name_does_not_hide_the_text(tag, name):
+    html = f"<body><p>1 May</p><{tag} class='{name}'><h1>Title</h1>{prose('text', 5)}</{tag}><div>Made by us</div></body>"
+    got = main_text.main_text(html)
+    assert "Title" in got and got.count("Paragraph") == 5
+    pieces = main_text.main_text("<body><h1>Title</h1>" + "".join(f"<{tag} class='{name}'>{prose(i, 1)}</{tag}>" for i in range(9)) + "<div>Made by us</div></body>")
+    assert pieces.count("Paragraph") == 9 and pieces.startswith("Title")
+
+
+def test_forms_headers_math_and_labels():
+    around = main_text.main_text(f"<body><form id=aspnetForm><nav>Menu</nav><div><h1>Title</h1>{prose('text', 5)}</div><button>Send</button></form></body>")
+    assert around.startswith("Title") and around.count("Paragraph") == 5 and "Send" not in around and "Menu" not in around
+    header = main_text.main_text(f"<body><div><header><h1>Title</h1></header>{prose('text', 5)}</div></body>")
+    assert header.startswith("Title") and header.count("Paragraph") == 5
+    assert main_text.main_text("<article><p>So <math><mi>x</mi></math> is <label>known</label> here.</p></article>") == "So x is known here."
+
+
+def test_comments_longer_than_the_article_still_go():
+    got = main_text.main_text(f"<body><article><h1>Title</h1>{prose('text', 5)}</article><div id=comments>{prose('comment', 12)}</div><form><label>Your comment</label></form></body>")
+    assert got.count("Paragraph") == 5 and "Your" not in got
