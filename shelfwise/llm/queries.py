@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, cover_tree, feistel_shards, fm_index, jaccard_regions, length_histogram, license_diagonals, main_text, sentence_spans
+from . import bpe, byte_cnn, cover_tree, feistel_shards, filter_audit, fm_index, jaccard_regions, length_histogram, lexical_search, license_diagonals, main_text, sentence_spans, warc
 from .batches import renamed
 from .registry import query, table
 
@@ -100,3 +100,58 @@ def fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(F.col("c0").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op11_filter_audit", oracle=r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    l AS (SELECT doc_id, max((quality IS NOT NULL AND quality = 1)::INT) AS good, max((toxic IS NOT NULL AND toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (len(w) < 50)::INT AS a, (100 * len(list_distinct(w)) < 65 * len(w))::INT AS b,
+                 (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::INT AS c, regexp_matches(t, '[#$%&*|]')::INT AS d,
+                 coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS e FROM d LEFT JOIN l USING (doc_id)),
+    c AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+    f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    o AS (SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+          FROM f p, f q, f r, f s, f t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND len(list_distinct([p.bit, q.bit, r.bit, s.bit, t.bit])) = 5),
+    u AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, unnest([1, 2, 3, 4, 5]) s(step)),
+    r AS (SELECT part, filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS filter,
+                 coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+          FROM c, u GROUP BY ALL)
+    SELECT *, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM r""")
+def filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_shared_lexical_search", oracle=f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_TERMS}, []) AS w FROM documents),
+    s AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+    q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+    p AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+    f AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, big_n),
+    m AS (SELECT rid, doc_id, 25 + (75 * len(w) * big_n) // big_l AS m FROM d, s),
+    x AS (SELECT item_id, rid, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM p JOIN f USING (t) JOIN q USING (t) JOIN m USING (rid) GROUP BY ALL)
+    SELECT item_id, row_number() OVER o::INTEGER AS rank, doc_id, score FROM x WHERE score > 0
+    WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10""")
+def shared_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_warc_archives", oracle="""
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS least FROM p)
+    SELECT page_id, n::BIGINT AS payload_bytes,
+           list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + (('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) % 32, 1)), 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to, true AS digest_ok
+    FROM h""")
+def warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    records = warc.read(warc.archive(pages)).filter(F.col("record_type").isin("response", "revisit"))
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "digest_ok")
