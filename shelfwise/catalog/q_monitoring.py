@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import config
 from ..functions.core import round_half_up
-from ..operators import monitoring as MON
-from ..plans import comparison as C
+from ..operators import matching as M, monitoring as MON
 from ..sources import imports as IMP, views as V
 from ..sources.tables import Tables
 from .oracle import AS_OF, PID, r
@@ -72,13 +72,13 @@ def alerts_resolved(t: Tables) -> DataFrame:
 
 
 @query("commercial_alerts", f"""+ d AS (SELECT * FROM live WHERE discount_percentage>=20 AND promotion_id NOT IN (SELECT {PID} FROM lineitem WHERE l_linestatus='F')), b AS (SELECT * FROM live WHERE promotion_type='BUY_X_GET_Y'),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY own_id ORDER BY unit, promotion_id) rn FROM matches) WHERE rn<=5 AND gap<=-15.0)
+t AS (SELECT * FROM matches WHERE gap<=-15.0)
 SELECT 'PRICE_SHOCK' AS kind, concat('price-shock:',promotion_id,':',CAST({r('discount_percentage', 0)} AS INTEGER)) AS fingerprint FROM d UNION ALL SELECT 'DISRUPTIVE_PROMO', concat('disruptive-promo:',promotion_id,':bogo:',buy_quantity,'x',free_quantity) FROM b
 UNION ALL SELECT 'COMPETITOR_UNDERCUT', concat('competitor-undercut:',own_id,':',promotion_id,':',CAST(abs({r('gap', 0)}) AS INTEGER)) FROM t""", "live matches")
 def commercial_alerts(t: Tables) -> DataFrame:
     shown = live(t, "discount_percentage", "promotion_type", "buy_quantity", "free_quantity", "product_name", "competitor")
-    matches = C.comparison_matches(own(t), offers(t), decisions(t), as_of=V.AS_OF)
-    return MON.commercial_alerts(shown, matches, alert_history(t)).select("kind", "fingerprint")
+    undercuts = M.undercut_offers(M.scope_own(own(t)), M.scope_offers(offers(t)), decisions(t), gap=config.ALERT_UNDERCUT_GAP)
+    return MON.commercial_alerts(shown, undercuts, alert_history(t)).select("kind", "fingerprint")
 
 
 @query("alert_episodes", """WITH c AS (SELECT user_id AS source_id, ts, event_type<>'error' AS ok FROM events), x AS (SELECT *, max(CASE WHEN ok THEN ts END) OVER (PARTITION BY source_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ls,

@@ -33,6 +33,8 @@ from .gates import strictly_valid, validity_filter
 from .ranking import newest_per_key
 
 CELL = ["scope", "category", "grams"]
+#: Offers of a price block that one join key holds at most, about.
+BLOCK_ROWS = 4096
 
 
 def priced_offers(live: DataFrame, *, as_of: AsOf, validity: str | None = None) -> DataFrame:
@@ -333,6 +335,30 @@ def match_details(top: DataFrame, own: DataFrame, offers: DataFrame, *, as_of: A
     })
 
 
+def undercut_offers(own: DataFrame, offers: DataFrame, decisions: DataFrame, *, gap: float, low: float = PACK_RATIO_LOW, high: float = PACK_RATIO_HIGH,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every (own product, offer) in the band whose gap is ``gap`` per cent or lower, rejected offers excluded.
+
+    A range join whose work follows its result. Offers lie in price blocks of their cell, and crowded
+    blocks in parts of about ``block_rows``. Which blocks reach below a ceiling is settled once for each
+    distinct (pack size, block of the ceiling), on blocks that hold offers. A product then meets
+    whole blocks below its ceiling, all of which are results, and the block at the ceiling, where the exact gap decides.
+    """
+    key = ["scope", "category", "own_grams"]
+    spot = [*CELL, "block", "part"]
+    ceiling = F.col("own_unit") * F.lit(1.0 + (gap + 0.06) / 100.0) + F.lit(1e-6)  # the gap is rounded to one decimal
+    products = own.filter(F.col("own_unit") > 0).select("own_id", "scope", "category", F.col("grams").alias("own_grams"), "own_unit", _block(ceiling).alias("border")).distinct()
+    slim = offers.select(*CELL, "unit", "promotion_id", "offer_key", _block(F.col("unit")).alias("block"))
+    blocks = slim.groupBy(*CELL, "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts"))
+    dealt = slim.join(blocks, [*CELL, "block"]).withColumn("part", F.pmod(F.xxhash64("promotion_id"), F.col("parts")).cast("int")).drop("parts")
+    sizes = band(products.withColumnRenamed("own_grams", "grams"), blocks, low=low, high=high)
+    asked = products.select(*key, "border").distinct().join(sizes, key).join(blocks, CELL).filter(F.col("block") <= F.col("border"))
+    below = asked.select(*key, "border", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = products.join(below, [*key, "border"]).join(dealt, spot).withColumn("gap_pct", gap_pct("unit", "own_unit")).filter(F.col("gap_pct") <= gap)
+    found = met.select("own_id", "promotion_id", "unit", "offer_key", "own_unit", "gap_pct")
+    return found.dropDuplicates(["own_id", "promotion_id"]).join(rejections(decisions), ["own_id", "offer_key"], "left_anti")
+
+
 def undercut_flags(offers: DataFrame, own: DataFrame, decisions: DataFrame, target: Column, *, low: float = PACK_RATIO_LOW,
                    high: float = PACK_RATIO_HIGH) -> DataFrame:
     """Adds ``undercuts``: some own product in the band, not rejecting this offer, has ``target`` above the offer's unit price.

@@ -94,3 +94,23 @@ def test_undercut_ceiling_is_the_last_negative_gap(spark):
     for r in rows:
         cents = round(r["cap"] * 100)
         assert gap(cents / 100.0, r["own"]) < 0 <= gap((cents + 1) / 100.0, r["own"])
+
+
+def test_all_undercuts_against_brute_force(market):
+    own, offers, verdicts, (o, f, d) = market
+    want = {(i, f[0]) for i, hits in brute(own, offers, verdicts).items() for f in hits for p in own if p[0] == i and gap(f[3], p[5]) <= -5.0}
+    assert len(want) > 5 * len({i for i, _ in want})  # more than a shortlist
+    for rows in (4096, 1):
+        got = M.undercut_offers(M.scope_own(o), M.scope_offers(f), d, gap=-5.0, block_rows=rows)
+        pairs = [(r.own_id, r.promotion_id) for r in got.collect()]
+        assert set(pairs) == want and len(pairs) == len(want)
+
+
+def test_undercuts_with_allowed_brands_and_without_rows(market, spark):
+    own, offers, verdicts, (o, f, d) = market
+    allowed = {"B0": {"B1", "B2"}, "B1": {"B1"}}
+    brands = spark.createDataFrame([(b, a) for b, many in allowed.items() for a in many], "brand string, allowed_brand string")
+    want = {(i, x[0]) for i, hits in brute(own, offers, verdicts, allowed).items() for x in hits for p in own if p[0] == i and gap(x[3], p[5]) <= -5.0}
+    got = M.undercut_offers(M.scope_own(o, brand_map=brands), M.scope_offers(f, by_brand=True), d, gap=-5.0)
+    assert {(r.own_id, r.promotion_id) for r in got.collect()} == want
+    assert M.undercut_offers(M.scope_own(o), M.scope_offers(f.limit(0)), d, gap=-5.0).count() == 0
