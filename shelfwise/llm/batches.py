@@ -6,6 +6,8 @@ the table. Results are handed back in slices for the same reason.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
@@ -62,11 +64,20 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_slices(fn(rows_of(batches)), arrow)
-        pa.default_memory_pool().release_unused()  # workers are used again, so what this task needed must not stay with them
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers are used again, so what a task needed must not stay with them."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def extend_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], extra: str) -> DataFrame:
     """``df`` through Python with more columns behind: ``fn`` yields each row with the values of ``extra`` (DDL).
 

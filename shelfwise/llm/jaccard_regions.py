@@ -27,19 +27,22 @@ as the sets differ in shingles. That bound only rejects pairs that are too far.
 
 Equal sets are one point throughout; they are never paired with each other.
 
-Which pivots are shared is estimated from a bounded sample of documents
-(``sample_words``). The order decides how large regions are, never which links are found.
+How many documents share a shingle is counted over all documents, for the shingles
+that can come first in a set: by their hash, the first half more than a set may miss.
+The ``most_counted`` most shared of them are put last, in steps of their counts. The order decides how
+large regions are, never which links are found.
 
 Defined results: null and empty texts, and texts without words, have no shingles,
 link with nothing and are their own component. A text shorter than a shingle has its
 whole word sequence as its only shingle. Repeated rows and equal sets fall together.
 A row without an id belongs to its component but cannot name it. Other columns are
-not read. Shingles are compared by 64-bit hashes.
+not read. Shingles are compared by 64-bit hashes, sets and rows by 128-bit ones.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -55,7 +58,10 @@ from .key_filter import likely, unlikely
 from .scratch import Scratch
 
 SHINGLE_WORDS, LINK = 3, Fraction(9, 10)
-SAMPLE_WORDS = 4_000_000
+#: Shingles whose counts tasks hold, 9 bytes each; where more are shared, these are the most shared ones.
+MOST_COUNTED = 1_000_000
+#: Shingles counted beyond the first half more that a set may miss, so that short sets are not left out.
+EVEN_COUNTED = 4
 RINGS = 10
 FAR = RINGS + 1
 REGION_FILTER_BITS = 1 << 24
@@ -130,12 +136,14 @@ class Members:
 
 
 def row_key(doc_id: str, text: str):
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """128 bits of id and text; an id's length keeps the two apart."""
+    own = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("|", F.length(own), F.col(doc_id).isNull(), own, F.coalesce(F.col(text), F.lit("")))))
 
 
-def _point(own: bytes) -> int:
+def _point(own: bytes) -> bytes:
     """The point of a set, from the bytes of its sorted shingles."""
-    return xxhash.xxh3_64_intdigest(own) - (1 << 63)
+    return xxhash.xxh3_128_digest(own)
 
 
 def _sketch(own: np.ndarray) -> bytes:
@@ -159,27 +167,40 @@ def _differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def shared_pivots(docs: DataFrame, text: str, k: int, sample_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least two different documents of a bounded sample hold, and in how many."""
-    rows = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    chars = rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    share = min(1.0, sample_words * 6 / max(chars, 1))
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).dropDuplicates()
+def shared_pivots(docs: DataFrame, text: str, k: int, members: Members, most: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most different texts share, ascending, and the step of their counts; ``most`` at most, by counts over all rows.
 
+    Repeated texts count once a task.
+    """
     def run(part: Iterator[tuple]) -> Iterator[tuple]:
-        hashes = _Hashes()
+        hashes, seen = _Hashes(), set()
         for (value,) in part:
-            yield from ((x,) for x in shingles(value, k, hashes).view(np.int64).tolist())
-
-    counts = map_rows(drawn, run, "shingle bigint").groupBy("shingle").count().filter("count > 1").toArrow()
-    shingle = counts["shingle"].to_numpy().view(np.uint64)
+            own = shingles(value, k, hashes)
+            if len(own) and (point := _point(own.tobytes())) not in seen:
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add(point)
+                yield (own[:(members.missing(len(own)) + 1) * 3 // 2 + EVEN_COUNTED].view(np.int64),)
+
+    firsts = map_rows(docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()), run, "shingles array<bigint>")
+    step = F.floor(F.log2("count") * 4).cast("int")
+    counts = scratch.keep(firsts.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().filter("count > 1").select("shingle", step.alias("step")), "counts")
+    sizes = {r["step"]: r["n"] for r in counts.groupBy("step").agg(F.count("*").alias("n")).collect()}  # a few hundred steps
+    least, total = 0, 0
+    for own in sorted(sizes, reverse=True):
+        total += sizes[own]
+        if total > most:
+            least = own + 1
+            break
+    held = counts.filter(F.col("step") >= least).toArrow()
+    shingle = held["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(shingle)
-    return shingle[order], counts["count"].to_numpy()[order]
+    return shingle[order], held["step"].to_numpy()[order].astype(np.uint8)
 
 
 def point_sets(docs: DataFrame, text: str, doc_id: str, k: int, members: Members, pivots: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Per row: id, number of shingles, the point its set is (a hash), its first pivots in order, and its parity sketch."""
-    known, counts = pivots
+    known, steps = pivots
 
     def run(part: Iterator[tuple]) -> Iterator[tuple]:
         hashes = _Hashes()
@@ -192,12 +213,12 @@ def point_sets(docs: DataFrame, text: str, doc_id: str, k: int, members: Members
             shared = np.zeros(n, np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                shared = np.where(known[at] == own, counts[at], 0)
+                shared = np.where(known[at] == own, steps[at], 0)
             first = np.lexsort((own, shared))[:members.missing(n) + 1]
             yield own_id, row_key, key, n, _point(own.tobytes()), own[first].view(np.int64), _sketch(own), *_parities(own)
 
     return map_rows(docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"), F.md5(text).alias("text_key")), run,
-                    f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row_key bigint, text_key string, n bigint, point bigint, pivots array<bigint>, sketch binary, {', '.join(f'{b} bigint' for b in PARITIES)}")
+                    f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row_key binary, text_key string, n bigint, point binary, pivots array<bigint>, sketch binary, {', '.join(f'{b} bigint' for b in PARITIES)}")
 
 
 def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, members: Members, scratch: Scratch) -> DataFrame:
@@ -210,7 +231,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, mem
     side = lambda name: points.select(F.col("point").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").filter(~members.far(F.col("n_a"), F.col("n_b")))
     own = Scratch(texts.sparkSession)
-    close = own.keep(map_rows(met.select("a", "b", "n_a", "n_b", "s_a", "s_b"), sketched, "a bigint, b bigint"), "close")
+    close = own.keep(map_rows(met.select("a", "b", "n_a", "n_b", "s_a", "s_b"), sketched, "a binary, b binary"), "close")
     needed = close.select(F.col("a").alias("point")).unionAll(close.select(F.col("b").alias("point"))).distinct()
     keys = own.keep(points.join(needed, "point", "left_semi").select("text_key"), "keys")
     # An inner join, the keys being distinct: Spark would move a semi join below the filter in front of it.
@@ -222,7 +243,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, mem
             held = shingles(value, k, hashes).tobytes()
             yield _point(held), held
 
-    sets = own.keep(map_rows(found.select("text"), make, "point bigint, held binary"), "sets")
+    sets = own.keep(map_rows(found.select("text"), make, "point binary, held binary"), "sets")
 
     def measure(part: Iterator[tuple]) -> Iterator[tuple]:
         for a, b, one, other in part:
@@ -232,7 +253,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, mem
             yield a, b, len(x), len(y), int((both[1:] == both[:-1]).sum())
 
     held = close.join(sets.select(F.col("point").alias("a"), F.col("held").alias("held_a")), "a").join(sets.select(F.col("point").alias("b"), F.col("held").alias("held_b")), "b")
-    measured = scratch.keep(map_rows(held.select("a", "b", "held_a", "held_b"), measure, "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint"), "measured")
+    measured = scratch.keep(map_rows(held.select("a", "b", "held_a", "held_b"), measure, "a binary, b binary, n_a bigint, n_b bigint, overlap bigint"), "measured")
     own.free()
     return measured
 
@@ -240,12 +261,13 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, mem
 def _meetings(left: DataFrame, members: Members) -> DataFrame:
     """Pairs (x, y) of members of one region, of different components, that sizes, places and rings allow to be linked."""
     p, q = members.t.numerator, members.t.denominator
-    # The larger set may meet sizes from ``low`` to ``top``, in steps of a hundredth; the smaller one has its own.
+    # The larger set may meet sizes from ``low`` to ``top``. Sizes go by steps a little wider than the threshold allows, so it meets its own step and the one below.
     most = F.floor(((F.col("n") - F.col("place")) * (p + q) - F.col("n") * p) / p)
     low, top = F.ceil(F.col("n") * p / q), F.least(F.col("n"), most)
-    step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(1.01)) + 1e-9).cast("int")
+    width = max(math.log(q / p), 1e-6) * 1.001
+    step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / width).cast("int")
     large = left.filter(top >= low).select("pivot", "size", *(F.col(b).alias(f"x_{b}") for b in PARITIES), F.col("point").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("i"), F.col("component").alias("c_x"), "ring",
-                                           F.sequence(step(low) - 1, step(top) + 1).alias("steps"))
+                                           F.array(step(F.col("n")) - 1, step(F.col("n"))).alias("steps"))
     small = left.filter(most >= F.col("n")).select("pivot", "size", *(F.col(b).alias(f"y_{b}") for b in PARITIES), F.col("point").alias("y"), F.col("n").alias("n_y"), F.col("place").alias("j"), F.col("component").alias("c_y"), "ring",
                                                    step(F.col("n")).alias("step"))
     # The parity sketches differ in no more bits than the sets in shingles: what is too far leaves no row behind.
@@ -267,7 +289,7 @@ def _meetings(left: DataFrame, members: Members) -> DataFrame:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, threshold: Fraction = LINK,
-         sample_words: int = SAMPLE_WORDS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+         most_counted: int = MOST_COUNTED, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row_key, n_shingles, point, component) and links (a, b, n_a, n_b, overlap) between points.
 
     ``point`` is equal for equal sets, null without words; ``component`` is equal for points that links connect.
@@ -277,14 +299,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     scratch = scratch or Scratch(docs.sparkSession)
     members = Members(Fraction(threshold))
     p, q = members.t.numerator, members.t.denominator
-    rows = scratch.keep(point_sets(docs, text, doc_id, k, members, shared_pivots(docs, text, k, sample_words)), "points")
+    rows = scratch.keep(point_sets(docs, text, doc_id, k, members, shared_pivots(docs, text, k, members, most_counted, scratch)), "points")
     points = scratch.keep(rows.filter(F.col("point").isNotNull()).dropDuplicates(["point"]).select("point", "text_key", "n", "pivots", "sketch", *PARITIES), "distinct")
     texts = docs.select(F.col(text).alias("text"))
 
     # Regions: the first pivots of each point, with the pivot's place in it.
     copies = points.select("point", "n", F.posexplode("pivots").alias("place", "pivot"))
     shared = scratch.keep(copies.groupBy("pivot").count().filter("count > 1").select("pivot"), "shared")
-    rank = F.col("place").cast("bigint") * (1 << 44) + F.pmod("point", F.lit(1 << 44))
+    rank = F.col("place").cast("bigint") * (1 << 44) + F.pmod(F.xxhash64("point"), F.lit(1 << 44))
     held = scratch.keep(likely(copies, "pivot", shared, REGION_FILTER_BITS).join(shared, "pivot"), "held")
     inside = scratch.keep(held.join(held.groupBy("pivot").agg(F.min_by("point", rank).alias("centre")), "pivot"), "regions")
 
@@ -313,16 +335,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     second = _measured(met, points, texts, k, members, scratch)
     links = links.unionAll(second.filter(is_link))
     parts = components(links, scratch)
-    named = rows.join(parts.select(F.col("node").alias("point"), "component"), "point", "left").withColumn("component", F.coalesce("component", "point"))
-    return named.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "point", "component"), links
+    # Rows without words have no point; they stay out of the join, where they would be one group.
+    wordless = rows.filter(F.col("point").isNull()).withColumn("component", F.col("point"))
+    named = rows.filter(F.col("point").isNotNull()).join(parts.select(F.col("node").alias("point"), "component"), "point", "left").withColumn("component", F.coalesce("component", "point"))
+    return named.unionByName(wordless).select("doc_id", "row_key", F.col("n").alias("n_shingles"), "point", "component"), links
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.result(join(docs, doc_id=doc_id, scratch=scratch, **options)[0], "classes")
-    names = rows.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
-    return rows.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    # Written, so that Spark can split the rows of one component in the join.
+    names = scratch.keep(rows.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least")), "names")
+    named = rows.filter(F.col("component").isNotNull()).join(names, "component").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return named.unionAll(rows.filter(F.col("component").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -338,9 +364,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     scratch = Scratch(docs.sparkSession)
     found = join(docs, doc_id=doc_id, text=text, scratch=scratch, **options)[0]
     rows = scratch.result(found.filter(F.col("component").isNotNull()).select("component", "doc_id", "row_key"), "members")
-    ids = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    ids = scratch.keep(rows.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     leading = rows.join(ids, "component").filter(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("row_key").alias("lead"))
-    goes = scratch.keep(rows.join(leading, "component").filter(F.col("row_key") != F.col("lead")).select("row_key").distinct(), "goes")
+    goes = scratch.keep(rows.join(scratch.keep(leading, "leading"), "component").filter(F.col("row_key") != F.col("lead")).select("row_key").distinct(), "goes")
     again = scratch.keep(rows.groupBy("row_key").count().filter("count > 1").select("row_key").join(goes, "row_key", "left_anti"), "again")
     keyed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     keyed = keyed.withColumn("row_key", row_key(f"c{docs.columns.index(doc_id)}", f"c{docs.columns.index(text)}"))

@@ -56,8 +56,8 @@ def test_classes_against_brute_force(spark, seed):
     pick = random.Random(seed)
     rows = [(pick.randrange(200) if i % 17 else None, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, point int, component string")
-    for sample in (1, 4_000_000):
-        got = jaccard_regions.classes(docs, sample_words=sample).collect()
+    for most in (5, 1_000_000):
+        got = jaccard_regions.classes(docs, most_counted=most).collect()
         assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 

@@ -67,7 +67,7 @@ def test_stage_against_brute_force(spark, seed):
 def test_keep_one_at_other_widths(spark, k, t):
     rows = list(enumerate(copies(7)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in jaccard_regions.keep_one(docs, k=k, threshold=t, sample_words=1).collect()) == kept(rows, k, t)
+    assert sorted(r.doc_id for r in jaccard_regions.keep_one(docs, k=k, threshold=t, most_counted=1).collect()) == kept(rows, k, t)
 
 
 def test_a_copy_with_a_sixth_added_goes(spark):
