@@ -57,6 +57,62 @@ def change_event_log(t: Tables) -> DataFrame:
     return fresh.agg(count_if(made).alias("created"), count_if(~made).alias("changed"), F.count(F.lit(1)).alias("fingerprints"))
 
 
+_GIFT = "l_returnflag='R'"
+_PRICE = r("(l_extendedprice/l_quantity)", 2)
+#: Tracked field: its SQL over lineitem.
+_FULL = {
+    "regular_price": f"CASE WHEN l_tax<>0.04::DOUBLE THEN {_PRICE} END", "promo_price": f"CASE WHEN l_returnflag NOT IN ('R','A') AND l_tax<>0.02::DOUBLE THEN {r(f'({_PRICE}*(1.0::DOUBLE-l_discount))', 2)} END",
+    "discount_percentage": f"CASE WHEN l_linenumber<>2 THEN {r('(l_discount*500.0::DOUBLE)', 1)} END", "promotion_type": "CASE l_returnflag WHEN 'R' THEN 'BUY_X_GET_Y' WHEN 'A' THEN 'MEMBER_PRICE' ELSE 'DISCOUNT' END",
+    "buy_quantity": f"CASE WHEN {_GIFT} THEN CAST(2+l_linenumber%2 AS INTEGER) END", "free_quantity": f"CASE WHEN {_GIFT} THEN 1 END", "bundle_quantity": "CASE WHEN CAST(l_quantity AS INTEGER)%10=0 THEN CAST(l_quantity AS INTEGER)//10 END",
+    "cashback_amount": "CASE WHEN CAST(l_quantity AS INTEGER)%7=0 THEN l_linenumber*1000.0::DOUBLE END", "voucher_amount": "CASE WHEN CAST(l_quantity AS INTEGER)%11=0 THEN l_linenumber*500.0::DOUBLE END",
+    "minimum_purchase_amount": "CASE WHEN l_tax=0.06::DOUBLE THEN l_linenumber*10000.0::DOUBLE END", "minimum_purchase_quantity": "CASE WHEN l_tax=0.07::DOUBLE THEN CAST(l_linenumber AS INTEGER) END",
+    "gift_description": "CASE WHEN CAST(l_quantity AS INTEGER)%13=0 THEN concat('gift ',l_linenumber) END", "channel": "CASE l_suppkey%3 WHEN 0 THEN 'ONLINE' WHEN 1 THEN 'IN_STORE' END",
+    "geography": "CASE WHEN l_suppkey%4<>0 THEN concat('area ',l_suppkey%4) END", "start_date": "CASE WHEN l_linenumber<>5 THEN CAST(date_trunc('month',l_shipdate) AS DATE) END",
+    "end_date": "CASE WHEN l_linestatus='O' THEN CAST(l_shipdate AS DATE) END"}
+
+
+def _full_fold(key: str) -> str:
+    """The fold over all tracked fields in SQL: one row per observation in order, values after it, changes that were made or held back."""
+    fields = list(_FULL)
+    new = {f: f"o.{f} IS NOT NULL AND o.{f} IS DISTINCT FROM f.{f}" for f in fields}
+    matters = {f: f"coalesce({new[f]}" + (f" AND (f.{f}=0 OR abs(f.{f}-o.{f})/abs(f.{f})>0.01)" if f in K.RELATIVE else f" AND abs(f.{f}-o.{f})>=1.0" if f == "discount_percentage" else "") + ", false)"
+               for f in fields if f in K.EXACT + K.RELATIVE + ["discount_percentage"]}
+    listed = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in matters.items()) + "], lambda x: x IS NOT NULL)"
+    count = "+".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in new.values())
+    verdict = f"CASE WHEN len({listed})=0 OR f.src=o.src OR o.seen-f.ver>INTERVAL 7 DAY OR o.rel-f.rel>=0.15 THEN 'APPLY' WHEN o.rel-f.rel<=-0.15 THEN 'KEEP' ELSE 'REVIEW' END"
+    raw = ", ".join(f"{sql} AS {f}" for f, sql in _FULL.items())
+    after = ", ".join(f"CASE WHEN v='APPLY' THEN coalesce(n_{f}, {f}) ELSE {f} END" for f in fields)
+    return f"""obs AS (SELECT {key} AS k, {PID} AS id, l_shipdate AS seen, l_suppkey AS src, {raw}, row_number() OVER (PARTITION BY {key} ORDER BY l_shipdate, {PID}) AS rn FROM lineitem),
+ox AS (SELECT obs.*, coalesce(reliability_score,0.85::DOUBLE) AS rel FROM obs LEFT JOIN sources s ON s.source_id=obs.src),
+f AS (SELECT k, rn, id, {', '.join(fields)}, src, seen AS ver, rel, 'APPLY' AS verdict, 0 AS chg, CAST([] AS VARCHAR[]) AS back FROM ox WHERE rn=1
+ UNION ALL SELECT k, rn, id, {after}, CASE WHEN v='APPLY' THEN nsrc ELSE src END, CASE WHEN v='APPLY' THEN seen ELSE ver END, CASE WHEN v='APPLY' THEN nrel ELSE rel END, v, CASE WHEN v='APPLY' THEN c ELSE 0 END, CASE WHEN v='APPLY' THEN CAST([] AS VARCHAR[]) ELSE l END FROM (
+  SELECT o.k, o.rn, o.id, o.seen, {', '.join(f'f.{f}, o.{f} AS n_{f}' for f in fields)}, f.src, f.ver, f.rel, o.src AS nsrc, o.rel AS nrel, {verdict} AS v, {count} AS c, {listed} AS l FROM f JOIN ox o ON o.k=f.k AND o.rn=f.rn+1))"""
+
+
+_CROWD = "CASE WHEN l_orderkey%10=0 THEN -1 ELSE l_partkey END"
+
+
+@query("fold_hot_identity", f"+ /*recursive*/ {_full_fold(_CROWD)} SELECT id AS observation_id, verdict, CAST(chg AS BIGINT) AS changes, array_to_string(back, ',') AS held_back, CAST(src AS BIGINT) AS state_source_id, regular_price, promo_price, discount_percentage, CAST(buy_quantity AS VARCHAR) AS buy_quantity, cashback_amount, channel, geography, CAST(start_date AS VARCHAR) AS start_date FROM f", "sources")
+def fold_hot_identity(t: Tables) -> DataFrame:
+    """A tenth of all sightings belong to one identity; its history folds in pieces."""
+    rows = K.fold_observations(V.full_observations(t, crowd=True), V.sources(t), K.TRACKED, piece_rows=500)
+    state = lambda *names: [F.col(f"state_{n}").alias(n) for n in names]
+    return rows.select("observation_id", "verdict", F.size("changed").cast("bigint").alias("changes"), F.array_join(F.transform("held_back", lambda c: c["field"]), ",").alias("held_back"),
+                       F.col("state_source_id").cast("bigint").alias("state_source_id"), *state("regular_price", "promo_price", "discount_percentage", "cashback_amount", "channel", "geography"), F.col("state_buy_quantity").cast("string").alias("buy_quantity"),
+                       F.col("state_start_date").cast("string").alias("start_date"))
+
+
+_VALUE = "CASE field " + " ".join(f"WHEN '{f}' THEN CAST({{0}}.{f} AS VARCHAR)" for f in _FULL) + " END"
+
+
+@query("conflict_reviews", f"""+ /*recursive*/ {_full_fold('l_partkey')} SELECT x.id AS observation_id, field, concat('Two sources of like reliability differ on ', array_to_string(back, ', ')) AS reason, CAST(x.src AS BIGINT) AS current_source_id, CAST(new_src AS BIGINT) AS new_source_id,
+ {_VALUE.format('x')} AS current_value, {_VALUE.format('y')} AS new_value FROM (SELECT f.*, o.src AS new_src, unnest(back) AS field FROM f JOIN obs o ON o.id=f.id WHERE verdict='REVIEW') x JOIN obs y ON y.id=x.id""", "sources")
+def conflict_reviews(t: Tables) -> DataFrame:
+    rows = K.fold_observations(V.full_observations(t), V.sources(t), K.TRACKED)
+    return K.conflict_reviews(rows).select("observation_id", "field", "reason", F.col("current_source_id").cast("bigint").alias("current_source_id"),
+                                           F.col("new_source_id").cast("bigint").alias("new_source_id"), "current_value", "new_value")
+
+
 _LAG = f"""{_OBS}, b AS (SELECT *, last_value(reg IGNORE NULLS) OVER w AS preg, last_value(dis IGNORE NULLS) OVER w AS pdis, lag(mech) OVER (PARTITION BY k ORDER BY rn) AS pmech, last_value(fin IGNORE NULLS) OVER w AS pfin FROM obs WINDOW w AS (PARTITION BY k ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT id, k, 'regular_price' AS field, 'PRICE_OR_VALUE_CHANGED' AS event_type, coalesce(abs(preg-reg)/abs(preg)>0.01,false) AS material FROM b WHERE rn>1 AND reg IS NOT NULL AND reg IS DISTINCT FROM preg UNION ALL
  SELECT id, k, 'discount_percentage', 'PRICE_OR_VALUE_CHANGED', coalesce(abs(pdis-dis)>=1.0,false) FROM b WHERE rn>1 AND dis IS NOT NULL AND dis IS DISTINCT FROM pdis UNION ALL

@@ -1,19 +1,20 @@
 """Canonical promotions: change detection, arbitration, the observation fold, identity matching and lineage.
 
-The fold is a state machine over the ordered observations of one identity. Two
-things keep it distributable. An identity's history is cut wherever the previous
-facts are older than the conflict window and the new observation states every
-field: such an observation always applies and depends on nothing before it, so
-the pieces fold in parallel and are stitched afterwards. Within a piece, rows
-stream through a sorted partition in Arrow batches; only the current state is
-held, never the group.
+The fold is a state machine over the ordered observations of one identity. To keep
+it distributable, a long history is cut into pieces of bounded size that fold in
+parallel, each from a guessed start: the state that results if every earlier
+observation was applied. Where a piece ends in another state than its successor was
+started from, the successor folds again from there, until all starts are right;
+only starts and ends of pieces are kept for that. Rows stream through sorted
+partitions in Arrow batches; a task holds the current state and never a group.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..config import AUTHORITY_MARGIN, CONFLICT_RECENT_DAYS, DEFAULT_RELIABILITY, DISCOUNT_TOLERANCE, PRICE_TOLERANCE
@@ -21,7 +22,7 @@ from ..functions.core import round_half_up
 from ..functions.dates import periods_compatible
 from ..functions.identity import event_fingerprint
 from ..functions.score import change_weight
-from ..sources.staging import shuffle_width
+from ..sources.staging import shuffle_width, stage
 from .ranking import newest_per_key
 
 # Tracked fields in their order, and the class of each.
@@ -64,15 +65,6 @@ def detect_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str])
     return rows.withColumns({"event_type": event_type(F.col("field")), "material": is_material(F.col("field"), F.col("previous"), F.col("current"))})
 
 
-def arbitration(has_material: Column, current_source: Column, new_source: Column, verified_at: Column, now: Column,
-                current_reliability: Column, new_reliability: Column) -> Column:
-    """APPLY, KEEP or REVIEW; the first rule that holds decides."""
-    gap = new_reliability - F.coalesce(current_reliability, F.lit(DEFAULT_RELIABILITY))
-    stale = verified_at.isNull() | (verified_at < now - F.expr(f"INTERVAL '{CONFLICT_RECENT_DAYS}' DAY"))
-    apply_it = ~has_material | current_source.isNull() | new_source.isNull() | (current_source == new_source) | stale | (gap >= AUTHORITY_MARGIN)
-    return F.when(apply_it, "APPLY").when(gap <= -AUTHORITY_MARGIN, "KEEP").otherwise("REVIEW")
-
-
 # --- the fold -------------------------------------------------------------------------------------------------------
 
 class FoldState:
@@ -85,7 +77,10 @@ class FoldState:
         self.source, self.reliability, self.verified, self.started = None, DEFAULT_RELIABILITY, None, False
 
     def step(self, fields: list[str], new: list, source, reliability: float, now):
-        """Feed one observation; returns (verdict, changed field positions with their previous values)."""
+        """Feed one observation; returns (verdict, changed field positions with previous and new values, whether it is the first).
+
+        Unless it is applied, the changes are those that matter and were held back.
+        """
         if not self.started:
             self.started = True
             self._take(new, source, reliability, now)
@@ -93,7 +88,7 @@ class FoldState:
         changed = [(i, self.values[i], v) for i, v in enumerate(new) if v is not None and v != self.values[i]]
         verdict = self._verdict(fields, changed, source, reliability, now)
         if verdict != "APPLY":
-            return verdict, [], False
+            return verdict, [c for c in changed if material(fields[c[0]], c[1], c[2])], False
         self._take(new, source, reliability, now)
         return verdict, changed, False
 
@@ -102,7 +97,7 @@ class FoldState:
             return "APPLY"
         if self.source is None or source is None or self.source == source:
             return "APPLY"
-        if self.verified is None or now - self.verified > pd.Timedelta(days=CONFLICT_RECENT_DAYS):
+        if self.verified is None or now - self.verified > datetime.timedelta(days=CONFLICT_RECENT_DAYS):
             return "APPLY"
         gap = reliability - self.reliability
         if gap >= AUTHORITY_MARGIN:
@@ -126,87 +121,163 @@ def material(field: str, previous, current) -> bool:
     return field == "discount_percentage" and abs(previous - current) >= DISCOUNT_TOLERANCE
 
 
-def _plain(series: pd.Series) -> list:
-    return [None if pd.isna(v) else v for v in series.tolist()]
-
-
 def _text(value) -> str | None:
     return None if value is None else str(value)
 
 
-def _segments(obs: DataFrame, fields: list[str]) -> DataFrame:
-    """Adds ``segment``: pieces of an identity's history that fold independently.
+#: Observations of one identity that fold in one piece, about; a day is never cut.
+PIECE_ROWS = 2_000
+_OWN = ["observed_at", "source_id", "reliability"]
+
+
+def _pieces(obs: DataFrame, piece_rows: int) -> DataFrame:
+    """Adds ``segment``: the piece of an identity's history, counted from 0.
 
     Works on one row per (key, day), combined map-side, so a crowded key shrinks
     to its days before anything is ordered by key.
     """
-    complete = F.col("source_id").isNotNull()
-    for f in fields:
-        complete = complete & F.col(f).isNotNull()
-    moment = F.struct("observed_at", "observation_id")
-    daily = obs.groupBy("fold_key", F.to_date("observed_at").alias("day")).agg(F.min_by(complete, moment).alias("opens"))
-    by_key = W.partitionBy("fold_key").orderBy("day")
-    gap = F.datediff("day", F.lag("day").over(by_key))
-    cut = F.when(F.col("opens") & (gap >= CONFLICT_RECENT_DAYS + 1), 1).otherwise(0)
-    marked = daily.withColumn("cut", cut)
-    marked = marked.withColumn("segment", F.sum("cut").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow))).select("fold_key", "day", "segment")
+    daily = obs.groupBy("fold_key", F.to_date("observed_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("fold_key").orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    filled = daily.withColumn("filled", F.floor(before / F.lit(piece_rows)))
+    in_turn = F.dense_rank().over(W.partitionBy("fold_key").orderBy("filled")) - 1  # a crowded day fills several, but is one
+    marked = filled.select("fold_key", "day", in_turn.cast("bigint").alias("segment"))
     return obs.withColumn("day", F.to_date("observed_at")).join(marked, ["fold_key", "day"]).drop("day")
 
 
-def fold_observations(observations: DataFrame, sources: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per observation with its verdict, the changes it made and the state after it.
+def _guesses(obs: DataFrame, fields: list[str]) -> DataFrame:
+    """(fold_key, segment, state): each later piece's start if every observation before was applied. One row per piece is ordered by key."""
+    moment = F.struct("observed_at", "observation_id")
+    latest = lambda value, stated: F.max_by(F.col(value), F.when(F.col(stated).isNotNull(), moment)).alias(value)
+    each = obs.groupBy("fold_key", "segment").agg(*[latest(f, f) for f in fields], latest("source_id", "source_id"), latest("reliability", "source_id"), F.max("observed_at").alias("observed_at"))
+    so_far = W.partitionBy("fold_key").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    known = each.select("fold_key", "segment", *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in [*fields, *_OWN]])
+    return known.filter(F.col("observed_at").isNotNull()).select(
+        "fold_key", "segment", F.struct(*fields, "observed_at", "source_id", F.coalesce("reliability", F.lit(DEFAULT_RELIABILITY)).alias("reliability")).alias("state"))
+
+
+def _with_starts(obs: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """Observations in order, and before those of a piece its start as a row of its own (``is_row`` 0)."""
+    rows = obs.withColumn("is_row", F.lit(1))
+    if starts is not None:
+        rows = rows.unionByName(starts.select("fold_key", "segment", "state.*", F.lit(0).alias("is_row")), allowMissingColumns=True)
+    return rows.repartition(shuffle_width(obs), "fold_key", "segment").sortWithinPartitions("fold_key", "segment", "is_row", "observed_at", "observation_id")
+
+
+def _walk(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[tuple[dict, FoldState, tuple | None, bool]]:
+    """(row, state after it, what the step gave or None for a start, whether a new piece begins) along sorted rows."""
+    group, state = None, FoldState(len(fields))
+    for batch in batches:
+        for row in batch.to_pylist():
+            opens = group != (row["fold_key"], row["segment"])
+            if opens:
+                group, state = (row["fold_key"], row["segment"]), FoldState(len(fields))
+            if row["is_row"]:
+                yield row, state, state.step(fields, [row[f] for f in fields], row["source_id"], row["reliability"], row["observed_at"]), opens
+            else:
+                state.values, state.started = [row[f] for f in fields], True
+                state.source, state.reliability, state.verified = row["source_id"], row["reliability"], row["observed_at"]
+                yield row, state, None, opens
+
+
+def _packed(rows: Iterator[dict], schema: pa.Schema, size: int = 2_000) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def _ends(obs: DataFrame, starts: DataFrame, fields: list[str]) -> DataFrame:
+    """(fold_key, segment, state): how each piece of ``obs`` ends."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    kept = [*fields, *_OWN]
+    types = {f.name: f.dataType for f in obs.schema.fields}
+    out = T.StructType([T.StructField(c, types[c]) for c in ("fold_key", "segment", *kept)])
+    arrow = to_arrow_schema(out)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last = None
+        for row, state, _, opens in _walk(batches, fields):
+            if opens and last:
+                yield last
+            last = {"fold_key": row["fold_key"], "segment": row["segment"], **dict(zip(fields, state.values)),
+                    "observed_at": state.verified, "source_id": state.source, "reliability": state.reliability}
+        if last:
+            yield last
+
+    found = _with_starts(obs, starts).mapInArrow(lambda batches: _packed(ends(batches), arrow), out)
+    return found.select("fold_key", "segment", F.struct(*kept).alias("state"))
+
+
+def settled_starts(obs: DataFrame, fields: list[str]) -> DataFrame:
+    """(fold_key, segment, state): the right start of each later piece of ``obs``.
+
+    A round folds the pieces whose start was wrong (all of them at first) and looks
+    which successors that proves wrong. The first wrong piece of a key is right in the next round, so this ends.
+    """
+    starts = stage(_guesses(obs, fields), "starts")
+    todo, ends = obs, None
+    while True:
+        found = stage(_ends(todo, starts.join(todo.select("fold_key", "segment").distinct(), ["fold_key", "segment"], "left_semi"), fields), "ends")
+        ends = found if ends is None else stage(ends.join(found.select("fold_key", "segment"), ["fold_key", "segment"], "left_anti").unionByName(found), "ends")
+        after = ends.select("fold_key", (F.col("segment") + 1).alias("segment"), F.col("state").alias("right"))
+        checked = stage(starts.join(after, ["fold_key", "segment"]).withColumn("wrong", ~F.col("state").eqNullSafe(F.col("right"))), "checked")
+        starts = checked.select("fold_key", "segment", F.col("right").alias("state"))
+        wrong = checked.filter("wrong").select("fold_key", "segment")
+        if wrong.isEmpty():
+            return starts
+        todo = obs.join(wrong, ["fold_key", "segment"], "left_semi")
+
+
+def fold_observations(observations: DataFrame, sources: DataFrame, fields: list[str], *, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """One row per observation with its verdict, the changes it made, those held back, and the state after it.
 
     ``observations``: fold_key, observation_id, observed_at, source_id, confidence
-    and the tracked ``fields``. Feeding an observation twice changes nothing.
+    and the tracked ``fields``. Feeding an observation twice changes nothing. Where
+    identities have several pieces, their starts are settled by jobs that run here.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
     trust = sources.select("source_id", F.col("reliability_score").alias("reliability"))
     obs = observations.select("fold_key", "observation_id", "observed_at", "source_id", "confidence", *fields).dropDuplicates(["fold_key", "observation_id"])
-    obs = _segments(obs, fields).join(trust, "source_id", "left").withColumn("reliability", F.coalesce("reliability", F.lit(DEFAULT_RELIABILITY)))
-    order = ["fold_key", "segment", "observed_at", "observation_id"]
-    ordered = obs.repartition(shuffle_width(obs), "fold_key", "segment").sortWithinPartitions(*order)
+    obs = obs.join(trust, "source_id", "left").withColumn("reliability", F.coalesce("reliability", F.lit(DEFAULT_RELIABILITY)))
+    obs = _pieces(obs, piece_rows)
+    long = obs.filter(F.col("segment") > 0).select("fold_key").distinct()
+    starts = None
+    if not long.isEmpty():
+        starts = settled_starts(stage(obs.join(long, "fold_key", "left_semi"), "long"), fields)
     types = {f.name: f.dataType for f in obs.schema.fields}
-    out_schema = T.StructType([
-        T.StructField("fold_key", types["fold_key"]), T.StructField("segment", T.LongType()), T.StructField("observation_id", types["observation_id"]),
-        T.StructField("observed_at", types["observed_at"]), T.StructField("source_id", types["source_id"]), T.StructField("reliability", T.DoubleType()),
-        T.StructField("confidence", T.DoubleType()), T.StructField("verdict", T.StringType()), T.StructField("opens", T.BooleanType()),
-        T.StructField("changed", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("field", "previous", "current")]))),
-        T.StructField("state_source_id", types["source_id"]), T.StructField("verified_at", types["observed_at"]),
-        *[T.StructField(f"state_{f}", types[f]) for f in fields]])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, state = None, None
-        for pdf in batches:
-            cols = [_plain(pdf[f]) for f in fields]
-            rows = {n: [] for n in ("verdict", "opens", "changed", "state_source_id", "verified_at", *[f"state_{f}" for f in fields])}
-            for i, (key, seg, source, trust_i, now) in enumerate(zip(pdf["fold_key"].tolist(), pdf["segment"].tolist(), _plain(pdf["source_id"]),
-                                                                  pdf["reliability"].tolist(), pdf["observed_at"].tolist())):
-                if group != (key, seg):
-                    group, state = (key, seg), FoldState(len(fields))
-                verdict, changed, opens = state.step(fields, [c[i] for c in cols], source, trust_i, now)
-                rows["verdict"].append(verdict)
-                rows["opens"].append(opens)
-                rows["changed"].append([{"field": fields[j], "previous": _text(a), "current": _text(b)} for j, a, b in changed])
-                rows["state_source_id"].append(state.source)
-                rows["verified_at"].append(state.verified)
-                for f, v in zip(fields, state.values):
-                    rows[f"state_{f}"].append(v)
-            base = pdf[["fold_key", "segment", "observation_id", "observed_at", "source_id", "reliability", "confidence"]].reset_index(drop=True)
-            extra = {n: pd.Series(v, dtype="object") if n not in ("opens",) else pd.Series(v) for n, v in rows.items()}
-            yield pd.concat([base, pd.DataFrame(extra)], axis=1)
-
-    folded = ordered.mapInPandas(run, schema=out_schema)
-    return _stitch(folded, fields)
-
-
-def _stitch(folded: DataFrame, fields: list[str]) -> DataFrame:
-    """Give the opening observation of every later piece its changes against the end of the piece before."""
-    moment = F.struct("observed_at", "observation_id")
-    ends = folded.groupBy("fold_key", "segment").agg(F.max_by(F.struct(*[F.col(f"state_{f}").alias(f) for f in fields]), moment).alias("end"))
-    previous = ends.select("fold_key", (F.col("segment") + 1).alias("segment"), F.col("end").alias("_before"))
-    openers = folded.filter("opens").select("fold_key", "segment", "observation_id", F.struct(*[F.col(f"state_{f}").alias(f) for f in fields]).alias("_after"))
-    seams = openers.join(previous, ["fold_key", "segment"]).select("fold_key", "observation_id", changes_between(fields, "_before", "_after").alias("_seam"))
-    df = folded.join(seams, ["fold_key", "observation_id"], "left")
-    return df.withColumn("changed", F.coalesce("_seam", "changed")).withColumn("created", F.col("opens") & (F.col("segment") == 0)).drop("_seam", "opens")
+    change = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("field", "previous", "current")]))
+    base = ["fold_key", "segment", "observation_id", *_OWN, "confidence"]
+    out = T.StructType([*[T.StructField(c, types[c]) for c in base], T.StructField("verdict", T.StringType()), T.StructField("created", T.BooleanType()),
+                        T.StructField("changed", change), T.StructField("held_back", change), T.StructField("held_source_id", types["source_id"]),
+                        T.StructField("state_source_id", types["source_id"]), T.StructField("verified_at", types["observed_at"]),
+                        *[T.StructField(f"state_{f}", types[f]) for f in fields]])
+    arrow = to_arrow_schema(out)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for row, state, step, _ in _walk(batches, fields):
+            if step is None:
+                continue
+            verdict, changed, created = step
+            listed = [{"field": fields[j], "previous": _text(a), "current": _text(b)} for j, a, b in changed]
+            applied = verdict == "APPLY"
+            yield {**{c: row[c] for c in base}, "verdict": verdict, "created": created, "changed": listed if applied else [], "held_back": [] if applied else listed,
+                   "held_source_id": None if applied else state.source, "state_source_id": state.source, "verified_at": state.verified,
+                   **{f"state_{f}": v for f, v in zip(fields, state.values)}}
+
+    return _with_starts(obs, starts).mapInArrow(lambda batches: _packed(rows(batches), arrow), out)
+
+
+def conflict_reviews(folded: DataFrame) -> DataFrame:
+    """Review items of contradicting sources: one row per field that matters, with the value held, the value offered, and both sources."""
+    fields = F.array_join(F.transform("held_back", lambda c: c["field"]), ", ")
+    open_ = folded.filter(F.col("verdict") == "REVIEW").withColumn("reason", F.concat(F.lit("Two sources of like reliability differ on "), fields))
+    return open_.select("fold_key", "observation_id", "observed_at", "reason", F.col("held_source_id").alias("current_source_id"), F.col("source_id").alias("new_source_id"),
+                        F.explode("held_back").alias("c")).select("fold_key", "observation_id", "observed_at", "reason", "current_source_id", "new_source_id",
+                                                                  F.col("c.field").alias("field"), F.col("c.previous").alias("current_value"), F.col("c.current").alias("new_value"))
 
 
 def canonical_state(folded: DataFrame, fields: list[str]) -> DataFrame:

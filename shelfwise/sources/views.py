@@ -257,6 +257,29 @@ def observations(t: Tables) -> DataFrame:
         (F.lit(0.6) + F.col("l_discount") * 4.0).alias("confidence"))
 
 
+def full_observations(t: Tables, *, crowd: bool = False) -> DataFrame:
+    """Sightings that state any of the sixteen tracked fields; ``crowd`` gives a tenth of them to one identity, -1."""
+    line, supplier, quantity = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_quantity").cast("int")
+    price = round_half_up(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    gift = F.col("l_returnflag") == "R"
+    more = {
+        "promo_price": F.when(~F.col("l_returnflag").isin("R", "A") & (F.col("l_tax") != 0.02), round_half_up(price * (F.lit(1.0) - F.col("l_discount")), 2)),
+        "buy_quantity": F.when(gift, (2 + line % 2).cast("int")), "free_quantity": F.when(gift, F.lit(1)),
+        "bundle_quantity": F.when(quantity % 10 == 0, (quantity / 10).cast("int")), "cashback_amount": F.when(quantity % 7 == 0, line * 1000.0),
+        "voucher_amount": F.when(quantity % 11 == 0, line * 500.0), "minimum_purchase_amount": F.when(F.col("l_tax") == 0.06, line * 10000.0),
+        "minimum_purchase_quantity": F.when(F.col("l_tax") == 0.07, line.cast("int")), "gift_description": F.when(quantity % 13 == 0, F.concat(F.lit("gift "), line)),
+        "channel": F.when(supplier % 3 == 0, "ONLINE").when(supplier % 3 == 1, "IN_STORE"), "geography": F.when(supplier % 4 != 0, F.concat(F.lit("area "), supplier % 4)),
+        "start_date": F.when(line != 5, F.trunc("l_shipdate", "month"))}
+    plain = ["fold_key", "observation_id", "document_id", "observed_at", "source_id", "regular_price", "discount_percentage", "promotion_type", "end_date", "confidence"]
+    lines = t.facts("lineitem")
+    key = F.when(F.col("l_orderkey") % 10 == 0, F.lit(-1)).otherwise(F.col("l_partkey")) if crowd else F.col("l_partkey")
+    known = {"document_id": F.col("l_orderkey"), "observed_at": F.col("l_shipdate"), "source_id": supplier, "observation_id": promotion_key(),
+             "regular_price": F.when(F.col("l_tax") != 0.04, price), "discount_percentage": F.when(line != 2, round_half_up(F.col("l_discount") * 500.0, 1)),
+             "promotion_type": F.when(gift, "BUY_X_GET_Y").when(F.col("l_returnflag") == "A", "MEMBER_PRICE").otherwise("DISCOUNT"),
+             "end_date": F.when(F.col("l_linestatus") == "O", F.to_date("l_shipdate")), "confidence": F.lit(0.6) + F.col("l_discount") * 4.0, "fold_key": key}
+    return lines.select(*[known[c].alias(c) for c in plain], *[c.alias(name) for name, c in more.items()])
+
+
 def assert_promotion_key(t: Tables) -> None:
     """Loader check (runs a job): the six-column key must identify a promotion."""
     row = promotions(t, "promotion_id").groupBy("promotion_id").count().agg(count_if(F.col("count") > 1).alias("n")).first()

@@ -83,7 +83,7 @@ def canonical_stream(observations: DataFrame, fields: list[str], *, key_type: st
             trust = plain(row["reliability"])
             verdict, changed, created = fold.step(fields, [plain(row[f]) for f in fields], plain(row["source_id"]),
                                                   DEFAULT_RELIABILITY if trust is None else trust, row["observed_at"])
-            out.append((key[0], row["observation_id"], verdict, len(changed), created))
+            out.append((key[0], row["observation_id"], verdict, len(changed) if verdict == "APPLY" else 0, created))
         state.update((json.dumps(fold.values), None if fold.source is None else int(fold.source), float(fold.reliability), fold.verified.value))
         yield pd.DataFrame(out, columns=["fold_key", "observation_id", "verdict", "changes", "created"])
 

@@ -56,15 +56,32 @@ def test_fold_equals_a_plain_loop(history):
         assert [got[key][f] for f in FIELDS] == want["v"] and got[key]["last_verified_at"] == want["t"]
 
 
-def test_history_is_cut_and_stitched(history):
-    _, obs, trust = history
-    folded = K.fold_observations(obs, trust, FIELDS)
-    assert folded.select("segment").distinct().count() > 1
+@pytest.mark.parametrize("piece_rows", [1, 4])
+def test_pieces_fold_from_guessed_starts(history, piece_rows):
+    rows, obs, trust = history
+    verdicts, state = sequential(rows)
+    folded = K.fold_observations(obs, trust, FIELDS, piece_rows=piece_rows)
+    assert folded.select("segment").distinct().count() > 5
+    assert {r["observation_id"]: r["verdict"] for r in folded.collect()} == verdicts
+    got = {r["fold_key"]: r for r in K.canonical_state(folded, FIELDS).collect()}
+    assert all([got[key][f] for f in FIELDS] == want["v"] and got[key]["last_verified_at"] == want["t"] for key, want in state.items())
     assert folded.filter("created").count() == 12
+    whole = K.fold_observations(obs, trust, FIELDS)
+    assert whole.drop("segment").exceptAll(folded.drop("segment")).count() == 0
     events = K.change_rows(folded)
     assert events.count() == events.select("fingerprint").distinct().count()
 
 
+def test_reviews_hold_both_values(history):
+    rows, obs, trust = history
+    verdicts, _ = sequential(rows)
+    found = K.conflict_reviews(K.fold_observations(obs, trust, FIELDS)).collect()
+    offered = {r[1]: r for r in rows}
+    assert {r["observation_id"] for r in found} == {i for i, v in verdicts.items() if v == "REVIEW"}
+    assert all(str(offered[r["observation_id"]][5 + FIELDS.index(r["field"])]) == r["new_value"] != r["current_value"] for r in found)
+    assert all(r["new_source_id"] == offered[r["observation_id"]][3] != r["current_source_id"] and r["field"] in r["reason"] for r in found)
+
+
 def test_repeats_change_nothing(history):
     _, obs, trust = history
     once = K.canonical_state(K.fold_observations(obs, trust, FIELDS), FIELDS)
