@@ -211,6 +211,33 @@ def lineage(t: Tables) -> DataFrame:
     return K.lineage(p.withColumnRenamed("promotion_id", "item_id"), p)
 
 
+_SUPERSEDED = f"""+ p AS (SELECT *, {_SFP} AS sfp, CAST(start_date AS DATE) AS sd, CAST(end_date AS DATE) AS ed FROM promotions), st AS (SELECT * FROM p WHERE last_seen_at<TIMESTAMP '2000-07-01'), inc AS (SELECT * FROM p WHERE last_seen_at>=TIMESTAMP '2000-07-01'),
+pr AS (SELECT * FROM (SELECT a.promotion_id AS item_id, a.last_seen_at AS at_, b.promotion_id AS old_id, row_number() OVER (PARTITION BY a.promotion_id ORDER BY b.last_seen_at DESC, b.promotion_id DESC) rn FROM inc a JOIN st b ON {{}} AND a.sfp<>b.sfp AND b.status='ACTIVE'
+ AND (a.sd IS NULL OR b.sd IS NULL OR greatest(a.sd,b.sd)<=least(coalesce(a.ed,a.sd),coalesce(b.ed,b.sd)))) WHERE rn=1),
+fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY at_, item_id) x FROM pr) WHERE x=1)"""
+
+
+def replaced(t: Tables, **crowd) -> tuple[DataFrame, DataFrame]:
+    p = identified(t).withColumns(crowd)
+    cut = F.lit("2000-07-01 00:00:00").cast("timestamp_ntz")
+    new = p.filter(F.col("last_seen_at") >= cut).withColumn("item_id", F.col("promotion_id")).withColumnsRenamed({"promotion_id": "observation_id"}).withColumn("observed_at", F.col("last_seen_at"))
+    return K.supersede(p.filter(F.col("last_seen_at") < cut), new)
+
+
+@query("superseded_promotions", _SUPERSEDED.format("a.product_id=b.product_id AND a.retailer_id=b.retailer_id") + """ SELECT st.promotion_id, CASE WHEN old_id IS NOT NULL THEN 'SUPERSEDED' ELSE status END AS status, item_id AS superseded_by FROM st LEFT JOIN fi ON old_id=promotion_id""", "promotions")
+def superseded_promotions(t: Tables) -> DataFrame:
+    """What promotions first seen in the last half year replace."""
+    return replaced(t)[0].select("promotion_id", "status", "superseded_by")
+
+
+@query("supersession_events", _SUPERSEDED.format("b.retailer_id=a.retailer_id") + """ SELECT old_id AS promotion_id, item_id AS observation_id, at_ AS observed_at, 'SUPERSEDED' AS event_type, concat('{"superseded_by_promotion_id":"', item_id, '"}') AS new_value FROM fi""", "promotions")
+def supersession_events(t: Tables) -> DataFrame:
+    """The events where all products of a retailer count as one: crowded keys, which go by the tree of periods."""
+    events = replaced(t, product_id=F.lit(1).cast("bigint"))[1]
+    fresh = K.new_events(events.unionByName(events), events.filter(F.col("promotion_id").isNull()))
+    return fresh.select("promotion_id", "observation_id", "observed_at", "event_type", F.col("current").alias("new_value"))
+
+
 @query("source_backfill", f"""+ m AS (SELECT promotion_id FROM promo_base WHERE promotion_type='MEMBER_PRICE'), o AS (SELECT {PID} AS promotion_id, document_source_id FROM lineitem JOIN crawl_documents d ON d.document_id=l_orderkey WHERE l_linestatus='O' AND l_linenumber<4 AND document_source_id IS NOT NULL),
 e AS (SELECT promotion_id, document_source_id, row_number() OVER (PARTITION BY promotion_id ORDER BY captured_at DESC, evidence_id DESC) rn FROM evidence JOIN crawl_documents d ON d.document_id=evidence.document_id WHERE document_source_id IS NOT NULL)
 SELECT m.promotion_id, CAST(coalesce(o.document_source_id, e.document_source_id, -1) AS BIGINT) AS source_id FROM m LEFT JOIN o ON o.promotion_id=m.promotion_id LEFT JOIN e ON e.promotion_id=m.promotion_id AND rn=1""", "promo_base crawl_documents evidence")

@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..config import AUTHORITY_MARGIN, CONFLICT_RECENT_DAYS, DEFAULT_RELIABILITY, DISCOUNT_TOLERANCE, PRICE_TOLERANCE
 from ..functions.core import round_half_up
-from ..functions.dates import periods_compatible
 from ..functions.identity import event_fingerprint
 from ..functions.score import change_weight
 from ..sources.staging import shuffle_width, stage
+from .intervals import FEW_PERIODS, newest_overlapping
 from .ranking import newest_per_key
 
 # Tracked fields in their order, and the class of each.
@@ -346,23 +346,22 @@ def replay_conflicts(state: DataFrame, folded: DataFrame, observations: DataFram
 
 # --- identity matching and lineage ----------------------------------------------------------------------------------
 
-def match_identity(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def match_identity(incoming: DataFrame, stored: DataFrame, *, few: int = FEW_PERIODS) -> DataFrame:
     """Stored promotion of each incoming item: exact fingerprint, else campaign fingerprint with a compatible period (newest seen).
 
     ``incoming``: item_id, fingerprint, source_fingerprint, start_date, end_date
     [, legacy_fingerprint]. ``stored``: promotion_id, fingerprint,
-    source_fingerprint, start_date, end_date, last_seen_at. Both sides of the
-    campaign match are first reduced to distinct periods, so a campaign with
-    endless sightings stays small.
+    source_fingerprint, start_date, end_date, last_seen_at. The campaign match
+    asks for the newest overlapping period (``intervals``).
     """
     exact = stored.groupBy("fingerprint").agg(F.min("promotion_id").alias("exact_id"))
-    periods = stored.groupBy("source_fingerprint", F.to_date("start_date").alias("s2"), F.to_date("end_date").alias("e2")).agg(
-        F.max(F.struct("last_seen_at", "promotion_id")).alias("newest"))
+    periods = stored.filter(F.col("source_fingerprint").isNotNull()).select("source_fingerprint", F.to_date("start_date").alias("first"), F.to_date("end_date").alias("last"),
+                                                                            F.struct("last_seen_at", "promotion_id").alias("newest"))
 
     def by_campaign(column: str, name: str) -> DataFrame:
-        asked = incoming.select(F.col(column).alias("source_fingerprint"), F.to_date("start_date").alias("s1"), F.to_date("end_date").alias("e1")).distinct()
-        hits = asked.join(periods, "source_fingerprint").filter(periods_compatible("s1", "e1", "s2", "e2"))
-        return hits.groupBy("source_fingerprint", "s1", "e1").agg(F.max("newest").alias(name)).withColumnRenamed("source_fingerprint", column)
+        asked = incoming.filter(F.col(column).isNotNull()).select(F.col(column).alias("source_fingerprint"), F.to_date("start_date").alias("first"), F.to_date("end_date").alias("last"))
+        hits = newest_overlapping(asked, periods, ["source_fingerprint"], newest="newest", few=few)
+        return hits.select(F.col("source_fingerprint").alias(column), F.col("first").alias("s1"), F.col("last").alias("e1"), F.col("newest").alias(name))
 
     df = incoming.withColumns({"s1": F.to_date("start_date"), "e1": F.to_date("end_date")}).join(exact, "fingerprint", "left")
 
@@ -381,18 +380,33 @@ def match_identity(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return df.select("item_id", matched.alias("promotion_id"), how.alias("match"))
 
 
-def lineage(new: DataFrame, active: DataFrame) -> DataFrame:
-    """Active promotion each new one replaces: same product and retailer, other campaign, overlapping period, newest seen.
+def lineage(new: DataFrame, active: DataFrame, *, few: int = FEW_PERIODS) -> DataFrame:
+    """Active promotion each new one replaces: same product and retailer, other campaign, overlapping period, newest seen."""
+    key = ["product_id", "retailer_id"]
+    of = lambda df: df.withColumns({"first": F.to_date("start_date"), "last": F.to_date("end_date")})
+    known = F.col("product_id").isNotNull() & F.col("retailer_id").isNotNull() & F.col("source_fingerprint").isNotNull()
+    pool = of(active.filter((F.col("status") == "ACTIVE") & known)).select(*key, "source_fingerprint", "first", "last", F.struct("last_seen_at", "promotion_id").alias("newest"))
+    asked = of(new.filter(known)).select("item_id", *key, "source_fingerprint", "first", "last")
+    found = newest_overlapping(asked, pool, key, newest="newest", other="source_fingerprint", few=few).withColumnsRenamed({"first": "_first", "last": "_last"})
+    same = [asked[c] == found[c] for c in [*key, "source_fingerprint"]] + [asked["first"].eqNullSafe(found["_first"]), asked["last"].eqNullSafe(found["_last"])]
+    return asked.join(found, same).select("item_id", F.col("newest.promotion_id").alias("supersedes_id"))
+
 
-    Candidates are reduced to the newest per (product, retailer, campaign, period) first.
+def supersede(stored: DataFrame, new: DataFrame, *, few: int = FEW_PERIODS) -> tuple[DataFrame, DataFrame]:
+    """(stored promotions with what ``new`` ones replace marked SUPERSEDED, the SUPERSEDED events).
+
+    ``new``: as for ``lineage``, with observation_id and observed_at. All new promotions
+    see the stored ones as they were before. One that several replace is superseded
+    once, by the earliest of them; each of them still names it.
     """
-    key = ["product_id", "retailer_id"]
-    pool = active.filter((F.col("status") == "ACTIVE") & F.col("source_fingerprint").isNotNull()).groupBy(
-        *key, F.col("source_fingerprint").alias("fp2"), F.to_date("start_date").alias("s2"), F.to_date("end_date").alias("e2")).agg(
-        F.max(F.struct("last_seen_at", "promotion_id")).alias("newest"))
-    asked = new.filter(F.col("product_id").isNotNull() & F.col("retailer_id").isNotNull())
-    hits = asked.join(pool, key).filter((F.col("fp2") != F.col("source_fingerprint")) & periods_compatible("start_date", "end_date", "s2", "e2"))
-    return hits.groupBy("item_id").agg(F.max("newest").alias("n")).select("item_id", F.col("n.promotion_id").alias("supersedes_id"))
+    pairs = lineage(new, stored, few=few).join(new.select("item_id", "observation_id", "observed_at"), "item_id")
+    first = pairs.groupBy(F.col("supersedes_id").alias("promotion_id")).agg(F.min_by(F.struct("item_id", "observation_id", "observed_at"), F.struct("observed_at", "item_id")).alias("by"))
+    marked = stored.join(first, "promotion_id", "left").withColumns({
+        "status": F.when(F.col("by").isNotNull(), "SUPERSEDED").otherwise(F.col("status")), "superseded_by": F.col("by.item_id")}).drop("by")
+    said = first.select("promotion_id", F.col("by.observation_id").alias("observation_id"), F.col("by.observed_at").alias("observed_at"), F.lit("SUPERSEDED").alias("event_type"),
+                        F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("previous"),
+                        F.to_json(F.struct(F.col("by.item_id").cast("string").alias("superseded_by_promotion_id"))).alias("current"), F.lit(0.0).alias("change_impact"))
+    return marked, said.withColumn("fingerprint", event_fingerprint("promotion_id", "observation_id", "event_type", "field", "previous", "current"))
 
 
 def source_backfill(promotions: DataFrame, observations: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
