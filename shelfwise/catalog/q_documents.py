@@ -123,13 +123,14 @@ def payload_items(t: Tables) -> DataFrame:
 
 @query("payload_rejects", f"WITH {_ITEMS} SELECT payload_id, item_index::INTEGER AS item_index, reject_reason FROM y WHERE reject_reason IS NOT NULL")
 def payload_rejects(t: Tables) -> DataFrame:
-    return items(t).filter(F.col("reject_reason").isNotNull()).select("payload_id", "item_index", "reject_reason")
+    reasons = DOC.payload_reasons(payload_rows(t).select("payload_id", "payload"))
+    return reasons.filter(F.col("reject_reason").isNotNull()).select("payload_id", "item_index", "reject_reason")
 
 
 @query("payload_status", f"""SELECT CASE WHEN l_linenumber=2 THEN 'INVALID_JSON' WHEN l_linenumber=4 THEN 'INVALID_SCHEMA' WHEN l_linenumber=5 OR (l_linenumber=6 AND l_tax=0) THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END AS status, count(*) AS payloads,
  CAST(sum(CASE WHEN l_linenumber IN (1,3) OR (l_linenumber=6 AND l_tax>0) THEN 1 WHEN l_linenumber=7 THEN 2 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN l_linenumber=5 THEN 1 WHEN l_linenumber=6 AND l_tax=0 THEN 2 ELSE 0 END) AS BIGINT) AS rejected FROM lineitem GROUP BY 1""")
 def payload_status(t: Tables) -> DataFrame:
-    s = DOC.payload_summary(payload_rows(t), items(t))
+    s = DOC.payload_summary(payload_rows(t))
     return s.groupBy("status").agg(F.count(F.lit(1)).alias("payloads"), F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 AsOf = datetime | str | Column
 
@@ -58,6 +58,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as column ``name``, evaluated once a row however often it is used.
+
+    Spark puts an expression in place of each use of a column and shares it only where no
+    branch is in between. A generator ends that: what comes out of it is a value.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 

@@ -62,7 +62,7 @@ def test_payload_statuses(spark):
     rows = [("a", '```json\n{"promotions":[' + good + ']}\n```'), ("b", "{oops"), ("c", '{"promotions":{}}'), ("d", '{"promotions":[' + good + ', 5]}'), ("e", "")]
     df = spark.createDataFrame(rows, "payload_id string, payload string")
     items = DOC.payload_items(df, default_year=2026)
-    status = {r["payload_id"]: r["status"] for r in DOC.payload_summary(df, items).collect()}
+    status = {r["payload_id"]: r["status"] for r in DOC.payload_summary(df).collect()}
     assert status == {"a": "SUCCESS", "b": "INVALID_JSON", "c": "INVALID_SCHEMA", "d": "PARTIAL_SUCCESS", "e": "EMPTY_RESPONSE"}
     one = items.filter("payload_id = 'a'").first()
     assert (one["pack_size"], one["promo_price"], str(one["start_day"]), str(one["end_day"])) == ("110g", 10500.0, "2026-05-12", "2026-05-14")
