@@ -36,19 +36,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that an earlier document holds; a stored length follows its text."""
-    cut = sentence_spans.remove_repeats(docs)
-    changed = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    """Cut passages that an earlier document holds; a stored length (``n_chars``, if there is one) follows its text.
+
+    Null and empty texts stay as they are; rows equal in id and text are one document; no row goes, and an empty table stays empty.
+    """
+    count = "removed_" + "_".join(docs.columns)  # no column of docs can have this name
+    cut = sentence_spans.remove_repeats(docs).toDF(*docs.columns, count)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the contamination rule finds."""
+    """Drop documents that the contamination rule finds. Null and empty texts have no words and stay; each of repeated rows is judged alike."""
     return fm_index.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and a proof that they decode to its text."""
+    """Token ids of each document, and a proof that they decode to its text. A null text is the empty one and has no ids; repeated rows stay."""
     decoded = bpe.decode(bpe.encode(docs))
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
