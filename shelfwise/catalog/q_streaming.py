@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources import views as V
 from ..sources.tables import Tables
 from ..streaming import jobs as J
@@ -46,12 +49,28 @@ def stream_late_policy(t: Tables) -> DataFrame:
     return out.select(_ntz("window.start").alias("week"), "event_type", "events")
 
 
-@query("stream_unchanged_pages", "WITH d AS (SELECT *, TIMESTAMP '2000-01-01' + to_days(CAST(doc_id%1000 AS INTEGER)) AS ts FROM documents), x AS (SELECT doc_id, text = lag(text) OVER (PARTITION BY source ORDER BY ts, doc_id) AS same FROM d) SELECT doc_id AS document_id, coalesce(same,false) AS unchanged FROM x")
+@query("stream_unchanged_pages", """WITH d AS (SELECT doc_id, text, concat('https://', source, '/', doc_id%7) AS url, TIMESTAMP '2000-01-01' + to_days(CAST(doc_id%1000 AS INTEGER)) AS ts FROM documents), x AS (SELECT doc_id, url, text = lag(text) OVER (PARTITION BY url ORDER BY ts, doc_id) AS same FROM d)
+SELECT url, doc_id AS document_id, coalesce(same,false) AS unchanged, false AS late FROM x""")
 def stream_unchanged_pages(t: Tables) -> DataFrame:
-    docs = J.table_stream(t.spark, t.folder, "documents", t.documents.schema)
-    fetched = (F.lit("2000-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 1000).cast("int"))).cast("timestamp")
-    pages = docs.select(F.col("source").alias("url"), F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("content_hash"), fetched.alias("ts"))
-    return J.run_to_table(J.unchanged_pages(pages), "unchanged").select("document_id", "unchanged")
+    """Fetches of pages over 1,000 days, arriving in five micro-batches: state is restored between them."""
+    fetched = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 1000).cast("int"))
+    pages = t.documents.select(F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id") % 7).alias("url"), F.col("doc_id").alias("document_id"),
+                               F.sha2("text", 256).alias("content_hash"), fetched.cast("timestamp").alias("ts"))
+    return J.run_to_table(J.unchanged_pages(J.paced(pages, "ts", 5), forget_days=1500), "unchanged").select("url", "document_id", "unchanged", "late")
+
+
+@query("stream_lifecycle_sweep", f"""+ o AS (SELECT o_orderdate AS d, min(o_orderdate) OVER () AS lo, max(o_orderdate) OVER () AS hi FROM orders), k AS (SELECT floor(date_diff('day',lo,d)*4/(date_diff('day',lo,hi)+1)) AS piece, max(d) AS tick FROM o GROUP BY 1)
+SELECT promotion_id, min(tick) AS expired_at FROM promo_base JOIN k ON end_date<tick GROUP BY 1""", "promo_base")
+def stream_lifecycle_sweep(t: Tables) -> DataFrame:
+    """Runs arrive in four micro-batches, each a tick; then the second batch is replayed, which must change nothing."""
+    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/shelfwise/sweep-{uuid.uuid4().hex}"
+    ledger = J.Ledger(t.spark, f"{root}/out", "promotion_id string, expired_at timestamp_ntz")
+    stored = V.promotions(t, "promotion_id", "start_date", "end_date").select("promotion_id", "end_date", F.lit("ACTIVE").alias("status"))
+    runs = t.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("ts"))
+    sweep = J.expire_at_ticks(ledger, lambda: stored)
+    J.every_tick(J.paced(runs, "ts", 4), sweep, f"{root}/checkpoint", drain=True).awaitTermination()
+    sweep(runs, 1)
+    return ledger.rows()
 
 
 @query("stream_fold_counts", f"+ /*recursive*/ {_FOLD} SELECT verdict, count(*) AS observations, CAST(sum(chg) AS BIGINT) AS changes FROM f GROUP BY 1", "sources")

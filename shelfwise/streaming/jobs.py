@@ -8,6 +8,7 @@ late-data policy: older facts are superseded without a conflict.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,6 +27,21 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFra
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
+def paced(df: DataFrame, time_column: str, pieces: int) -> DataFrame:
+    """``df`` as a stream that arrives in ``pieces`` micro-batches, cut into equal spans of time.
+
+    The pieces are written one after the other, in one file each: for trying a
+    stream job on stored rows. A live source sets its own pace.
+    """
+    spark, folder = df.sparkSession, f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/shelfwise/paced-{uuid.uuid4().hex}"
+    span = df.agg(F.min(F.to_date(time_column)).alias("low"), F.max(F.to_date(time_column)).alias("high")).first()
+    days = (span["high"] - span["low"]).days + 1 if span["low"] is not None else 1
+    piece = F.floor(F.datediff(time_column, F.lit(span["low"]).cast("date")) * pieces / F.lit(days))
+    for number in range(pieces):
+        df.filter(piece == number).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def event_stream(spark: SparkSession, folder: str, name: str, schema, time_column: str = "ts") -> DataFrame:
     """A table stream whose zone-free times become timestamps under the session zone."""
     raw = table_stream(spark, folder, name, schema)
@@ -43,25 +59,34 @@ def activity(events: DataFrame, *, size: str = "7 days", slide: str | None = Non
     return events.withWatermark(time_column, late).groupBy(span, by).agg(F.count(F.lit(1)).alias("events"))
 
 
-def unchanged_pages(pages: DataFrame) -> DataFrame:
+def unchanged_pages(pages: DataFrame, *, late: str = LATE, forget_days: int = 400) -> DataFrame:
     """Per url: is this fetch the same content as the newest one seen? Late fetches never replace newer content.
 
-    ``pages``: url, document_id, content_hash, ts. State is one hash and time per url.
+    ``pages``: url, document_id, content_hash, ts. State is one hash and time per url,
+    dropped when nothing came for ``forget_days`` of event time; facts older than the
+    watermark are not looked at. A call holds one url's fetches of one micro-batch, so
+    the source's ``maxFilesPerTrigger`` bounds it.
     """
+    keep = forget_days * 86_400_000
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         digest, newest = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values(["ts", "document_id"])
         out = []
         for document, current, ts in zip(rows["document_id"], rows["content_hash"], rows["ts"]):
-            late = newest is not None and ts.value < newest
-            out.append((key[0], document, bool(digest == current and not late), bool(late)))
-            if not late:
+            behind = newest is not None and ts.value < newest
+            out.append((key[0], document, bool(digest == current and not behind), bool(behind)))
+            if not behind:
                 digest, newest = current, ts.value
         state.update((digest, newest))
+        state.setTimeoutTimestamp(newest // 1_000_000 + keep)
         yield pd.DataFrame(out, columns=["url", "document_id", "unchanged", "late"])
 
-    return pages.groupBy("url").applyInPandasWithState(
-        step, "url string, document_id bigint, unchanged boolean, late boolean", "content_hash string, newest bigint", "append", GroupStateTimeout.NoTimeout)
+    return pages.withWatermark("ts", late).groupBy("url").applyInPandasWithState(
+        step, "url string, document_id bigint, unchanged boolean, late boolean", "content_hash string, newest bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def canonical_stream(observations: DataFrame, fields: list[str], *, key_type: str = "bigint") -> DataFrame:
@@ -74,7 +99,7 @@ def canonical_stream(observations: DataFrame, fields: list[str], *, key_type: st
         fold = FoldState(len(fields))
         if state.exists:
             values, source, reliability, verified = state.get
-            fold.values, fold.source, fold.reliability, fold.started = json.loads(values), source, reliability, True
+            fold.values, fold.source, fold.reliability, fold.started = json.loads(values), json.loads(source), reliability, True
             fold.verified = pd.Timestamp(verified)
         rows = pd.concat(list(batches)).sort_values(["observed_at", "observation_id"])
         out = []
@@ -84,12 +109,12 @@ def canonical_stream(observations: DataFrame, fields: list[str], *, key_type: st
             verdict, changed, created = fold.step(fields, [plain(row[f]) for f in fields], plain(row["source_id"]),
                                                   DEFAULT_RELIABILITY if trust is None else trust, row["observed_at"])
             out.append((key[0], row["observation_id"], verdict, len(changed) if verdict == "APPLY" else 0, created))
-        state.update((json.dumps(fold.values), None if fold.source is None else int(fold.source), float(fold.reliability), fold.verified.value))
+        state.update((json.dumps(fold.values), json.dumps(fold.source), float(fold.reliability), fold.verified.value))
         yield pd.DataFrame(out, columns=["fold_key", "observation_id", "verdict", "changes", "created"])
 
     return observations.groupBy("fold_key").applyInPandasWithState(
         step, f"fold_key {key_type}, observation_id string, verdict string, changes int, created boolean",
-        "fields string, source bigint, reliability double, verified bigint", "append", GroupStateTimeout.NoTimeout)
+        "fields string, source string, reliability double, verified bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -98,7 +123,6 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     Append mode uses the exactly-once file sink; complete mode overwrites the
     table per batch. The stream checkpoint lives beside the table, so a restart resumes.
     """
-    import uuid
     spark = stream.sparkSession
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
@@ -110,6 +134,50 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
-def every_tick(ticks: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run ``work`` (expire, rescore, alert) once per micro-batch of ``ticks``; returns the running query."""
-    return ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work).start()
+class Ledger:
+    """A table under ``root`` that each batch number adds to once, for ``foreachBatch``.
+
+    A batch writes its own folder and is then entered in the ledger. One that stops in
+    between writes the same folder again; one that is entered does nothing when it is replayed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/table/batch=-1")
+        spark.createDataFrame([], "number bigint").write.mode("ignore").parquet(f"{self.root}/ledger")
+
+    def rows(self) -> DataFrame:
+        """What entered batches have written."""
+        known = self.spark.read.schema("number bigint").parquet(f"{self.root}/ledger")
+        table = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(f"{self.root}/table")
+        return table.join(known, F.col("batch") == F.col("number"), "left_semi").drop("batch")
+
+    def once(self, work: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+        def run(batch: DataFrame, number: int) -> None:
+            entered = self.spark.read.schema("number bigint").parquet(f"{self.root}/ledger")
+            if not entered.filter(F.col("number") == number).isEmpty():
+                return
+            work(batch).write.mode("overwrite").parquet(f"{self.root}/table/batch={number}")
+            self.spark.createDataFrame([(number,)], "number bigint").write.mode("append").parquet(f"{self.root}/ledger")
+        return run
+
+
+def expire_at_ticks(ledger: Ledger, promotions: Callable[[], DataFrame], *, time_column: str = "ts") -> Callable[[DataFrame, int], None]:
+    """The periodic sweep for ``foreachBatch``: a micro-batch's newest time is the tick.
+
+    Writes (promotion_id, expired_at) of open promotions that ended before the tick and that no
+    earlier sweep wrote. ``promotions`` gives the stored rows at the time of the sweep.
+    """
+    def work(ticks: DataFrame) -> DataFrame:
+        tick = ticks.agg(F.max(time_column).cast("timestamp_ntz").alias("expired_at"))
+        open_ = promotions().filter(F.col("status").isin("ACTIVE", "UNKNOWN", "UPCOMING") & F.col("end_date").isNotNull())
+        ended = open_.join(F.broadcast(tick), F.col("end_date") < F.col("expired_at"))  # one row
+        return ended.select("promotion_id", "expired_at").join(ledger.rows().select("promotion_id"), "promotion_id", "left_anti")
+
+    return ledger.once(work)
+
+
+def every_tick(ticks: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, *, drain: bool = False):
+    """Run ``work`` (expire, rescore, alert) once per micro-batch of ``ticks``; returns the running query. ``drain`` stops when nothing is left."""
+    writer = ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work)
+    return (writer.trigger(availableNow=True) if drain else writer).start()
