@@ -49,12 +49,15 @@ def change_feed(t: Tables) -> DataFrame:
     return folded(t).groupBy(kind.alias("event_type")).agg(F.count(F.lit(1)).alias("observations"), F.sum(F.size("changed")).alias("changed_fields"))
 
 
-@query("change_event_log", f"+ /*recursive*/ {_FOLD} SELECT count(*) FILTER (rn=1) AS created, CAST(sum(chg) AS BIGINT) AS changed, CAST(sum(chg) AS BIGINT)+count(*) FILTER (rn=1) AS fingerprints FROM f", "sources")
+@query("change_event_log", f"""+ /*recursive*/ {_FOLD} SELECT id AS observation_id, CASE WHEN rn=1 THEN 'CREATED' ELSE 'CHANGED' END AS kind, CAST(CASE WHEN rn=1 THEN 1 ELSE chg END AS BIGINT) AS events FROM f WHERE seen>=TIMESTAMP '1998-01-01' AND (rn=1 OR chg>0)""", "sources")
 def change_event_log(t: Tables) -> DataFrame:
-    events = K.change_rows(folded(t))
-    fresh = K.new_events(events.unionByName(events), events.limit(0))
-    made = F.col("event_type") == "CREATED"
-    return fresh.agg(count_if(made).alias("created"), count_if(~made).alias("changed"), F.count(F.lit(1)).alias("fingerprints"))
+    """All sightings are fed twice into a log that holds the events before 1998: only later ones are new, each once."""
+    from ..sources.staging import stage
+    events = stage(K.change_rows(folded(t)), "events")
+    known = events.filter(F.col("observed_at") < F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    fresh = K.new_events(events.unionByName(events), known)
+    kind = F.when(F.col("event_type") == "CREATED", "CREATED").otherwise("CHANGED")
+    return fresh.groupBy("observation_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("events"))
 
 
 _GIFT = "l_returnflag='R'"
@@ -244,8 +247,9 @@ SELECT m.promotion_id, CAST(coalesce(o.document_source_id, e.document_source_id,
 def source_backfill(t: Tables) -> DataFrame:
     p = V.promotions(t, "promotion_id", "source_id", "promotion_type")
     p = p.withColumn("source_id", F.when(F.col("promotion_type") != "MEMBER_PRICE", F.col("source_id")))
-    obs = t.lineitem.filter((F.col("l_linestatus") == "O") & (F.col("l_linenumber") < 4)).select(
-        V.promotion_key().alias("promotion_id"), V.promotion_key().alias("observation_id"), F.col("l_orderkey").alias("document_id"), F.col("l_shipdate").alias("observed_at"))
+    # Every sighting is read; some have lost their document, and evidence stands in for those.
+    document = F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") < 4), F.col("l_orderkey"))
+    obs = t.lineitem.select(V.promotion_key().alias("promotion_id"), V.promotion_key().alias("observation_id"), document.alias("document_id"), F.col("l_shipdate").alias("observed_at"))
     out = K.source_backfill(p, obs, V.evidence(t), V.crawl_documents(t))
     return out.select("promotion_id", F.coalesce("source_id", F.lit(-1)).alias("source_id"))
 

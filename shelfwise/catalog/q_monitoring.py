@@ -52,9 +52,10 @@ def unchanged_reconfirm(t: Tables) -> DataFrame:
 def alert_history(t: Tables) -> DataFrame:
     """Alerts announced earlier: one per supplier and one per recent deep discount."""
     old = V.sources(t).select(F.concat(F.lit("old:"), "source_id").alias("fingerprint"), F.when(F.col("source_id") % 2 == 0, "SOURCE_FAILING").otherwise("SOURCE_STALE").alias("kind"),
-                              F.col("source_id").cast("string").alias("subject_id"), F.when(F.col("source_id") % 3 == 0, F.lit(V.AS_OF).cast("timestamp_ntz")).alias("resolved_at"))
+                              F.col("source_id").cast("string").alias("subject_id"), F.when(F.col("source_id") % 3 == 0, F.lit(V.AS_OF).cast("timestamp_ntz")).alias("resolved_at"),
+                              (F.lit(V.AS_OF).cast("timestamp_ntz") - F.make_dt_interval((F.col("source_id") % 400).cast("int"))).alias("created_at"))
     shocks = t.lineitem.filter("l_linestatus = 'F'").select(F.concat(F.lit("seen:"), V.promotion_key()).alias("fingerprint"), F.lit("PRICE_SHOCK").alias("kind"),
-                                                           V.promotion_key().alias("subject_id"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"))
+                                                           V.promotion_key().alias("subject_id"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.col("l_shipdate").cast("timestamp_ntz").alias("created_at"))
     return old.unionByName(shocks)
 
 
@@ -121,10 +122,11 @@ def retention_applied(t: Tables) -> DataFrame:
     return done.select("document_id", F.col("text").isNull().alias("text_gone"), F.col("raw_uri").isNull().alias("file_gone"), "purged_at")
 
 
-@query("recent_alerts", f"""SELECT concat('old:', s_suppkey) AS fingerprint, CASE WHEN s_suppkey%2=0 THEN 'SOURCE_FAILING' ELSE 'SOURCE_STALE' END AS kind, CAST(s_suppkey AS VARCHAR) AS subject_id, s_suppkey%3<>0 AS open FROM supplier
- UNION ALL SELECT concat('seen:', {PID}), 'PRICE_SHOCK', {PID}, true FROM lineitem WHERE l_linestatus='F'""")
+@query("recent_alerts", f"""SELECT fingerprint, kind, subject_id, open, created_at FROM (SELECT concat('old:', s_suppkey) AS fingerprint, CASE WHEN s_suppkey%2=0 THEN 'SOURCE_FAILING' ELSE 'SOURCE_STALE' END AS kind, CAST(s_suppkey AS VARCHAR) AS subject_id, s_suppkey%3<>0 AS open, {AS_OF}-to_days(CAST(s_suppkey%400 AS INTEGER)) AS created_at FROM supplier
+ UNION ALL SELECT concat('seen:', {PID}), 'PRICE_SHOCK', {PID}, true, l_shipdate FROM lineitem WHERE l_linestatus='F') ORDER BY created_at DESC, fingerprint LIMIT 100""")
 def recent_alerts(t: Tables) -> DataFrame:
-    return MON.recent_alerts(alert_history(t)).select("fingerprint", "kind", "subject_id", F.col("resolved_at").isNull().alias("open"))
+    """The first page: the hundred newest."""
+    return MON.recent_alerts(alert_history(t), limit=100).select("fingerprint", "kind", "subject_id", F.col("resolved_at").isNull().alias("open"), "created_at")
 
 
 @query("runs_pruned", f"WITH {_RUNS} SELECT count(*) AS kept FROM runs WHERE started_at>={AS_OF}-INTERVAL 180 DAY")
