@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
 #: Spark's setting for the bytes of a batch handed to Python, its default, and what is used here in its place.
-BATCH_SETTING, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+BATCH_SETTING, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
 
 
 def in_slices(rows: Iterable[tuple], schema: pa.Schema, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
