@@ -82,7 +82,7 @@ class _Hashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -177,7 +177,7 @@ def shared_pivots(docs: DataFrame, text: str, k: int, members: Members, most: in
         for (value,) in part:
             own = shingles(value, k, hashes)
             if len(own) and (point := _point(own.tobytes())) not in seen:
-                if len(seen) > 100_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.add(point)
                 yield (own[:(members.missing(len(own)) + 1) * 3 // 2 + EVEN_COUNTED].view(np.int64),)

@@ -52,7 +52,7 @@ class _Hashes(dict):
         return value
 
     def of(self, words: list[str]) -> list[int]:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         return list(map(self.__getitem__, words))
 
