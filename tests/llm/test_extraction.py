@@ -89,3 +89,45 @@ def test_forms_headers_math_and_labels():
 def test_comments_longer_than_the_article_still_go():
     got = main_text.main_text(f"<body><article><h1>Title</h1>{prose('text', 5)}</article><div id=comments>{prose('comment', 12)}</div><form><label>Your comment</label></form></body>")
     assert got.count("Paragraph") == 5 and "Your" not in got
+
+
+def test_names_of_article_text_say_nothing():
+    got = main_text.main_text(f"<article><h1>Title</h1>{prose('text', 3)}<p class=social-impact>Impact.</p><section id=related-work>Work.</section>"
+                              "<table><tr><td class=footer-row>Cell.</td></tr></table><div class=ad>Buy</div></article>").split("\n")
+    assert got[0] == "Title" and got[-3:] == ["Impact.", "Work.", "Cell."] and len(got) == 7
+
+
+LISTS = ("<body><div id=top><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></div><div><a>Home</a> <a>About</a></div>"
+         "<h1>Title</h1>{text}<div>All rights reserved</div><div id=bottom><p>Imprint</p></div></body>")
+
+
+def test_borders_come_from_the_ratios_on_pages_without_article(monkeypatch):
+    html = LISTS.replace("{text}", prose("text", 5) + "<p>Short.</p>" + prose("more", 3))
+    want = ["Title", *prose("text", 5).replace("</p>", "").split("<p>")[1:], "Short.", *prose("more", 3).replace("</p>", "").split("<p>")[1:]]
+    assert main_text.main_text(html).split("\n") == want
+    for name, nonsense in (("SPREAD_SHARE", 50), ("CORE_SHARE", 0)):
+        with monkeypatch.context() as changed:
+            changed.setattr(main_text, name, nonsense)
+            assert main_text.main_text(html).split("\n") != want
+
+
+def test_a_list_of_links_parts_regions_and_a_small_one_elsewhere_goes():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(6)) + "</ul>"
+    box = f"<div><div><h1>Title</h1>{prose('text', 30)}{links}{prose('tail', 1)}</div>{links}<div>{prose('box', 1)}</div></div>"
+    got = main_text.main_text(f"<body>{box}</body>").split("\n")
+    assert len(got) == 32 and "tail" in got[-1] and not any("Link" in line or "box" in line for line in got)
+
+
+def test_the_card_of_another_story_goes():
+    got = main_text.main_text(f"<body><article><h1>Title</h1>{prose('text', 12)}</article><article><h2><a href=/x>Another story</a></h2><p>In short.</p></article></body>")
+    assert got.count("\n") == 12 and "Another" not in got and "short" not in got
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p class=ad", "div id=comments", "li"])
+def test_deep_pages_take_time_in_proportion(tag):
+    import time
+
+    began = time.process_time()
+    main_text.main_text("<body>" + f"<{tag}>x " * 20_000)
+    main_text.main_text("<body>" + f"<{tag}>" * 10_000 + "<p>text</p></b>" * 10_000)
+    assert time.process_time() - began < 15
