@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
+#: Bytes of a Parquet row group that a writing task holds. Spark's default of 128 MB would be most of a small executor's heap.
+ROW_GROUP = 16 << 20
+
+
 class Scratch:
     """``keep`` writes a frame to the shared folder and reads it back; ``free`` gives the space of all of them back.
 
@@ -20,7 +24,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
