@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.core import round_half_up
 from ..functions.price import effective_pack_price, per_100g, regular_pack_price
 from ..functions.text import pack_grams
-from ..operators import matching as M
+from ..operators import history as HIST, matching as M
 from ..plans import comparison as C
 from ..sources import views as V
 from ..sources.staging import stage
@@ -263,3 +263,23 @@ def decision_upsert(t: Tables) -> DataFrame:
 @query("decision_reset", "SELECT own_id, offer_key, accepted FROM decisions d WHERE NOT EXISTS (SELECT 1 FROM own_products o WHERE o.own_id=d.own_id AND category='WAFER')", "decisions own_products")
 def decision_reset(t: Tables) -> DataFrame:
     return M.reset_decisions(decisions(t), V.own_products(t).filter("category = 'WAFER'"))
+
+
+@query("own_price_history", """+ log AS (SELECT own_id, TIMESTAMP '1990-01-01' AS recorded_at, 0 AS id, 'BASELINE' AS operation, CAST(regular_price AS DOUBLE) AS regular_price, CAST(promo_price AS DOUBLE) AS promo_price FROM own_products
+ UNION ALL SELECT product_id, recorded_at, id, 'UPDATE', CAST(regular_price AS DOUBLE), CAST(promo_price AS DOUBLE) FROM scoped_prices
+ UNION ALL SELECT own_id, TIMESTAMP '2030-01-01', 0, 'DELETE', CAST(regular_price AS DOUBLE), CAST(promo_price AS DOUBLE) FROM own_products WHERE category='SNACK'),
+c AS (SELECT *, lag(operation) OVER w AS po, lag(regular_price) OVER w AS pr, lag(promo_price) OVER w AS pp FROM log WINDOW w AS (PARTITION BY own_id ORDER BY recorded_at, id)),
+k AS (SELECT * FROM c WHERE po IS NULL OR (operation='DELETE')<>(po='DELETE') OR regular_price IS DISTINCT FROM pr OR promo_price IS DISTINCT FROM pp)
+SELECT own_id, row_number() OVER w AS revision, operation, regular_price, promo_price, recorded_at AS known_from, lead(recorded_at) OVER w AS known_until FROM k WINDOW w AS (PARTITION BY own_id ORDER BY recorded_at, id)""", "own_products scoped_prices")
+def own_price_history(t: Tables) -> DataFrame:
+    own = V.own_products(t)
+    log = HIST.own_price_log(own, V.scoped_prices(t).withColumnRenamed("product_id", "own_id"), own.filter("category = 'SNACK'"), baseline_at="1990-01-01 00:00:00", deleted_at="2030-01-01 00:00:00")
+    return HIST.own_price_history(log)
+
+
+@query("scoped_price_history", """+ n AS (SELECT s.*, r.name AS retailer FROM scoped_prices s JOIN retailers r ON r.retailer_id=s.retailer_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY recorded_at DESC, id DESC) AS newest FROM n)
+SELECT product_id, id, retailer, region, row_number() OVER w AS revision, CAST(starts AS VARCHAR) AS starts, CAST(ends AS VARCHAR) AS ends, CAST(regular_price AS DOUBLE) AS regular_price, CAST(promo_price AS DOUBLE) AS promo_price,
+ recorded_at AS known_from, lead(recorded_at) OVER w AS known_until, newest, newest<=100 AS on_first_page FROM p WINDOW w AS (PARTITION BY product_id, retailer_id, region ORDER BY recorded_at, id)""", "scoped_prices retailers")
+def scoped_price_history(t: Tables) -> DataFrame:
+    return HIST.scoped_price_history(V.scoped_prices(t), V.retailers(t)).withColumns({"starts": F.col("starts").cast("string"), "ends": F.col("ends").cast("string")})
