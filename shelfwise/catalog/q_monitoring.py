@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
 from ..functions.core import round_half_up
 from ..operators import matching as M, monitoring as MON
+from ..session import ensure_checkpoint_dir
 from ..sources import imports as IMP, views as V
+from ..sources.staging import stage
 from ..sources.tables import Tables
 from .oracle import AS_OF, PID, r
 from .q_compare import decisions, offers, own
@@ -152,3 +156,34 @@ def csv_import_upsert(t: Tables) -> DataFrame:
 @query("csv_import_errors", "SELECT CAST(p_partkey AS BIGINT) AS line, 'category is not in the list' AS error FROM part WHERE p_type='ECONOMY'")
 def csv_import_errors(t: Tables) -> DataFrame:
     return IMP.import_errors(IMP.parse_catalogue(csv_rows(t))).select("line", "error")
+
+
+def csv_files(t: Tables) -> str:
+    """The catalogue as CSV files by shelf: quoted names over two lines, doubled quotes, blank lines and blank rows. Returns the folder."""
+    price = F.format_string("%.2f", F.col("p_retailprice") * 10)
+    size = F.col("p_size")
+    name = F.concat(F.lit('"'), "p_name", F.when(size % 3 == 0, F.lit(' ""new""')).otherwise(""), F.when(size % 4 == 0, F.lit("\nsecond, line")).otherwise(""), F.lit('"'))
+    row = F.concat_ws(",", name, price, F.concat(F.lit("SKU-"), F.col("p_partkey") * 2), V.category_of(F.col("p_type")))
+    body = t.part.select((size % 5).alias("shelf"), "p_partkey", F.concat(row, F.when(size % 6 == 0, F.lit("\n")).otherwise(""), F.when(size % 7 == 0, F.lit("\n, ,,")).otherwise("")).alias("value"))
+    header = body.select("shelf").distinct().select("shelf", F.lit(None).cast(body.schema["p_partkey"].dataType).alias("p_partkey"), F.lit("Name ,Regular_Price,SKU,category").alias("value"))
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/shelfwise/csv-{uuid.uuid4().hex}"
+    shelves = header.unionByName(body).repartition("shelf").sortWithinPartitions("shelf", F.col("p_partkey").asc_nulls_first())
+    shelves.select("shelf", "value").write.partitionBy("shelf").text(folder)
+    return folder
+
+
+@query("csv_file_errors", """SELECT CAST(shelf AS VARCHAR) AS shelf, CAST(1+rn+blank AS BIGINT) AS line, CAST(1+lines-own+1 AS BIGINT) AS file_line, 'category is not in the list' AS error
+FROM (SELECT p_size%5 AS shelf, p_type, row_number() OVER w AS rn, 1+(p_size%4=0)::INT+(p_size%6=0)::INT+(p_size%7=0)::INT AS own, sum(1+(p_size%4=0)::INT+(p_size%6=0)::INT+(p_size%7=0)::INT) OVER w AS lines,
+ sum((p_size%7=0)::INT) OVER w-(p_size%7=0)::INT AS blank FROM part WINDOW w AS (PARTITION BY p_size%5 ORDER BY p_partkey)) WHERE p_type='ECONOMY'""")
+def csv_file_errors(t: Tables) -> DataFrame:
+    errors = IMP.import_errors(IMP.parse_catalogue(IMP.read_catalogue_csv(t.spark, csv_files(t))))
+    return errors.select(F.regexp_extract("source_file", r"shelf=(\d+)", 1).alias("shelf"), "line", "file_line", "error")
+
+
+@query("csv_file_import", """SELECT 'all rows' AS given, 'kept' AS operation, count(*) AS rows FROM part
+UNION ALL SELECT 'good rows', CASE WHEN i.p_partkey IS NULL THEN 'kept' WHEN o.p_partkey IS NULL THEN 'created' ELSE 'updated' END, count(*)
+FROM (SELECT * FROM part WHERE p_type<>'ECONOMY') i FULL JOIN part o ON o.p_partkey=i.p_partkey*2 GROUP BY 2""")
+def csv_file_import(t: Tables) -> DataFrame:
+    parsed = stage(IMP.parse_catalogue(IMP.read_catalogue_csv(t.spark, csv_files(t))), "catalogue")
+    count = lambda given, rows: IMP.upsert(rows, V.own_products(t)).groupBy("operation").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(given).alias("given"), "operation", "rows")
+    return count("all rows", parsed).unionByName(count("good rows", parsed.filter("error IS NULL")))

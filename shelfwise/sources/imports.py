@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import CATEGORIES
 from ..functions.core import blank_to_null, first_reason
@@ -12,8 +12,31 @@ IMPORT_COLUMNS = ["name", "brand", "sku", "category", "pack_size", "regular_pric
 
 
 def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column as text. ``line`` numbers rows for error messages."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("line", F.monotonically_increasing_id() + 2)
+    """CSV with a header, every column as text, with ``source_file``, ``line`` (the record's number in its file, header and all but blank lines counted) and ``file_line``.
+
+    Files are read by blocks. A line's place in its file is its place in its block after the lines of earlier blocks; it begins a
+    record if an even number of quotes stands before it. An unclosed quote makes the rest of its file one record.
+    """
+    names = [c.lstrip("\ufeff") for c in spark.read.csv(path, header=True, multiLine=True, escape='"').columns]
+    block = ["source_file", "_block"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = lines.withColumns({"_id": F.monotonically_increasing_id(), "_one": F.lit(1), "_quotes": F.length("value") - F.length(F.translate("value", '"', ""))})
+    counted = _running(_running(lines, block, "_one", "file_line"), block, "_quotes", "_so_far")
+    begins = (F.col("_so_far") - F.col("_quotes")) % 2 == 0
+    counted = counted.withColumn("_begins", (begins & (F.col("value") != "")).cast("int")).filter(~begins | (F.col("value") != ""))
+    numbered = _running(counted, block, "_begins", "line")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_line", "value"))), lambda x: x["value"]), "\n")
+    records = numbered.groupBy("source_file", "line").agg(F.min("file_line").alias("file_line"), whole.alias("_text")).filter("line > 1")
+    fields = F.from_csv("_text", ", ".join(f"c{i} string" for i in range(len(names))), {"escape": '"'})
+    return records.select("source_file", "line", "file_line", fields.alias("_r")).select(*[F.col(f"_r.c{i}").alias(n) for i, n in enumerate(names)], "source_file", "line", "file_line")
+
+
+def _running(lines: DataFrame, block: list[str], value: str, name: str) -> DataFrame:
+    """``lines`` with the sum of ``value`` from their file's start: over their block in one window, over earlier blocks by one row a block."""
+    own = F.sum(value).over(W.partitionBy(*block).orderBy("_id"))
+    sums = lines.groupBy(*block).agg(F.sum(value).alias("_sum"))
+    earlier = sums.select(*block, F.coalesce(F.sum("_sum").over(W.partitionBy(block[0]).orderBy(block[1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    return lines.withColumn(name, own).join(earlier, block).withColumn(name, F.col(name) + F.col("_earlier")).drop("_earlier")
 
 
 def parse_catalogue(rows: DataFrame) -> DataFrame:
@@ -23,7 +46,8 @@ def parse_catalogue(rows: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"CSV must have at least the columns: name, regular_price (missing {', '.join(missing)}).")
     text = lambda c, *more: F.coalesce(*[blank_to_null(F.col(f"`{given[k]}`")) for k in (c, *more) if k in given], F.lit(None).cast("string"))
-    df = rows.select(F.col(given.get("line", "line")).cast("bigint").alias("line"), *[text(c).alias(c) for c in ("name", "brand", "sku", "pack_size")],
+    places = [F.col(c) for c in ("source_file", "file_line") if c in rows.columns]
+    df = rows.select(*places, F.col(given.get("line", "line")).cast("bigint").alias("line"), *[text(c).alias(c) for c in ("name", "brand", "sku", "pack_size")],
                      F.upper(F.coalesce(text("category"), F.lit("BISCUIT"))).alias("category"), text("regular_price").alias("_regular"), text("promo_price").alias("_promo"),
                      F.upper(F.coalesce(text("promo_type"), F.lit("REGULAR"))).alias("promo_type"),
                      text("buy_quantity", "buy_x").alias("_buy"), text("free_quantity", "get_y").alias("_free"))
@@ -39,7 +63,8 @@ def parse_catalogue(rows: DataFrame) -> DataFrame:
 
 
 def import_errors(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("error").isNotNull()).select("line", "error").orderBy("line")
+    places = [c for c in ("source_file", "line", "file_line") if c in parsed.columns]
+    return parsed.filter(F.col("error").isNotNull()).select(*places, "error").orderBy(*places)
 
 
 def upsert(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -49,7 +74,7 @@ def upsert(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
     of a repeated SKU wins.
     """
     blocked = parsed.agg(F.count(F.when(F.col("error").isNotNull(), 1))).scalar()
-    keyed = parsed.filter(F.col("sku").isNotNull() & (blocked == 0)).groupBy("sku").agg(F.max_by(F.struct(*[c for c in parsed.columns if c != "sku"]), "line").alias("n"))
+    keyed = parsed.filter(F.col("sku").isNotNull() & (blocked == 0)).groupBy("sku").agg(F.max_by(F.struct(*[c for c in parsed.columns if c != "sku"]), F.struct(*[c for c in ("source_file", "line") if c in parsed.columns])).alias("n"))
     plain = parsed.filter(F.col("sku").isNull() & (blocked == 0)).select(F.lit(None).cast("string").alias("sku"), F.struct(*[c for c in parsed.columns if c != "sku"]).alias("n"))
     fields = [c for c in IMPORT_COLUMNS + ["pack_grams"] if c != "sku" and c in catalogue.columns and c in parsed.columns]
     old = catalogue.select("own_id", "sku", F.struct(*fields).alias("o"))
