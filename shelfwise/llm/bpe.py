@@ -8,7 +8,9 @@ is a true one, and the text is cut there. The pieces between the cuts are encode
 as rows of their own and their ids are put together in order.
 
 A pre-token longer than the overlap leaves two chunks without a shared boundary;
-the text is then not cut from there on, and its rest is one piece.
+the text is then not cut from there on, and its rest is one piece. Pieces of more than
+``LONG_CHARS`` are split by the splitter and encoded pre-token by pre-token, as the encoder's own
+splitting fails on runs of some million white space characters.
 
 Decoding is the concatenation of the ids' bytes.
 
@@ -33,6 +35,7 @@ from .batches import map_rows
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
+LONG_CHARS = 4 * CHUNK_CHARS
 #: Characters after a boundary that can still move it: the longest contraction, less one, and one looked ahead at.
 REACH = 3
 
@@ -57,8 +60,14 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
 
 
-def _ids(text: str, vocabulary: str, pattern: str) -> array.array:
-    return array.array("I", encoder(vocabulary, pattern).encode_ordinary(text))
+def _ids(text: str, vocabulary: str, pattern: str, long: int = LONG_CHARS) -> array.array:
+    encode = encoder(vocabulary, pattern)
+    if len(text) <= long:
+        return array.array("I", encode.encode_ordinary(text))
+    ids = array.array("I")
+    for match in splitter(pattern).finditer(text):
+        ids.extend(encode._encode_single_piece(match[0].encode()))
+    return ids
 
 
 def seams(text: str, pattern: str, chunk: int, overlap: int) -> Iterator[tuple[int, bool, list[int]]]:

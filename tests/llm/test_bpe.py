@@ -59,3 +59,14 @@ def test_histogram_against_brute_force(spark):
     got = {r.share: r.length for r in length_histogram.quantiles(table, [0.0, 0.5, 1.0]).collect()}
     assert got[1.0] == max(own) and got[0.5] == sorted(own)[3]
     assert length_histogram.histogram(length_histogram.lengths(docs.limit(0))).count() == 0
+
+
+def test_runs_without_a_seam_of_any_length():
+    rng = random.Random(5)
+    mixed = "".join(rng.choice(["word", " the", "'ll", "  ", "\n\n ", "　", "7", "123 ", "?!", "é", "語", "\t"]) for _ in range(20_000))
+    for text in (mixed, " " * 5000 + "x", "a" * 5000 + " " * 3000 + "\n"):
+        assert bpe._ids(text, bpe.VOCABULARY, public_tokenizers.PATTERN, long=10) == bpe._ids(text, bpe.VOCABULARY, public_tokenizers.PATTERN)
+    for text in (" " * 1_500_000 + "x", "a" * 1_500_000):
+        ids = bpe._ids(text, bpe.VOCABULARY, public_tokenizers.PATTERN)
+        words = {rank: token for token, rank in bpe.ranks(bpe.VOCABULARY).items()}
+        assert b"".join(map(words.__getitem__, ids)) == text.encode()
