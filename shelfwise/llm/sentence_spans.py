@@ -5,8 +5,8 @@ runs on is cut further at places that its own words choose (the least hash in ea
 stretch of words), so a passage is cut alike wherever it stands. Where it begins or ends
 inside a sentence, at most a stretch of its words falls to a piece of the host's, so any
 50 shared words hold a whole run. Every shortest run of
-several consecutive sentences that has enough words is hashed: the shortest from each
-sentence on, and the shortest up to each sentence. Runs are joined over the whole table.
+several consecutive sentences that has enough words is hashed to 96 bits: the shortest from
+each sentence on, and the shortest up to each sentence. Runs are joined over the whole table.
 In order of the rows (by id) and places the first run of each hash stays and all others
 are repeats. Every sentence that a repeat covers is removed.
 
@@ -21,7 +21,6 @@ columns stay as they are. Sentences are compared by their words with A-Z lower-c
 
 from __future__ import annotations
 
-import array
 import re
 from collections.abc import Iterator
 
@@ -42,6 +41,8 @@ SPAN_FILTER_BITS = 1 << 24
 _END = re.compile(r"[.!?…。！？]+[\"')\]»”’]*\s+|\n\s*")
 _WORD = re.compile(r"\S+")
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
+#: Of a run's 128 bits 96 are kept: 10^12 different runs then meet by chance with a probability of some 10^-5.
+_DIGEST = np.dtype([("run", ">i8"), ("check", ">i4"), ("rest", ">i4")])
 
 
 class _Hashes(dict):
@@ -110,12 +111,13 @@ def shortest_runs(words: list[int], run: int, run_words: int) -> list[tuple[int,
                    *((a, b + 1) for a, b in zip(firsts.tolist(), places.tolist()) if a >= 0)})
 
 
-def run_hashes(text: str, run: int, run_words: int, hashes: _Hashes) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of each run."""
+def run_hashes(text: str, run: int, run_words: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """Hash (64 bits), check (32 more bits of it), first sentence and number of sentences of each run."""
     own = said(lowered(text), hashes)
-    raw = array.array("Q", [xxhash.xxh3_64_intdigest(" ".join(words).encode()) for words in own]).tobytes()
-    return [(xxhash.xxh3_64_intdigest(raw[8 * first:8 * stop]) - (1 << 63), first, stop - first)
-            for first, stop in shortest_runs([len(words) for words in own], run, run_words)]
+    raw = b"".join([xxhash.xxh3_128_digest(" ".join(words).encode()) for words in own])
+    found = shortest_runs([len(words) for words in own], run, run_words)
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[16 * first:16 * stop]) for first, stop in found]), _DIGEST)
+    return digests["run"].astype(np.int64), digests["check"].astype(np.int32), [first for first, _ in found], [stop - first for first, stop in found]
 
 
 def without(text: str, covered: set[int]) -> str:
@@ -133,28 +135,29 @@ def row_key(doc_id: str, text: str):
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
-    """(row_key, runs): the runs of a row, as (first, size) of sentences, that are repeats."""
+    """(doc_id, row_key, runs): the runs of a row, as (first, size) of sentences, that are repeats."""
     def runs(part: Iterator[tuple]) -> Iterator[tuple]:
         hashes = _Hashes()
         for own_id, key, value in part:
             found = run_hashes(value, run, run_words, hashes)
-            if found:
-                yield own_id, key, *zip(*found)
+            if len(found[0]):
+                yield own_id, key, *found
 
     scratch, kind = Scratch(docs.sparkSession), docs.schema[doc_id].dataType.simpleString()
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-    each = map_rows(rows, runs, f"doc_id {kind}, row_key bigint, run array<bigint>, first array<int>, size array<int>")
-    spans = scratch.keep(each.select("doc_id", "row_key", F.inline(F.arrays_zip("run", "first", "size"))), "spans")
+    each = map_rows(rows, runs, f"doc_id {kind}, row_key bigint, run array<bigint>, check array<int>, first array<int>, size array<int>")
+    spans = scratch.keep(each.select("doc_id", "row_key", F.inline(F.arrays_zip("run", "check", "first", "size"))), "spans")
     several = scratch.keep(spans.groupBy("run").count().filter("count > 1").select("run"), "several")
     # An inner join, the hashes being distinct: Spark would move a semi join below the filter in front of it.
     again = scratch.keep(likely(spans, "run", several, SPAN_FILTER_BITS).join(several, "run"), "again")
     # The first row: least id, rows without one last, then least key; in it the least place. Plain minima combine before the shuffle.
-    ids = again.groupBy("run").agg(F.min("doc_id").alias("first_id"))
-    leading = again.join(ids, "run").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    keys = leading.groupBy("run").agg(F.min("row_key").alias("first_key"))
-    places = leading.join(keys, "run").filter(F.col("row_key") == F.col("first_key")).groupBy("run", "first_key").agg(F.min("first").alias("first_place"))
-    later = again.join(places, "run").filter((F.col("row_key") != F.col("first_key")) | (F.col("first") != F.col("first_place")))
-    return scratch.result(later.select("row_key", "first", "size").groupBy("row_key").agg(F.collect_set(F.struct("first", "size")).alias("runs")), "repeats")
+    same = ["run", "check"]
+    ids = again.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+    leading = again.join(ids, same).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    keys = leading.groupBy(*same).agg(F.min("row_key").alias("first_key"))
+    places = leading.join(keys, same).filter(F.col("row_key") == F.col("first_key")).groupBy(*same, "first_key").agg(F.min("first").alias("first_place"))
+    later = again.join(places, same).filter((F.col("row_key") != F.col("first_key")) | (F.col("first") != F.col("first_place")))
+    return scratch.result(later.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "size")).alias("runs")), "repeats")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN_SENTENCES, run_words: int = RUN_WORDS) -> DataFrame:
@@ -169,7 +172,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             covered = {place for x in own or () for place in range(x["first"], x["first"] + x["size"])}
             yield *row[:at], without(row[at], covered) if covered else row[at], *row[at + 1:], None, len(covered)
 
-    maybe = likely(keyed, "row_key", found).join(found, "row_key", "left").select(*plain.columns, "runs")
+    own = found.select(F.col("doc_id").alias("own_id"), F.col("row_key").alias("own_key"), "runs")
+    same = (F.col("row_key") == F.col("own_key")) & F.col(f"c{columns.index(doc_id)}").eqNullSafe(F.col("own_id"))
+    maybe = likely(keyed, "row_key", found).join(own, same, "left").select(*plain.columns, "runs")
     whole = unlikely(keyed, "row_key", found).select(*plain.columns, F.lit(0).cast("bigint").alias("n_removed"))
     names = [F.col(f"c{i}").alias(name) for i, name in enumerate(columns)]
     return renamed(extend_rows(maybe, cut, "n_removed bigint"), columns, "n_removed").unionAll(whole.select(*names, "n_removed"))

@@ -90,7 +90,7 @@ def shared_pieces(seed, n=300):
 def test_fifty_shared_words_hold_a_run_wherever_they_are_pasted():
     hashes = sentence_spans._Hashes()
     for one, other in shared_pieces(11):
-        found = [{h for h, _, _ in sentence_spans.run_hashes(x, sentence_spans.RUN_SENTENCES, sentence_spans.RUN_WORDS, hashes)} for x in (one, other)]
+        found = [set(zip(*(x.tolist() for x in sentence_spans.run_hashes(text, sentence_spans.RUN_SENTENCES, sentence_spans.RUN_WORDS, hashes)[:2]))) for text in (one, other)]
         assert found[0] & found[1], (one, other)
 
 
@@ -104,3 +104,18 @@ def test_passage_inside_sentences_goes(spark):
     got = {r.doc_id: r.text for r in sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for key, text in rows:
         assert got[key] == text if key % 2 == 0 else len(got[key].split()) <= len(text.split()) - 26
+
+
+def test_equal_hashes_are_no_repeat_without_equal_checks(spark, monkeypatch):
+    whole = sentence_spans.run_hashes
+
+    def crowded(*given):
+        run, check, first, size = whole(*given)
+        return run * 0, check, first, size
+
+    monkeypatch.setattr(sentence_spans, "run_hashes", crowded)
+    pick = random.Random(14)
+    shared = ". ".join(passage(pick, 9) for _ in range(4)) + "."
+    rows = [(i, passage(pick, 30) + ".\n" + (shared if i % 3 == 0 else ". ".join(passage(pick, 9) for _ in range(4)) + ".")) for i in range(12)]
+    got = sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(k, t if k == 0 or k % 3 else t.split("\n")[0]) for k, t in rows]
