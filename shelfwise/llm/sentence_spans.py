@@ -39,7 +39,6 @@ LONG_WORDS, STRETCH_WORDS = 12, 12
 SPAN_FILTER_BITS = 1 << 24
 
 _END = re.compile(r"[.!?…。！？]+[\"')\]»”’]*\s+|\n\s*")
-_WORD = re.compile(r"\S+")
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 #: Of a run's 128 bits 96 are kept: 10^12 different runs then meet by chance with a probability of some 10^-5.
 _DIGEST = np.dtype([("run", ">i8"), ("check", ">i4"), ("rest", ">i4")])
@@ -68,11 +67,23 @@ def _ends(text: str) -> list[int]:
 
 def _firsts(words: list[str], hashes: _Hashes) -> list[int]:
     """Where the pieces of a long sentence begin: at its start and at the least hash of every stretch of words."""
-    own, found = hashes.of(words), {0}
-    for i in range(len(own) - STRETCH_WORDS + 1):
-        part = own[i:i + STRETCH_WORDS]
-        found.add(i + part.index(min(part)))
-    return sorted(found)
+    own = hashes.of(words)
+    least = min(own[:STRETCH_WORDS])
+    at = own.index(least)
+    found = [0, at] if at else [0]
+    for stop in range(STRETCH_WORDS, len(own)):
+        value = own[stop]
+        if value < least:
+            least, at = value, stop
+        elif at <= stop - STRETCH_WORDS:  # the least has left the stretch
+            first = stop + 1 - STRETCH_WORDS
+            part = own[first:stop + 1]
+            least = min(part)
+            at = first + part.index(least)
+        else:
+            continue
+        found.append(at)
+    return found
 
 
 def said(low: str, hashes: _Hashes) -> list[list[str]]:
@@ -90,14 +101,15 @@ def said(low: str, hashes: _Hashes) -> list[list[str]]:
     return found
 
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
+def sentences(text: str, hashes: _Hashes | None = None) -> list[tuple[int, int, int]]:
     """(start, stop, words) of the same sentences in the text; between them is white space only."""
-    found, hashes, low = [], _Hashes(), lowered(text)
-    places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    at = 0
-    for words in said(low, hashes):
-        found.append((places[at][0], places[at + len(words) - 1][1], len(words)))
-        at += len(words)
+    found, low, at = [], lowered(text), 0
+    for words in said(low, _Hashes() if hashes is None else hashes):
+        start = low.find(words[0], at)
+        at = start + len(words[0])
+        for word in words[1:]:
+            at = low.find(word, at) + len(word)
+        found.append((start, at, len(words)))
     return found
 
 
@@ -107,8 +119,10 @@ def shortest_runs(words: list[int], run: int, run_words: int) -> list[tuple[int,
     places = np.arange(len(words))
     stops = np.maximum(places + run, np.searchsorted(total, total[:-1] + run_words, side="left"))
     firsts = np.minimum(places + 1 - run, np.searchsorted(total, total[1:] - run_words, side="right") - 1)
-    return sorted({*((a, b) for a, b in zip(places.tolist(), stops.tolist()) if b <= len(words)),
-                   *((a, b + 1) for a, b in zip(firsts.tolist(), places.tolist()) if a >= 0)})
+    ahead, back = stops <= len(words), firsts >= 0
+    width = len(words) + 1
+    pairs = np.unique(np.concatenate((places[ahead] * width + stops[ahead], firsts[back] * width + places[back] + 1)))
+    return list(zip((pairs // width).tolist(), (pairs % width).tolist()))
 
 
 def run_hashes(text: str, run: int, run_words: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
@@ -120,10 +134,10 @@ def run_hashes(text: str, run: int, run_words: int, hashes: _Hashes) -> tuple[np
     return digests["run"].astype(np.int64), digests["check"].astype(np.int32), [first for first, _ in found], [stop - first for first, stop in found]
 
 
-def without(text: str, covered: set[int]) -> str:
+def without(text: str, covered: set[int], hashes: _Hashes | None = None) -> str:
     """The text without the sentences at these places; what stays keeps the white space before it."""
     kept, at = [], 0
-    for place, (_, stop, _) in enumerate(sentences(text)):
+    for place, (_, stop, _) in enumerate(sentences(text, hashes)):
         if place not in covered:
             kept.append(text[at:stop])
         at = stop
@@ -168,9 +182,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = plain.withColumn("row_key", row_key(f"c{columns.index(doc_id)}", f"c{at}"))
 
     def cut(part: Iterator[tuple]) -> Iterator[tuple]:
+        hashes = _Hashes()
         for *row, own in part:
             covered = {place for x in own or () for place in range(x["first"], x["first"] + x["size"])}
-            yield *row[:at], without(row[at], covered) if covered else row[at], *row[at + 1:], None, len(covered)
+            yield *row[:at], without(row[at], covered, hashes) if covered else row[at], *row[at + 1:], None, len(covered)
 
     own = found.select(F.col("doc_id").alias("own_id"), F.col("row_key").alias("own_key"), "runs")
     same = (F.col("row_key") == F.col("own_key")) & F.col(f"c{columns.index(doc_id)}").eqNullSafe(F.col("own_id"))
