@@ -73,6 +73,17 @@ def stream_lifecycle_sweep(t: Tables) -> DataFrame:
     return ledger.rows()
 
 
+@query("stream_stale_sources", """WITH c AS (SELECT user_id AS source_id, ts, event_type<>'error' AS ok FROM events), l AS (SELECT source_id, max(ts) AS last_row FROM c GROUP BY 1), m AS (SELECT max(ts)-INTERVAL 7 DAY AS mark FROM c),
+s AS (SELECT DISTINCT source_id, ts AS last_success FROM c WHERE ok), n AS (SELECT *, last_success+INTERVAL 3 DAY AS due, lead(last_success) OVER (PARTITION BY source_id ORDER BY last_success) AS next_success FROM s)
+SELECT source_id, 'SOURCE_STALE' AS kind, last_success, due AS at FROM n JOIN l USING (source_id), m WHERE next_success>due OR (next_success IS NULL AND (last_row>due OR due<=mark))
+UNION ALL SELECT source_id, 'SOURCE_RECOVERED', last_success, next_success FROM n WHERE next_success>due""")
+def stream_stale_sources(t: Tables) -> DataFrame:
+    """Checks arrive in four micro-batches; a source goes stale by a timer, also where no row of it arrives any more."""
+    checks = t.events.select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    out = J.run_to_table(J.stale_episodes(J.paced(checks, "ts", 4)), "stale")
+    return out.select("source_id", "kind", _ntz("last_success").alias("last_success"), _ntz("at").alias("at"))
+
+
 @query("stream_fold_counts", f"+ /*recursive*/ {_FOLD} SELECT verdict, count(*) AS observations, CAST(sum(chg) AS BIGINT) AS changes FROM f GROUP BY 1", "sources")
 def stream_fold_counts(t: Tables) -> DataFrame:
     """The canonical fold as a stream gives the verdicts of the batch fold."""

@@ -89,6 +89,52 @@ def unchanged_pages(pages: DataFrame, *, late: str = LATE, forget_days: int = 40
         step, "url string, document_id bigint, unchanged boolean, late boolean", "content_hash string, newest bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stale_episodes(checks: DataFrame, *, stale_days: int = 3, late: str = LATE) -> DataFrame:
+    """Sources that had no success for ``stale_days``, and their recovery, each once per last success.
+
+    ``checks``: source_id, ts, ok; those of a source come in order of time, batch by batch. A timer
+    opens SOURCE_STALE when the watermark passes the time, with no row of the source arriving; a
+    failed check after that time opens it too. The next success gives SOURCE_RECOVERED. State is the
+    last success and whether it is announced; a source is known from its first success on.
+    """
+    allowed = stale_days * 86_400_000_000  # microseconds, as all times here: they do not depend on the session's zone
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (None, False)
+        out = []
+
+        def stale():
+            out.append((key[0], "SOURCE_STALE", last, last + allowed))
+
+        if state.hasTimedOut:
+            stale()
+            told = True
+        else:
+            rows = pd.concat(list(batches)).sort_values("micros")
+            for ts, ok in zip(rows["micros"].tolist(), rows["ok"].tolist()):
+                if last is not None and not told and ts > last + allowed:
+                    stale()
+                    told = True
+                if ok:
+                    if told:
+                        out.append((key[0], "SOURCE_RECOVERED", last, ts))
+                    last, told = ts, False
+        if last is not None:
+            due = (last + allowed) // 1_000
+            if not told and due <= state.getCurrentWatermarkMs():
+                stale()
+                told = True
+            state.update((last, told))
+            if not told:
+                state.setTimeoutTimestamp(due)
+        yield pd.DataFrame(out, columns=["source_id", "kind", "last_success", "at"])
+
+    kind = checks.schema["source_id"].dataType.simpleString()
+    found = checks.select("source_id", "ts", F.unix_micros("ts").alias("micros"), "ok").withWatermark("ts", late).groupBy("source_id").applyInPandasWithState(
+        step, f"source_id {kind}, kind string, last_success bigint, at bigint", "last_success bigint, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("source_id", "kind", F.timestamp_micros("last_success").alias("last_success"), F.timestamp_micros("at").alias("at"))
+
+
 def canonical_stream(observations: DataFrame, fields: list[str], *, key_type: str = "bigint") -> DataFrame:
     """The observation fold as keyed state: current values, last source and last verified time per identity.
 

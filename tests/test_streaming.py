@@ -43,3 +43,14 @@ def test_sweep_replays_and_torn_batches(spark, tmp_path):
     sweep(tick(6), 0)
     got = sorted((r.promotion_id, r.expired_at.day) for r in ledger.rows().collect())
     assert got == sorted((f"p{i}", 6 if i < 5 else 11) for i in range(10) if i % 5)
+
+
+def test_sources_go_stale_without_a_row_and_recover(spark):
+    start = datetime(2024, 1, 1)
+    days = {1: [(d, True) for d in range(30)], 2: [(0, True), (2, False), (4, False), (5, False), (9, True), (29, True)], 3: [(1, True)], 4: [(8, False), (20, False)]}
+    rows = [(k, start + d * DAY, ok) for k, own in days.items() for d, ok in own]
+    checks = spark.createDataFrame(rows, "source_id long, ts timestamp, ok boolean")
+    got = J.run_to_table(J.stale_episodes(J.paced(checks, "ts", 5)), "stale").collect()
+    day = lambda ts: (ts - start).days
+    assert sorted((r.source_id, r.kind, day(r.last_success), day(r.at)) for r in got) == [
+        (2, "SOURCE_RECOVERED", 0, 9), (2, "SOURCE_RECOVERED", 9, 29), (2, "SOURCE_STALE", 0, 3), (2, "SOURCE_STALE", 9, 12), (3, "SOURCE_STALE", 1, 4)]
