@@ -127,10 +127,10 @@ def retention_applied(t: Tables) -> DataFrame:
 
 
 @query("recent_alerts", f"""SELECT fingerprint, kind, subject_id, open, created_at FROM (SELECT concat('old:', s_suppkey) AS fingerprint, CASE WHEN s_suppkey%2=0 THEN 'SOURCE_FAILING' ELSE 'SOURCE_STALE' END AS kind, CAST(s_suppkey AS VARCHAR) AS subject_id, s_suppkey%3<>0 AS open, {AS_OF}-to_days(CAST(s_suppkey%400 AS INTEGER)) AS created_at FROM supplier
- UNION ALL SELECT concat('seen:', {PID}), 'PRICE_SHOCK', {PID}, true, l_shipdate FROM lineitem WHERE l_linestatus='F') ORDER BY created_at DESC, fingerprint LIMIT 100""")
+ UNION ALL SELECT concat('seen:', {PID}), 'PRICE_SHOCK', {PID}, true, l_shipdate FROM lineitem WHERE l_linestatus='F')""")
 def recent_alerts(t: Tables) -> DataFrame:
-    """The first page: the hundred newest."""
-    return MON.recent_alerts(alert_history(t), limit=100).select("fingerprint", "kind", "subject_id", F.col("resolved_at").isNull().alias("open"), "created_at")
+    """All announced alerts, newest first."""
+    return MON.recent_alerts(alert_history(t)).select("fingerprint", "kind", "subject_id", F.col("resolved_at").isNull().alias("open"), "created_at")
 
 
 @query("runs_pruned", f"WITH {_RUNS} SELECT count(*) AS kept FROM runs WHERE started_at>={AS_OF}-INTERVAL 180 DAY")
