@@ -100,3 +100,17 @@ def test_material_rules(spark):
             ("end_date", None, "2024-01-01"), ("channel", "a", "b"), ("promo_price", None, "5")]
     df = spark.createDataFrame(rows, "field string, previous string, current string")
     assert [r["m"] for r in df.select(K.is_material(F.col("field"), F.col("previous"), F.col("current")).alias("m")).collect()] == [False, True, False, True, True, False, False]
+
+
+@pytest.mark.parametrize("stretch_rows", [40, 1_000_000])
+def test_pieces_that_never_agree_take_no_round_each(spark, monkeypatch, stretch_rows):
+    """One identity, many sources: guesses are wrong all along, which took a round of jobs for each of some hundred pieces."""
+    rows = [(1, f"{n:04d}", datetime(2024, 1, 1) + timedelta(hours=9 * n), n % 97, 0.9, 100.0 + 7 * (n % 13), "DISCOUNT") for n in range(300)]
+    obs = spark.createDataFrame(rows, "fold_key int, observation_id string, observed_at timestamp_ntz, source_id int, confidence double, promo_price double, promotion_type string")
+    trust = spark.createDataFrame([(n, 0.6 + (n % 8) * 0.05) for n in range(97)], "source_id int, reliability_score double")
+    want = {r["observation_id"]: tuple(r) for r in K.fold_observations(obs, trust, FIELDS).drop("segment").collect()}
+    staged, stage = [], K.stage
+    monkeypatch.setattr(K, "stage", lambda df, name="frame": staged.append(name) or stage(df, name))
+    folded = K.fold_observations(obs.unionByName(obs), trust, FIELDS, piece_rows=4, stretch_rows=stretch_rows)
+    assert {r["observation_id"]: tuple(r) for r in folded.drop("segment").collect()} == want and folded.count() == 300
+    assert folded.select("segment").distinct().count() > 60 and staged.count("checked") <= max(1, 600 // stretch_rows + 1)
