@@ -114,3 +114,13 @@ def test_pieces_that_never_agree_take_no_round_each(spark, monkeypatch, stretch_
     folded = K.fold_observations(obs.unionByName(obs), trust, FIELDS, piece_rows=4, stretch_rows=stretch_rows)
     assert {r["observation_id"]: tuple(r) for r in folded.drop("segment").collect()} == want and folded.count() == 300
     assert folded.select("segment").distinct().count() > 60 and staged.count("checked") <= max(1, 600 // stretch_rows + 1)
+
+
+def test_a_source_with_two_entries_counts_with_both(history):
+    """Short and long histories alike: a repeated sighting counts once, one of a repeated source twice."""
+    rows, obs, trust = history
+    both = trust.unionByName(trust.filter("source_id = 2"))
+    want = sorted([r[1] for r in rows] + [r[1] for r in rows if r[3] == 2])
+    for piece_rows in (4, 2_000):
+        folded = K.fold_observations(obs.unionByName(obs), both, FIELDS, piece_rows=piece_rows)
+        assert sorted(r["observation_id"] for r in folded.collect()) == want

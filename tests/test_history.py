@@ -44,3 +44,15 @@ def test_places_count_over_spans(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
     got = H.in_sequence(df, ["k"], ["id"], F.col("id"), F.floor(F.col("id") / 37))
     assert got.filter((F.col("place") != F.floor(F.col("id") / 2) + 1) | (F.col("places") != 500) | ~F.col("before").eqNullSafe(F.when(F.col("id") > 1, F.col("id") - 2))).count() == 0
+
+
+def test_crowded_and_small_keys_are_ordered_alike(spark):
+    """Small keys need no join with their spans; which keys go by spans changes nothing, null keys included."""
+    rows = [(None if n % 5 == 0 else n % 5 if n % 2 else n, n // 3, n, n % 4) for n in range(400)]
+    df = spark.createDataFrame(rows, "k int, day int, id int, v int")
+    ask = lambda crowded: sorted(map(tuple, H.in_sequence(df, ["k"], ["id"], F.col("v"), F.col("day"), crowded=crowded).collect()), key=lambda r: r[2])
+    many = H.crowded_keys(df, ["k"], few=20)
+    assert many.count() == 3 and H.crowded_keys(df, ["k"], few=400) is None
+    assert ask(None) == ask(many)
+    plan = H.in_sequence(df, ["k"], ["id"], F.col("v"), F.col("day"))._jdf.queryExecution().toString()
+    assert "Join" not in plan

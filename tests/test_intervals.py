@@ -49,3 +49,15 @@ def test_supersede_marks_once_and_names_the_earliest(spark):
     (event,) = events.collect()
     assert (event.promotion_id, event.observation_id, event.event_type, event.current) == ("old", "o1", "SUPERSEDED", '{"superseded_by_promotion_id":"n1"}')
     assert K.new_events(events, events).count() == 0
+
+
+def test_many_periods_of_the_same_days_are_few_in_the_tree(spark, monkeypatch):
+    """All share a key and two pairs of days; each left its moment at the tree's places before, and each asked there."""
+    from shelfwise.operators import intervals as I
+    stored = spark.range(600).selectExpr("1 AS k", "concat('c', id % 300) AS campaign", "date'2024-01-01' + cast(id % 2 AS int) AS first", "date'2024-02-01' AS last", "id AS newest")
+    sizes, best_two = [], I._best_two
+    monkeypatch.setattr(I, "_best_two", lambda rows, by, other, newest: sizes.append((by[-1], rows.count())) or best_two(rows, by, other, newest))
+    got = I.newest_overlapping(stored.drop("newest"), stored, ["k"], newest="newest", other="campaign", few=5)
+    found = {(r["campaign"], r["first"].day): r["newest"] for r in got.collect()}
+    assert found == {(f"c{n}", 1 + n % 2): 598 if n == 299 else 599 for n in range(300)}
+    assert all(n < 600 for by, n in sizes[1:])

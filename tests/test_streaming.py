@@ -54,3 +54,17 @@ def test_sources_go_stale_without_a_row_and_recover(spark):
     day = lambda ts: (ts - start).days
     assert sorted((r.source_id, r.kind, day(r.last_success), day(r.at)) for r in got) == [
         (2, "SOURCE_RECOVERED", 0, 9), (2, "SOURCE_RECOVERED", 9, 29), (2, "SOURCE_STALE", 0, 3), (2, "SOURCE_STALE", 9, 12), (3, "SOURCE_STALE", 1, 4)]
+
+
+def test_a_piece_is_written_by_the_tasks_that_read_it(spark):
+    """One task wrote a whole piece before; a piece is still one micro-batch, also where most tasks hold none of its rows."""
+    from datetime import datetime, timedelta
+    rows = [(n, datetime(2024, 1, 1) + timedelta(hours=n)) for n in range(240)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp").repartitionByRange(4, "id")
+    paced = J.paced(df, "ts", 3)
+    seen = []
+    paced.writeStream.foreachBatch(lambda batch, _: seen.append((batch.rdd.getNumPartitions(), sorted(r["id"] for r in batch.collect())))).trigger(availableNow=True).start().awaitTermination()
+    assert [ids for _, ids in seen] == [list(range(0, 80)), list(range(80, 160)), list(range(160, 240))]
+    whole = df.repartition(4)
+    folder = J.paced(whole, "ts", 3).inputFiles()
+    assert len(folder) == 12
