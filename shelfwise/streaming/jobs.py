@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import CONFLICT_RECENT_DAYS, DEFAULT_RELIABILITY
 from ..operators.canonical import FoldState
 from ..session import ensure_checkpoint_dir
+from ..sources.staging import shuffle_width
 
 LATE = f"{CONFLICT_RECENT_DAYS} days"
 
@@ -30,16 +31,20 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFra
 def paced(df: DataFrame, time_column: str, pieces: int) -> DataFrame:
     """``df`` as a stream that arrives in ``pieces`` micro-batches, cut into equal spans of time.
 
-    The pieces are written one after the other, in one file each: for trying a
-    stream job on stored rows. A live source sets its own pace.
+    The pieces are written one after the other, each by the tasks that read ``df``, in as many files
+    (empty ones fill up the number): for trying a stream job on stored rows. A live source sets its own pace.
     """
     spark, folder = df.sparkSession, f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/shelfwise/paced-{uuid.uuid4().hex}"
     span = df.agg(F.min(F.to_date(time_column)).alias("low"), F.max(F.to_date(time_column)).alias("high")).first()
     days = (span["high"] - span["low"]).days + 1 if span["low"] is not None else 1
     piece = F.floor(F.datediff(time_column, F.lit(span["low"]).cast("date")) * pieces / F.lit(days))
+    files = max(1, min(df.rdd.getNumPartitions(), shuffle_width(df)))
+    nothing = df.limit(0).coalesce(1)
     for number in range(pieces):
-        df.filter(piece == number).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        df.filter(piece == number).coalesce(files).write.mode("append").parquet(folder)
+        for _ in range((number + 1) * files - len(spark.read.schema(df.schema).parquet(folder).inputFiles())):
+            nothing.write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema, time_column: str = "ts") -> DataFrame:
