@@ -1,6 +1,6 @@
 """Version histories of prices: numbered, with the time each version was known, equal ones in a row merged.
 
-A key may hold a large share of the log, so nothing is ordered by key alone. Rows are
+A key may hold a large share of the log, so only keys of few rows are ordered whole. Rows of others are
 ordered within a key's span (a day by default); what crosses the border of spans comes from one
 row a span: how many rows stand before it, the last value before it and the first after it.
 """
@@ -9,12 +9,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.staging import stage
 
-def in_sequence(df: DataFrame, keys: list[str], order: list[str], value: Column, span: Column) -> DataFrame:
+#: Keys of up to so many rows are ordered whole.
+FEW_ROWS = 10_000
+
+
+def crowded_keys(df: DataFrame, keys: list[str], *, few: int = FEW_ROWS) -> DataFrame | None:
+    """The keys of more than ``few`` rows as ``_crowded`` (a struct, so that nulls are equal), or None; counting is a job that runs here."""
+    counted = df.groupBy(F.struct(*keys).alias("_crowded")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select("_crowded")
+    found = stage(counted, "crowded")
+    return None if found.isEmpty() else found
+
+
+def in_sequence(df: DataFrame, keys: list[str], order: list[str], value: Column, span: Column, *, crowded: DataFrame | None = None) -> DataFrame:
     """``df`` with ``place`` (from 1), ``places`` (rows of the key), ``before`` and ``after``: the value beside the row in its key's order, null at the ends.
 
     ``span`` must not fall as ``order`` rises. Rows with null keys are one key; ties of ``order`` keep any order.
+    Keys in ``crowded`` (``crowded_keys``) are ordered by spans, all others whole.
     """
+    if crowded is None:
+        return _whole(df, keys, order, value)
+    mine = F.struct(*keys) == F.col("_crowded")
+    return _whole(df.join(crowded, mine, "left_anti"), keys, order, value).unionByName(_by_spans(df.join(crowded, mine, "left_semi"), keys, order, value, span))
+
+
+def _whole(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    inside = W.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn("_value", value)
+    return rows.select(*df.columns, F.row_number().over(inside).cast("bigint").alias("place"), F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("places"),
+                       F.lag("_value").over(inside).alias("before"), F.lead("_value").over(inside).alias("after"))
+
+
+def _by_spans(df: DataFrame, keys: list[str], order: list[str], value: Column, span: Column) -> DataFrame:
     rows = df.withColumns({"_value": F.struct(value.alias("v")), "_span": span})
     inside = W.partitionBy(*keys, "_span").orderBy(*order)
     placed = rows.withColumns({"_n": F.row_number().over(inside), "_before": F.lag("_value").over(inside), "_after": F.lead("_value").over(inside)})
@@ -39,9 +66,10 @@ def versions(log: DataFrame, keys: list[str], fields: list[str], *, at: str = "r
     """
     span = F.to_date(at) if span is None else span
     state = F.struct(*fields)
-    saved = in_sequence(log, keys, [at, tie], state, span)
+    crowded = crowded_keys(log, keys)
+    saved = in_sequence(log, keys, [at, tie], state, span, crowded=crowded)
     changed = saved.filter((F.col("place") == 1) | ~state.eqNullSafe(F.col("before"))).select(*log.columns)
-    numbered = in_sequence(changed, keys, [at, tie], F.col(at), span)
+    numbered = in_sequence(changed, keys, [at, tie], F.col(at), span, crowded=crowded)
     return numbered.select(*log.columns, F.col("place").alias("revision"), F.col("after").alias("known_until"))
 
 
@@ -68,8 +96,10 @@ def scoped_price_history(prices: DataFrame, retailers: DataFrame, *, page: int =
     """
     named = prices.join(retailers.select("retailer_id", F.col("name").alias("retailer")), "retailer_id")
     scope = ["product_id", "retailer_id", "region"]
-    known = in_sequence(named, scope, ["recorded_at", "id"], F.col("recorded_at"), F.to_date("recorded_at"))
+    many = crowded_keys(prices, ["product_id"])  # only their scopes can be crowded
+    by_scope = None if many is None else crowded_keys(prices, scope)
+    known = in_sequence(named, scope, ["recorded_at", "id"], F.col("recorded_at"), F.to_date("recorded_at"), crowded=by_scope)
     known = known.select(*named.columns, F.col("place").alias("revision"), F.col("after").alias("known_until"))
-    listed = in_sequence(known, ["product_id"], ["recorded_at", "id"], F.lit(0), F.to_date("recorded_at")).withColumn("newest", F.col("places") - F.col("place") + 1)
+    listed = in_sequence(known, ["product_id"], ["recorded_at", "id"], F.lit(0), F.to_date("recorded_at"), crowded=many).withColumn("newest", F.col("places") - F.col("place") + 1)
     return listed.select("product_id", "id", "retailer", "region", "revision", "starts", "ends", F.col("regular_price").cast("double").alias("regular_price"),
                          F.col("promo_price").cast("double").alias("promo_price"), F.col("recorded_at").alias("known_from"), "known_until", "newest", (F.col("newest") <= page).alias("on_first_page"))
