@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dates import periods_compatible
+from ..sources.staging import stage
 
 #: Keys of up to so many stored periods meet them one by one.
 FEW_PERIODS = 32
@@ -63,34 +64,43 @@ def newest_overlapping(asked: DataFrame, stored: DataFrame, key: list[str], *, n
     stored periods of another value of it count. Finding the days spanned is a job that runs here.
     """
     same = [other] if other else []
-    asks = asked.select(*key, *same, "first", "last").distinct()
-    pool = stored.groupBy(*key, *same, "first", "last").agg(F.max(newest).alias(newest))
-    crowded = pool.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select(*key)
-    small = pool.join(crowded, key, "left_anti").withColumnsRenamed({"first": "_first", "last": "_last", **({other: "_other"} if other else {})})
+    # Both are read from several branches; what they come from may be joins of whole tables.
+    asks = stage(asked.select(*key, *same, "first", "last").distinct(), "asks")
+    pool = stage(stored.groupBy(*key, *same, "first", "last").agg(F.max(newest).alias(newest)), "periods")
+    crowded = stage(pool.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select(*key), "crowded")
+    none = crowded.isEmpty()
+    small = (pool if none else pool.join(crowded, key, "left_anti")).withColumnsRenamed({"first": "_first", "last": "_last", **({other: "_other"} if other else {})})
     hits = asks.join(small, key).filter(periods_compatible("first", "last", "_first", "_last"))
     if other:
         hits = hits.filter(F.col(other) != F.col("_other"))
     direct = hits.groupBy(*key, *same, "first", "last").agg(F.max(newest).alias(newest))
+    if none:
+        return direct
     return direct.unionByName(_by_tree(asks.join(crowded, key, "left_semi"), pool.join(crowded, key, "left_semi"), key, same, newest, other))
 
 
 def _by_tree(asks: DataFrame, pool: DataFrame, key: list[str], same: list[str], newest: str, other: str | None) -> DataFrame:
+    """Periods of a key with the same days count as one on both sides, so the tree holds pairs of days, however many periods have them."""
     end = F.coalesce("last", "first")
     span = pool.agg(F.min("first").alias("low"), F.max(end).alias("high")).first()
     low, high = span["low"], span["high"]
     levels = max(1, ((high - low).days + 1 if low is not None and high is not None and high >= low else 1).bit_length())
     day = lambda c: F.datediff(c, F.lit(low).cast("date")).cast("bigint")
     dated = F.col("first").isNotNull()
-    own = pool.withColumn("_nodes", F.when(dated, _cover(day(F.col("first")), day(end), levels)).otherwise(F.array().cast("array<bigint>")))
+    kept = _best_two(pool.filter(F.col(other).isNotNull()) if other else pool, [*key, "first", "last"], other, newest)
+    own = kept.withColumn("_nodes", F.when(dated, _cover(day(F.col("first")), day(end), levels)).otherwise(F.array().cast("array<bigint>")))
     places = F.concat(F.array(F.lit(_ALL).cast("bigint")), F.when(~dated, F.array(F.lit(_ALWAYS).cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
                       F.transform("_nodes", _over), F.transform(_above(F.col("_nodes"), levels), _under))
     held = _best_two(own.select(*key, *same, newest, F.explode(places).alias("_at")), [*key, "_at"], other, newest)
     # A stored period lies inside the span, so what is asked beyond it cannot matter.
     nodes = _cover(F.greatest(day(F.col("first")), F.lit(0).cast("bigint")), F.least(day(end), F.lit((1 << levels) - 1).cast("bigint")), levels)
     reads = F.when(dated, F.concat(F.array(F.lit(_ALWAYS).cast("bigint")), F.transform(nodes, _under), F.transform(_above(nodes, levels), _over))).otherwise(F.array(F.lit(_ALL).cast("bigint")))
-    read = asks.select(*key, *same, "first", "last", F.explode(reads).alias("_at"))
+    read = asks.select(*key, "first", "last").distinct().select("*", F.explode(reads).alias("_at"))
+    best = _best_two(read.join(held, [*key, "_at"]), [*key, "first", "last"], other, newest)
+    found = best.withColumnsRenamed({"first": "_first", "last": "_last", **{k: f"_{i}_key" for i, k in enumerate(key)}, **({other: "_other"} if other else {})})
+    on = F.col("first").eqNullSafe(F.col("_first")) & F.col("last").eqNullSafe(F.col("_last"))
+    for i, k in enumerate(key):
+        on = on & (F.col(k) == F.col(f"_{i}_key"))
     if other:
-        met = read.join(held.withColumnRenamed(other, "_other"), [*key, "_at"]).filter(F.col(other) != F.col("_other"))
-    else:
-        met = read.join(held, [*key, "_at"])
-    return met.groupBy(*key, *same, "first", "last").agg(F.max(newest).alias(newest))
+        on = on & (F.col(other) != F.col("_other"))
+    return asks.join(found, on).groupBy(*key, *same, "first", "last").agg(F.max(newest).alias(newest))
