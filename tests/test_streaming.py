@@ -64,7 +64,7 @@ def test_a_piece_is_written_by_the_tasks_that_read_it(spark):
     paced = J.paced(df, "ts", 3)
     seen = []
     paced.writeStream.foreachBatch(lambda batch, _: seen.append((batch.rdd.getNumPartitions(), sorted(r["id"] for r in batch.collect())))).trigger(availableNow=True).start().awaitTermination()
-    assert [ids for _, ids in seen] == [list(range(0, 80)), list(range(80, 160)), list(range(160, 240))]
+    assert [ids for _, ids in seen] == [list(range(0, 96)), list(range(96, 168)), list(range(168, 240))]  # four, three and three of ten days
     whole = df.repartition(4)
     folder = J.paced(whole, "ts", 3).inputFiles()
     assert len(folder) == 12
