@@ -13,34 +13,54 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..config import FUZZY_AUTO, FUZZY_MARGIN, FUZZY_REVIEW
-from ..functions.text import entity_key, similarity, trigrams
+from ..functions.text import entity_key, trigrams
+from ..sources.staging import shuffle_width
+
+
+#: Names that one join key of the trigram index holds at most, about.
+INDEX_ROWS = 1_000
 
 
 def _prefixes(names: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """(scope, norm, size, gram) for the rarest trigrams of each name."""
-    grams = names.select("scope", "norm", F.explode(trigrams("norm")).alias("gram"))
-    ranked = grams.join(frequency, ["scope", "gram"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    by_name = W.partitionBy("scope", "norm")
-    ranked = ranked.withColumns({"place": F.row_number().over(by_name.orderBy("df", "gram")), "size": F.count(F.lit(1)).over(by_name)})
-    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    return ranked.filter(F.col("place") <= keep).select("scope", "norm", "size", "gram")
-
-
-def trigram_candidates(queries: DataFrame, dim: DataFrame, *, threshold: float = FUZZY_REVIEW) -> DataFrame:
-    """All (scope, norm, dim_norm, sim) with sim >= threshold. Both inputs: scope, norm; they are made distinct here."""
-    q = queries.select("scope", "norm").filter(F.length("norm") > 0).distinct()
-    d = dim.select("scope", "norm").filter(F.length("norm") > 0).distinct()
+    """(scope, norm, grams, size, place, gram, df): a row for each of a name's rarest trigrams that another name knows; ``grams`` holds all, rarest first."""
+    counted = names.select("scope", "norm", F.explode(trigrams("norm")).alias("gram")).join(frequency, ["scope", "gram"], "left")
+    ranked = counted.groupBy("scope", "norm").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("ranked"))
+    keep = (F.size("ranked") - F.ceil(F.size("ranked") * threshold - 1e-9) + 1).cast("int")
+    rows = ranked.select("scope", "norm", F.transform("ranked", lambda g: g["gram"]).alias("grams"), F.size("ranked").alias("size"), F.posexplode(F.slice("ranked", F.lit(1), keep)).alias("place", "g"))
+    return rows.select("scope", "norm", "grams", "size", "place", "g.gram", "g.df").filter(F.col("df") > 0)
+
+
+def trigram_candidates(queries: DataFrame, dim: DataFrame, *, threshold: float = FUZZY_REVIEW, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """All (scope, norm, dim_norm, sim) with sim >= threshold. Both inputs: scope, norm; they are made distinct here.
+
+    A trigram that many names hold is dealt into parts of about ``index_rows`` names, and the index to the session's
+    width of tasks, as its work is in the pairs and not in its bytes. A pair counts at the rarest trigram it shares, so none comes twice.
+    """
+    width = shuffle_width(queries)
+    names = lambda df: df.select("scope", "norm").filter(F.length("norm") > 0).distinct().repartition(width, "scope", "norm")
+    q, d = names(queries), names(dim)
     frequency = d.select("scope", F.explode(trigrams("norm")).alias("gram")).groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("df"))
-    left = _prefixes(q, frequency, threshold)
-    right = _prefixes(d, frequency, threshold).select("scope", "gram", F.col("norm").alias("dim_norm"), F.col("size").alias("dim_size"))
+    parts, key = F.ceil(F.col("df") / F.lit(index_rows)).cast("int"), ["scope", "gram", "part"]
+    left = _prefixes(q, frequency, threshold).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("df")
+    right = _prefixes(d, frequency, threshold).select(
+        "scope", "gram", F.pmod(F.xxhash64("norm"), parts).cast("int").alias("part"), *[F.col(c).alias(f"dim_{c}") for c in ("norm", "grams", "size", "place")])
     near = (F.col("dim_size") >= F.col("size") * threshold - 1e-9) & (F.col("size") >= F.col("dim_size") * threshold - 1e-9)
-    pairs = left.join(right, ["scope", "gram"]).filter(near).select("scope", "norm", "dim_norm").distinct()
-    return pairs.withColumn("sim", similarity(trigrams("norm"), trigrams("dim_norm"))).filter(F.col("sim") >= threshold)
+    # nothing before the rarest shared trigram is shared, so what stands after it bounds what is
+    at_most, needed = F.least(F.col("size") - F.col("place"), F.col("dim_size") - F.col("dim_place")), (F.col("size") + F.col("dim_size")) * (threshold / (1 + threshold))
+    met = left.repartition(width, *key).join(right.repartition(width, *key), key).filter(near & (at_most >= needed - 1e-6))
+    shared = F.array_intersect("grams", "dim_grams")
+    n = F.size(shared).cast("double")
+    # the count alone turns most pairs away; a filter on it first works a pair out once
+    return met.filter(n >= needed - 1e-6).filter(F.get(shared, F.lit(0)) == F.col("gram")).select(
+        "scope", "norm", "dim_norm", (n / (F.col("size") + F.col("dim_size") - n)).alias("sim")).filter(F.col("sim") >= threshold)
 
 
 def best_two(candidates: DataFrame, dim: DataFrame) -> DataFrame:
     """Per query: best entity with its similarity, and the runner-up's similarity. ``dim``: scope, norm, entity_id."""
-    named = candidates.join(dim.select("scope", F.col("norm").alias("dim_norm"), "entity_id"), ["scope", "dim_norm"])
+    # of the entities of one name only the first two can be among the best two
+    first = dim.select("scope", F.col("norm").alias("dim_norm"), "entity_id").withColumn(
+        "place", F.row_number().over(W.partitionBy("scope", "dim_norm").orderBy("entity_id"))).filter(F.col("place") <= 2).drop("place")
+    named = candidates.join(first, ["scope", "dim_norm"])
     order = W.partitionBy("scope", "norm").orderBy(F.col("sim").desc(), "entity_id")
     # the rank filter runs before the shuffle, so only two candidates per task travel
     two = named.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2)
