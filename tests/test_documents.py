@@ -83,3 +83,55 @@ def test_trigram_index_misses_nothing(spark):
     left = spark.createDataFrame([("*", q) for q in edits], "scope string, norm string")
     right = spark.createDataFrame([("*", d) for d in base], "scope string, norm string")
     assert {(r["norm"], r["dim_norm"]) for r in RES.trigram_candidates(left, right).collect()} == want
+
+
+def test_trigram_index_of_parts(spark):
+    """Names that share every trigram but the last ones: keys of many names are dealt, and each pair comes once, with its similarity."""
+    names = [f"abcdefgh{a}{b}" for a in "ijklm" for b in "nopq"]
+    grams = lambda w: {("  " + w + " ")[i:i + 3] for i in range(len(w) + 1)}
+    want = sorted((q, d, round(len(grams(q) & grams(d)) / len(grams(q) | grams(d)), 9)) for q in names for d in names if len(grams(q) & grams(d)) / len(grams(q) | grams(d)) >= 0.5)
+    df = spark.createDataFrame([("*", n) for n in names] + [("*", names[0]), ("*", None), (None, "abc")], "scope string, norm string")
+    got = RES.trigram_candidates(df, df, threshold=0.5, index_rows=3)
+    assert sorted((r["norm"], r["dim_norm"], round(r["sim"], 9)) for r in got.collect()) == want
+
+
+def test_trigram_work_is_spread(spark):
+    """The pairs of a small index are met by as many tasks as the session shuffles to, not by one."""
+    df = spark.createDataFrame([("*", f"name{i}x{i * 7 % 13}") for i in range(300)], "scope string, norm string")
+    met = RES.trigram_candidates(df, df)
+    assert met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_best_two_of_names_with_many_entities(spark):
+    dim = spark.createDataFrame([("*", "abcdefg", i) for i in (9, 4, 7, 7)] + [("*", "abcdefgh", 1)], "scope string, norm string, entity_id int")
+    found = spark.createDataFrame([("*", "q", "abcdefg", 0.9), ("*", "q", "abcdefgh", 0.8), ("*", "p", "abcdefgh", 0.8)], "scope string, norm string, dim_norm string, sim double")
+    assert {(r["norm"], r["best"], r["candidate_id"], r["second"]) for r in RES.best_two(found, dim).collect()} == {("q", 0.9, 4, 0.9), ("p", 0.8, 1, 0.0)}
+
+
+def test_labels_of_crowded_names(spark):
+    """Names that many labels and items share: the matches of the plain greedy pass, from word sets instead of pairs of rows."""
+    rng = random.Random(4)
+    words = ["red", "bolt", "nut", "new"]
+    name = lambda: " ".join(rng.sample(words, rng.randint(1, 3)))
+    labels = [(rng.choice("de"), i, name()) for i in range(60)] + [("d", 3, "nut red"), ("d", None, "red"), (None, 5, "red"), ("d", 61, "?")]
+    items = [(rng.choice("de"), i, name().title()) for i in range(50)] + [("e", 7, "bolt"), ("d", 7, "nut new"), ("d", 60, None)]
+    sets = lambda rows: {(d, i, frozenset(n.lower().split())) for d, i, n in rows if None not in (d, i, n) and n != "?"}
+    want, used, done = set(), set(), set()
+    near = sorted((d, g, i) for d, g, a in sets(labels) for e, i, b in sets(items) if d == e and (a <= b or b <= a))
+    for d, g, i in near:
+        if (d, g) not in done and (d, i) not in used:
+            want.add((d, g, i))
+            done.add((d, g))
+            used.add((d, i))
+    gold = spark.createDataFrame(labels, "doc string, gold_id int, product_name string")
+    got = spark.createDataFrame(items, "doc string, item_id int, product_name string")
+    assert {tuple(r) for r in DOC.match_labels(gold, got).collect()} == want
+
+
+def test_labels_meet_by_word_sets(spark, monkeypatch):
+    """400 labels and 400 items of one name are one pair of word sets, not 160,000 pairs of rows."""
+    counts, keep = [], DOC.stage
+    monkeypatch.setattr(DOC, "stage", lambda df, name: counts.append(df.count()) or keep(df, name))
+    gold = spark.range(400).selectExpr("'d' AS doc", "id AS gold_id", "'red bolt' AS product_name")
+    assert DOC.match_labels(gold, gold.withColumnRenamed("gold_id", "item_id")).filter("gold_id = item_id").count() == 400
+    assert counts == [1]
