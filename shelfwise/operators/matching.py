@@ -29,6 +29,7 @@ from ..functions.core import AsOf
 from ..functions.price import (comparable_offer, effective_pack_price, gap_pct, own_promo_active, per_100g,
                                regular_pack_price, stated_or_derived_discount)
 from ..functions.text import offer_key, pack_grams
+from ..sources.staging import stage
 from .gates import strictly_valid, validity_filter
 from .ranking import newest_per_key
 
@@ -201,21 +202,22 @@ def price_position(own: DataFrame, offers: DataFrame, decisions: DataFrame, prob
     ``matches``, ``cents``, ``cheapest_unit`` and ``<probe>_lt`` / ``<probe>_le``.
     """
     no = rejections(decisions)
-    prices = offer_prices(offers)
-    totals = offer_totals(prices)
-    bands = band(own, totals, low=low, high=high)
+    # staged, so that the plan of each job stays small: the driver holds every version of a plan as text
+    prices = stage(offer_prices(offers), "prices")
+    totals = stage(offer_totals(prices), "totals")
     key = ["scope", "category", "own_grams"]
+    products = stage(own.select("own_id", "scope", "category", F.col("grams").alias("own_grams"), *probes), "products")
+    bands = stage(band(products.withColumnRenamed("own_grams", "grams"), totals, low=low, high=high), "bands")
     per_cell = bands.join(totals, CELL).groupBy(*key).agg(
         F.sum("cell_n").alias("n"), F.sum("cell_cents").alias("cents"), F.min("cell_min").alias("cheapest"))
-    products = own.select("own_id", "scope", "category", F.col("grams").alias("own_grams"), *probes)
-    below = below_in_band(bands, prices, products.select(*key, F.explode(F.array(*probes)).alias("value")))
+    below = stage(below_in_band(bands, prices, products.select(*key, F.explode(F.array(*probes)).alias("value"))), "below")
     joined = products.join(per_cell, key, "left")
     for p in probes:
         joined = joined.join(below.select(*key, F.col("value").alias(p), F.col("n_lt").alias(f"{p}_lt"), F.col("n_le").alias(f"{p}_le")),
                              key + [p], "left")
     counts = [f"{p}_{side}" for p in probes for side in ("lt", "le")]
-    reviewed = _taken_away(products, offers, no, probes, low, high)
-    left = cheapest_left(own, offers, no, 1, low=low, high=high).groupBy("own_id").agg(F.min("unit").alias("left_min"))
+    reviewed = stage(_taken_away(products, offers, no, probes, low, high), "reviewed")
+    left = cheapest_left(products.withColumnRenamed("own_grams", "grams"), offers, no, 1, low=low, high=high).groupBy("own_id").agg(F.min("unit").alias("left_min"))
     reviewers = no.select("own_id").distinct().withColumn("is_reviewer", F.lit(True))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     # a product with several scopes (several allowed brands) adds them up
@@ -241,38 +243,44 @@ def _taken_away(products: DataFrame, offers: DataFrame, no: DataFrame, probes: l
         *[F.sum(F.when(F.col("unit") <= F.col(p), F.col("c_n"))).alias(f"r_{p}_le") for p in probes])
 
 
-def _by_rejections(rows: DataFrame, no: DataFrame, key: str) -> list[tuple[int, DataFrame]]:
-    """(most rejections of its rows, rows) for each class of rejection counts by powers of two; rows without any are left out.
+def _by_rejections(rows: DataFrame, no: DataFrame, key: str) -> tuple[DataFrame, list[int]]:
+    """Rows that have rejections, with ``_most``, their number's class: the next power of two. And the classes that occur, at most as many as a count has bits."""
+    most = F.pow(F.lit(2.0), F.ceil(F.log2("_r"))).cast("bigint")
+    counted = stage(rows.join(no.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key).withColumn("_most", most).drop("_r"), "rejecting")
+    return counted, sorted(r["_most"] for r in counted.select("_most").distinct().collect())
 
-    The classes that occur are at most as many as a count has bits.
-    """
-    counted = rows.join(no.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key).withColumn("_class", F.ceil(F.log2("_r")).cast("int"))
-    found = sorted(r["_class"] for r in counted.select("_class").distinct().collect())
-    return [(2 ** c, counted.filter(F.col("_class") == c).drop("_r", "_class")) for c in found]
+
+def _up_to(ranked: DataFrame, classes: list[int], more: int) -> DataFrame:
+    """Rows of rank ``_rn``, once for each class ``_most`` whose shortlist of ``_most`` + ``more`` they are in."""
+    lists = F.filter(F.array(*[F.lit(c).cast("bigint") for c in classes]), lambda c: F.col("_rn") <= c + more)
+    return ranked.filter(F.col("_rn") <= max(classes) + more).withColumn("_most", F.explode(lists)).drop("_rn")
 
 
 def cheapest_left(own: DataFrame, offers: DataFrame, no: DataFrame, keep: int, *, low: float = PACK_RATIO_LOW, high: float = PACK_RATIO_HIGH) -> DataFrame:
     """For products that rejected something: the ``keep`` cheapest offers of their band that they did not reject.
 
     Of the first r + keep offer keys of a band at least ``keep`` are left to a product with r rejections.
+    All classes of r share one plan; what several of its steps read is staged.
     """
     key = ["scope", "category", "own_grams"]
     cols = ["own_id", "promotion_id", "unit", "offer_key"]
     products = own.select("own_id", "scope", "category", F.col("grams").alias("own_grams")).distinct()
+    people, classes = _by_rejections(products, no, "own_id")
     slim = offers.select(*CELL, "unit", "promotion_id", "offer_key")
+    if not classes:
+        return people.join(slim.limit(0), ["scope", "category"]).select(*cols)
     first = slim.groupBy(*CELL, "offer_key").agg(F.min(F.struct("unit", "promotion_id")).alias("first"))
-    per_key = best_of_cell(slim, keep, "offer_key")
+    in_cell = stage(_up_to(first.withColumn("_rn", F.row_number().over(W.partitionBy(*CELL).orderBy("first"))), classes, keep), "in_cell")
+    sizes = stage(band(people.withColumnRenamed("own_grams", "grams"), in_cell, low=low, high=high), "sizes")
+    asked = people.select(*key, "_most").distinct().join(sizes, key)
+    in_band = asked.join(in_cell, [*CELL, "_most"]).groupBy(*key, "_most", "offer_key").agg(F.min("first").alias("first"))
+    by_first = F.row_number().over(W.partitionBy(*key, "_most").orderBy("first"))
+    short = stage(in_band.withColumn("_rn", by_first).filter(F.col("_rn") <= max(classes) + keep).filter(F.col("_rn") <= F.col("_most") + keep).drop("_rn"), "shortlists")
+    free = people.join(short, [*key, "_most"]).join(no, ["own_id", "offer_key"], "left_anti")
     per_own = W.partitionBy("own_id", "scope").orderBy("first")
-    found = products.join(per_key.limit(0), ["scope", "category"]).select(*cols)
-    for most, people in _by_rejections(products, no, "own_id"):
-        in_cell = first.withColumn("_rn", F.row_number().over(W.partitionBy(*CELL).orderBy("first"))).filter(F.col("_rn") <= most + keep).drop("_rn")
-        sizes = band(people.withColumnRenamed("own_grams", "grams"), in_cell, low=low, high=high)
-        in_band = sizes.join(in_cell, CELL).groupBy(*key, "offer_key").agg(F.min("first").alias("first"))
-        short = in_band.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy("first"))).filter(F.col("_rn") <= most + keep).drop("_rn")
-        free = people.join(short, key).join(no, ["own_id", "offer_key"], "left_anti")
-        kept = free.withColumn("_rn", F.row_number().over(per_own)).filter(F.col("_rn") <= keep).select("own_id", *key, "offer_key")
-        found = found.unionByName(kept.join(sizes, key).join(per_key, [*CELL, "offer_key"]).select(*cols))
-    return found
+    kept = free.withColumn("_rn", F.row_number().over(per_own)).filter(F.col("_rn") <= keep).select("own_id", *key, "offer_key")
+    listed = slim.join(in_cell.select(*CELL, "offer_key").distinct(), [*CELL, "offer_key"], "left_semi")
+    return stage(kept.join(sizes, key).join(best_of_cell(listed, keep, "offer_key"), [*CELL, "offer_key"]).select(*cols), "left")
 
 
 def match_summary(own: DataFrame, offers: DataFrame, decisions: DataFrame, *, low: float = PACK_RATIO_LOW,
@@ -377,13 +385,15 @@ def undercut_flags(offers: DataFrame, own: DataFrame, decisions: DataFrame, targ
     peak = sized.groupBy(*key).agg(F.max("target").alias("peak"))
     everyone = bands.join(peak, key).groupBy("category", "grams").agg(F.max("peak").alias("peak_all"))
     asked = offers.select("offer_key", "category", "grams").distinct()
-    willing = asked.limit(0).withColumn("peak_willing", F.lit(None).cast("double")).withColumn("is_contested", F.lit(True))
-    for most, keys in _by_rejections(asked, no, "offer_key"):
-        dearest = sized.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("target"), "own_id"))).filter(F.col("_rn") <= most + 1).drop("_rn")
-        in_band = W.partitionBy("category", "grams").orderBy(F.desc("target"), "own_id")
-        short = bands.join(dearest, key).select("category", "grams", "own_id", "target").withColumn("_rn", F.row_number().over(in_band)).filter(F.col("_rn") <= most + 1)
-        free = keys.join(short, ["category", "grams"]).join(no, ["own_id", "offer_key"], "left_anti").groupBy("offer_key", "category", "grams").agg(F.max("target").alias("peak_willing"))
-        willing = willing.unionByName(keys.withColumn("is_contested", F.lit(True)).join(free, ["offer_key", "category", "grams"], "left").select(*willing.columns))
+    keys, classes = _by_rejections(asked, no, "offer_key")
+    willing = keys.select("offer_key", "category", "grams", F.lit(None).cast("double").alias("peak_willing"), F.lit(True).alias("is_contested"))
+    if classes:
+        dearest = _up_to(sized.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("target"), "own_id"))), classes, 1)
+        in_band = F.row_number().over(W.partitionBy("category", "grams", "_most").orderBy(F.desc("target"), "own_id"))
+        ranked = bands.join(dearest, key).select("category", "grams", "_most", "own_id", "target").withColumn("_rn", in_band)
+        short = stage(ranked.filter(F.col("_rn") <= max(classes) + 1).filter(F.col("_rn") <= F.col("_most") + 1).drop("_rn"), "willing")
+        free = keys.join(short, ["category", "grams", "_most"]).join(no, ["own_id", "offer_key"], "left_anti").groupBy("offer_key", "category", "grams").agg(F.max("target").alias("peak_willing"))
+        willing = keys.withColumn("is_contested", F.lit(True)).join(free, ["offer_key", "category", "grams"], "left").select(*willing.columns)
     df = offers.join(everyone, ["category", "grams"], "left").join(willing, ["offer_key", "category", "grams"], "left")
     peak = F.when(F.col("is_contested"), F.col("peak_willing")).otherwise(F.col("peak_all"))
     return df.withColumn("undercuts", F.coalesce(F.col("unit") < peak, F.lit(False))).drop("peak_all", "peak_willing", "is_contested")

@@ -114,3 +114,23 @@ def test_undercuts_with_allowed_brands_and_without_rows(market, spark):
     got = M.undercut_offers(M.scope_own(o, brand_map=brands), M.scope_offers(f, by_brand=True), d, gap=-5.0)
     assert {(r.own_id, r.promotion_id) for r in got.collect()} == want
     assert M.undercut_offers(M.scope_own(o), M.scope_offers(f.limit(0)), d, gap=-5.0).count() == 0
+
+
+def test_plans_do_not_grow_with_the_classes_of_rejections(market, spark, capsys):
+    """Each class of rejection counts (1, 2, 4, ... of a product) was a branch of its own; the driver keeps every version of a plan."""
+    own, offers, _, (o, f, _) = market
+    many = [(i, f"k{k}", False) for i in range(5) for k in range([1, 2, 4, 8, 12][i])]
+    sizes = []
+    for verdicts in ([(0, "k0", False)], many):
+        d = spark.createDataFrame(verdicts, "own_id long, offer_key string, accepted boolean")
+        found = M.match_summary(M.scope_own(o), M.scope_offers(f), d)
+        check(own, brute(own, offers, verdicts), found.collect())
+        best = M.top_matches(M.scope_own(o), M.scope_offers(f), d, keep=3)
+        want = {(i, p + 1, x[0]) for i, hits in brute(own, offers, verdicts).items() for p, x in enumerate(hits[:3])}
+        assert {(r.own_id, r.position, r.promotion_id) for r in best.collect()} == want
+        capsys.readouterr()
+        found.explain()
+        best.explain()
+        text = capsys.readouterr().out
+        sizes.append((text.count("Join"), text.count("FileScan")))
+    assert sizes[0] == sizes[1]
