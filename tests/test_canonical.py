@@ -95,6 +95,19 @@ def test_known_events_are_not_emitted_again(history):
     assert K.new_events(events, events).count() == 0
 
 
+def test_events_read_the_fold_once(history, capsys):
+    """The fold is Python work; a union of two branches ran it twice."""
+    _, obs, trust = history
+    folded = K.fold_observations(obs, trust, FIELDS)
+    events = K.change_rows(folded)
+    events.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    want = {(r.observation_id, None, "CREATED", 0.0) for r in folded.filter("created").collect()}
+    want |= {(r.observation_id, c.field, "CHANGED", None) for r in folded.collect() for c in r.changed}
+    got = {(r.observation_id, r.field, r.event_type if r.field is None else "CHANGED", r.change_impact if r.field is None else None) for r in events.collect()}
+    assert got == want
+
+
 def test_material_rules(spark):
     rows = [("promo_price", "100", "100.5"), ("promo_price", "100", "102"), ("discount_percentage", "20", "20.5"), ("discount_percentage", "20", "21"),
             ("end_date", None, "2024-01-01"), ("channel", "a", "b"), ("promo_price", None, "5")]
