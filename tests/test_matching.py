@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,17 @@ def test_plans_do_not_grow_with_the_classes_of_rejections(market, spark, capsys)
         text = capsys.readouterr().out
         sizes.append((text.count("Join"), text.count("FileScan")))
     assert sizes[0] == sizes[1]
+
+
+def test_undercuts_of_single_rows_are_not_shuffled_again(market, capsys):
+    """Pairs of products and offers that stand there once need no dropDuplicates; those of repeated ones are still told apart."""
+    own, offers, verdicts, (o, f, d) = market
+    want = sorted((i, x[0]) for i, hits in brute(own, offers, verdicts).items() for x in hits for p in own if p[0] == i and gap(x[3], p[5]) <= -5.0)
+    single = M.undercut_offers(M.scope_own(o), M.scope_offers(f), d, gap=-5.0)
+    single.explain(True)
+    assert not re.search(r"Deduplicate \[own_id#\w+, promotion_id#", capsys.readouterr().out)
+    dearer = o.filter("own_id < 9").withColumn("own_unit", F.col("own_unit") * 0.999)
+    for a, b in ((o, f.unionByName(f.filter("promotion_id < 'p080'"))), (o.unionByName(dearer), f), (o.unionByName(o), f.unionByName(f))):
+        got = [(r.own_id, r.promotion_id) for r in M.undercut_offers(M.scope_own(a), M.scope_offers(b), d, gap=-5.0).collect()]
+        assert len(got) == len(set(got)) and set(got) >= set(want)
+    assert sorted((r.own_id, r.promotion_id) for r in single.collect()) == want
