@@ -135,3 +135,14 @@ def test_labels_meet_by_word_sets(spark, monkeypatch):
     gold = spark.range(400).selectExpr("'d' AS doc", "id AS gold_id", "'red bolt' AS product_name")
     assert DOC.match_labels(gold, gold.withColumnRenamed("gold_id", "item_id")).filter("gold_id = item_id").count() == 400
     assert counts == [1]
+
+
+def test_fences_are_taken_off_wherever_they_can_stand(spark, capsys):
+    body = '{"promotions": []}'
+    texts = [body, f"```json\n{body}\n```", f"  ```{body} ```", f"{body}\n```\n", f"```json {body}", f" {body} ", "```", None, f"a ``` {body}"]
+    df = DOC.read_payloads(spark.createDataFrame(list(enumerate(texts)), "payload_id int, payload string"))
+    got = {r.payload_id: r.payload_status for r in df.collect()}
+    assert got == {**dict.fromkeys(range(6), "PARSED"), 6: "INVALID_JSON", 7: "EMPTY_RESPONSE", 8: "INVALID_JSON"}
+    capsys.readouterr()
+    df.explain()
+    assert "CASE WHEN Contains(payload" in capsys.readouterr().out  # the searches run only where a fence is
