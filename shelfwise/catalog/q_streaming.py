@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources import views as V
+from ..sources.staging import stage
 from ..sources.tables import Tables
 from ..streaming import jobs as J
 from .q_canonical import _FOLD
@@ -65,7 +66,8 @@ def stream_lifecycle_sweep(t: Tables) -> DataFrame:
     """Runs arrive in four micro-batches, each a tick; then the second batch is replayed, which must change nothing."""
     root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/shelfwise/sweep-{uuid.uuid4().hex}"
     ledger = J.Ledger(t.spark, f"{root}/out", "promotion_id string, expired_at timestamp_ntz")
-    stored = V.promotions(t, "promotion_id", "start_date", "end_date").select("promotion_id", "end_date", F.lit("ACTIVE").alias("status"))
+    # Every tick reads the stored rows, so the join of whole tables behind them runs once.
+    stored = stage(V.promotions(t, "promotion_id", "start_date", "end_date").select("promotion_id", "end_date", F.lit("ACTIVE").alias("status")), "stored")
     runs = t.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("ts"))
     sweep = J.expire_at_ticks(ledger, lambda: stored)
     J.every_tick(J.paced(runs, "ts", 4), sweep, f"{root}/checkpoint", drain=True).awaitTermination()

@@ -217,13 +217,16 @@ def expire_at_ticks(ledger: Ledger, promotions: Callable[[], DataFrame], *, time
     """The periodic sweep for ``foreachBatch``: a micro-batch's newest time is the tick.
 
     Writes (promotion_id, expired_at) of open promotions that ended before the tick and that no
-    earlier sweep wrote. ``promotions`` gives the stored rows at the time of the sweep.
+    earlier sweep wrote. ``promotions`` gives the stored rows at the time of the sweep; they are read
+    whole at every tick, so what joins tables is better staged.
     """
     def work(ticks: DataFrame) -> DataFrame:
         tick = ticks.agg(F.max(time_column).cast("timestamp_ntz").alias("expired_at"))
         open_ = promotions().filter(F.col("status").isin("ACTIVE", "UNKNOWN", "UPCOMING") & F.col("end_date").isNotNull())
         ended = open_.join(F.broadcast(tick), F.col("end_date") < F.col("expired_at"))  # one row
-        return ended.select("promotion_id", "expired_at").join(ledger.rows().select("promotion_id"), "promotion_id", "left_anti")
+        # Only ids are shuffled to meet what was written; the tick is put beside them after that.
+        new = ended.select("promotion_id").join(ledger.rows().select("promotion_id"), "promotion_id", "left_anti")
+        return new.join(F.broadcast(tick))
 
     return ledger.once(work)
 

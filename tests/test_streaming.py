@@ -68,3 +68,29 @@ def test_a_piece_is_written_by_the_tasks_that_read_it(spark):
     assert [ids for _, ids in seen] == [list(range(0, 96)), list(range(96, 168)), list(range(168, 240))]  # four, three and three of ten days
     folder = max(Path(J.ensure_checkpoint_dir(spark), "shelfwise").glob("paced-*"), key=lambda f: f.stat().st_mtime)
     assert len(list(folder.glob("part-*.parquet"))) == 12
+
+
+def test_the_sweep_reads_staged_rows_at_every_tick(spark, tmp_path, monkeypatch):
+    """Every tick joined whole tables again before."""
+    from shelfwise.catalog import q_streaming
+    from shelfwise.sources.tables import Tables
+    start = datetime(2024, 1, 1)
+    spark.createDataFrame([(k, 1, start + k * 40 * DAY) for k in range(12)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    line = [(k, 1, 1, n, 1.0, 100.0, 0.0, 0.0, "N", "O", start) for k in range(13) for n in (1, 3)]  # the last order is missing
+    spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                                "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans, plain = [], J.expire_at_ticks
+
+    def watched(ledger, promotions, **options):
+        def read():
+            found = promotions()
+            plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+            return found
+        return plain(ledger, read, **options)
+
+    monkeypatch.setattr(J, "expire_at_ticks", watched)
+    got = q_streaming.stream_lifecycle_sweep(Tables(spark, str(tmp_path))).collect()
+    assert len(plans) == 4 and not any("Join" in p for p in plans)
+    ticks = [start + k * 40 * DAY for k in (2, 5, 8, 11)]  # the newest order of each quarter of the days
+    end = {f"{k}-1-1-1-1-10000": start + (k * 40 + 40) * DAY for k in range(12)}
+    assert sorted((r.promotion_id, r.expired_at) for r in got) == sorted((p, min(t for t in ticks if t > e)) for p, e in end.items() if e < ticks[-1])
