@@ -8,6 +8,7 @@ late-data policy: older facts are superseded without a conflict.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -146,21 +147,26 @@ def canonical_stream(observations: DataFrame, fields: list[str], *, key_type: st
     ``observations``: fold_key, observation_id, observed_at, source_id, reliability
     and the tracked ``fields`` (numbers and strings). Emits a verdict per observation.
     """
+    tracked = [*fields, "source_id", "reliability"]
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = FoldState(len(fields))
+        # Histories are many and short, so rows are plain lists. Times are nanoseconds; NaN stands for none and, like it, is never newer.
+        fold = FoldState(len(fields), CONFLICT_RECENT_DAYS * 86_400_000_000_000)
         if state.exists:
             values, source, reliability, verified = state.get
             fold.values, fold.source, fold.reliability, fold.started = json.loads(values), json.loads(source), reliability, True
-            fold.verified = pd.Timestamp(verified)
-        rows = pd.concat(list(batches)).sort_values(["observed_at", "observation_id"])
+            fold.verified = math.nan if verified == pd.NaT.value else verified
+        rows = []
+        for part in batches:
+            times = [math.nan if n == pd.NaT.value else n for n in pd.DatetimeIndex(part["observed_at"]).as_unit("ns").asi8.tolist()]
+            rows += zip(times, part["observation_id"].tolist(), zip(*([None if v != v else v for v in part[c].tolist()] for c in tracked)))
+        rows.sort(key=lambda r: (r[0] != r[0], 0 if r[0] != r[0] else r[0], r[1] is None, r[1] or ""))
         out = []
-        plain = lambda v: None if pd.isna(v) else v
-        for row in rows.to_dict("records"):
-            trust = plain(row["reliability"])
-            verdict, changed, created = fold.step(fields, [plain(row[f]) for f in fields], plain(row["source_id"]),
-                                                  DEFAULT_RELIABILITY if trust is None else trust, row["observed_at"])
-            out.append((key[0], row["observation_id"], verdict, len(changed) if verdict == "APPLY" else 0, created))
-        state.update((json.dumps(fold.values), json.dumps(fold.source), float(fold.reliability), fold.verified.value))
+        for now, observation, (*new, source, trust) in rows:
+            verdict, changed, created = fold.step(fields, new, source, DEFAULT_RELIABILITY if trust is None else trust, now)
+            out.append((key[0], observation, verdict, len(changed) if verdict == "APPLY" else 0, created))
+        verified = pd.NaT.value if fold.verified != fold.verified else fold.verified
+        state.update((json.dumps(fold.values), json.dumps(fold.source), float(fold.reliability), verified))
         yield pd.DataFrame(out, columns=["fold_key", "observation_id", "verdict", "changes", "created"])
 
     return observations.groupBy("fold_key").applyInPandasWithState(

@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from shelfwise.config import DEFAULT_RELIABILITY
 from shelfwise.operators.canonical import FoldState
 from shelfwise.streaming import jobs as J
 
@@ -94,3 +95,42 @@ def test_the_sweep_reads_staged_rows_at_every_tick(spark, tmp_path, monkeypatch)
     ticks = [start + k * 40 * DAY for k in (2, 5, 8, 11)]  # the newest order of each quarter of the days
     end = {f"{k}-1-1-1-1-10000": start + (k * 40 + 40) * DAY for k in range(12)}
     assert sorted((r.promotion_id, r.expired_at) for r in got) == sorted((p, min(t for t in ticks if t > e)) for p, e in end.items() if e < ticks[-1])
+
+
+def test_fold_step_keeps_to_plain_rows(monkeypatch):
+    """Each identity's rows went through sorted frames and records before, milliseconds for a history of a few rows."""
+    import pandas as pd
+
+    class Frame:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandasWithState(self, step, *_):
+            return step
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def slow(*_, **__):
+        raise AssertionError("a frame is sorted or turned into records for each identity")
+
+    start = pd.Timestamp("2024-01-01")
+    rows = [(f"{i:02d}", start + (i * 5) % 9 * DAY, [1, 2, None][i % 3], [0.6, None, 0.9][i % 3], [100.0, None, 120.0, 100.5][i % 4], ["a", None][i % 2]) for i in range(24)]
+    frame = pd.DataFrame(rows, columns=["observation_id", "observed_at", "source_id", "reliability", "regular_price", "promotion_type"])
+    fields = ["regular_price", "promotion_type"]
+    step, state = J.canonical_stream(Frame(), fields), State()
+    monkeypatch.setattr(pd.DataFrame, "sort_values", slow)
+    monkeypatch.setattr(pd.DataFrame, "to_dict", slow)
+    halves = [frame[frame["observed_at"] < start + 4 * DAY], frame[frame["observed_at"] >= start + 4 * DAY]]
+    got = [(r[1], r[2], r[4]) for half in halves for out in step((7,), iter([half.iloc[:5], half.iloc[5:]]), state) for r in out.itertuples(index=False)]
+    fold, want = FoldState(2), []
+    for name, ts, source, trust, price, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+        verdict, _, created = fold.step(fields, [price, kind], source, DEFAULT_RELIABILITY if trust is None else trust, ts)
+        want.append((name, verdict, created))
+    assert got == want
+    # A sighting without a time is the last one.
+    late = pd.DataFrame([("a", pd.NaT, 1, 0.6, 1.0, "a"), ("b", start, 1, 0.6, 2.0, "a")], columns=frame.columns)
+    assert [r.observation_id for r in next(step((8,), iter([late]), State())).itertuples()] == ["b", "a"]
