@@ -8,7 +8,7 @@ them. All of these are maxima, which combine before the shuffle, so the work is
 number of periods times the logarithm of the days they span, however many share a key.
 
 A period without a start is always; one that ends before it starts overlaps only such periods.
-Keys of few periods meet them directly, which is less work; results do not depend on it.
+Keys of few periods carry them as a list that each row looks through, which is less work; results do not depend on it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.dates import periods_compatible
 from ..sources.staging import stage
 
-#: Keys of up to so many stored periods meet them one by one.
+#: Keys of up to so many stored rows look through their periods one by one.
 FEW_PERIODS = 32
 #: Places of the tree that are no nodes: all stored periods, and those without a start.
 _ALL, _ALWAYS = -1, 0
@@ -57,26 +57,45 @@ def _best_two(rows: DataFrame, by: list[str], other: str | None, newest: str) ->
     return each.withColumn("_place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(newest), other))).filter(F.col("_place") <= 2).drop("_place")
 
 
-def newest_overlapping(asked: DataFrame, stored: DataFrame, key: list[str], *, newest: str, other: str | None = None, few: int = FEW_PERIODS) -> DataFrame:
-    """``key``, [``other``,] first, last and the greatest ``newest`` among stored periods of the key that overlap; without any there is no row.
+def with_newest(rows: DataFrame, stored: DataFrame, key: list[str], *, newest: str, other: str | None = None, few: int = FEW_PERIODS, how: str = "inner") -> DataFrame:
+    """Each of ``rows`` with ``newest``, the greatest among stored periods of the key that overlap; ``how`` "left" keeps those without any.
 
-    Both sides have ``key``, [``other``,] ``first`` and ``last`` (dates). With ``other``, only
-    stored periods of another value of it count. Finding the days spanned is a job that runs here.
+    Both sides have ``key``, [``other``,] ``first`` and ``last`` (dates); ``newest`` is never null. With
+    ``other``, only stored periods of another value of it count. A row is shuffled once, by its key.
+    ``stored`` is read twice. Which keys are crowded is a job that runs here.
     """
     same = [other] if other else []
-    # Both are read from several branches; what they come from may be joins of whole tables.
-    asks = stage(asked.select(*key, *same, "first", "last").distinct(), "asks")
-    pool = stage(stored.groupBy(*key, *same, "first", "last").agg(F.max(newest).alias(newest)), "periods")
+    pool = stored.select(*key, *same, "first", "last", newest)
     crowded = stage(pool.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select(*key), "crowded")
     none = crowded.isEmpty()
-    small = (pool if none else pool.join(crowded, key, "left_anti")).withColumnsRenamed({"first": "_first", "last": "_last", **({other: "_other"} if other else {})})
-    hits = asks.join(small, key).filter(periods_compatible("first", "last", "_first", "_last"))
-    if other:
-        hits = hits.filter(F.col(other) != F.col("_other"))
-    direct = hits.groupBy(*key, *same, "first", "last").agg(F.max(newest).alias(newest))
+    if not none:
+        rows = stage(rows, "asks")  # both kinds of keys read them
+    small = pool if none else pool.join(crowded, key, "left_anti")
+    lists = small.groupBy(*key).agg(F.collect_list(F.struct("first", "last", *same, newest)).alias("_pool"))
+
+    def meets(p: Column) -> Column:
+        overlaps = periods_compatible("first", "last", p["first"], p["last"])
+        return overlaps & (F.col(other) != p[other]) if other else overlaps
+
+    best = F.array_max(F.transform(F.filter("_pool", meets), lambda p: p[newest]))
+    direct = (rows if none else rows.join(crowded, key, "left_anti")).join(lists, key, how).withColumn(newest, best).drop("_pool")
+    if how == "inner":
+        direct = direct.filter(F.col(newest).isNotNull())
     if none:
         return direct
-    return direct.unionByName(_by_tree(asks.join(crowded, key, "left_semi"), pool.join(crowded, key, "left_semi"), key, same, newest, other))
+    many = rows.join(crowded, key, "left_semi")
+    asks = stage(many.select(*key, *same, "first", "last").distinct(), "asked")
+    periods = stage(pool.join(crowded, key, "left_semi").groupBy(*key, *same, "first", "last").agg(F.max(newest).alias(newest)), "periods")
+    found = _by_tree(asks, periods, key, same, newest, other)
+    renamed = found.withColumnsRenamed({c: f"_found_{c}" for c in [*key, *same, "first", "last"]})
+    on = [many[c] == renamed[f"_found_{c}"] for c in [*key, *same]] + [many[c].eqNullSafe(renamed[f"_found_{c}"]) for c in ("first", "last")]
+    return direct.unionByName(many.join(renamed, on, how).drop(*[f"_found_{c}" for c in [*key, *same, "first", "last"]]))
+
+
+def newest_overlapping(asked: DataFrame, stored: DataFrame, key: list[str], *, newest: str, other: str | None = None, few: int = FEW_PERIODS) -> DataFrame:
+    """``key``, [``other``,] first, last and the greatest ``newest`` as ``with_newest`` finds it, one row for each period that has one."""
+    asks = asked.select(*key, *([other] if other else []), "first", "last").distinct()
+    return with_newest(asks, stored, key, newest=newest, other=other, few=few)
 
 
 def _by_tree(asks: DataFrame, pool: DataFrame, key: list[str], same: list[str], newest: str, other: str | None) -> DataFrame:
