@@ -207,7 +207,7 @@ c AS (SELECT item_id, promotion_id FROM (SELECT i.promotion_id AS item_id, s.pro
  WHERE i.sd IS NULL OR s.sd IS NULL OR greatest(i.sd,s.sd)<=least(coalesce(i.ed,i.sd),coalesce(s.ed,s.sd))) WHERE rn=1)
 SELECT i.promotion_id AS item_id, coalesce(x.exact_id, c.promotion_id) AS promotion_id, CASE WHEN x.exact_id IS NOT NULL THEN 'EXACT' WHEN c.promotion_id IS NOT NULL THEN 'CAMPAIGN' ELSE 'NEW' END AS match FROM inc i LEFT JOIN x ON x.item_id=i.promotion_id LEFT JOIN c ON c.item_id=i.promotion_id""", "promotions")
 def identity_match(t: Tables) -> DataFrame:
-    p = identified(t)
+    p = identities(t, "fingerprint")
     cut = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
     return K.match_identity(p.filter(F.col("last_seen_at") >= cut).withColumnRenamed("promotion_id", "item_id"), p.filter(F.col("last_seen_at") < cut))
 

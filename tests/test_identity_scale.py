@@ -49,3 +49,10 @@ def test_lineage_shuffles_by_product_and_retailer_only(spark):
     found = K.lineage(new.withColumn("source_fingerprint", F.lit("other")), stored(spark))
     assert {(r.item_id, r.supersedes_id) for r in found.collect()} == {("s1", "s2"), ("s2", "s2"), ("s3", "s2")}
     assert exchanges(found) and not any("source_fingerprint" in e for e in exchanges(found))
+
+
+def test_items_are_shuffled_by_their_fingerprints_only(spark):
+    new = stored(spark).selectExpr("concat('i', promotion_id) AS item_id", "if(promotion_id = 's2', 'new', fingerprint) AS fingerprint", "source_fingerprint", "start_date", "end_date")
+    found = K.match_identity(new.unionByName(new), stored(spark))
+    assert sorted((r.item_id, r.promotion_id, r.match) for r in found.collect()) == sorted(2 * [("is1", "s1", "EXACT"), ("is2", "s2", "CAMPAIGN"), ("is3", None, "NEW"), ("is4", "s4", "EXACT")], key=lambda r: r[0])
+    assert exchanges(found) and not any("first" in e or "start_date" in e for e in exchanges(found))
