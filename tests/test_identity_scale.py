@@ -56,3 +56,13 @@ def test_items_are_shuffled_by_their_fingerprints_only(spark):
     found = K.match_identity(new.unionByName(new), stored(spark))
     assert sorted((r.item_id, r.promotion_id, r.match) for r in found.collect()) == sorted(2 * [("is1", "s1", "EXACT"), ("is2", "s2", "CAMPAIGN"), ("is3", None, "NEW"), ("is4", "s4", "EXACT")], key=lambda r: r[0])
     assert exchanges(found) and not any("first" in e or "start_date" in e for e in exchanges(found))
+
+
+def test_field_observations_meet_by_one_key(spark):
+    kind = "{} string, fingerprint string, source_fingerprint string, competitor_id int, retailer_id int, category string, promo_price double, regular_price double, start_date date, end_date date"
+    old = spark.createDataFrame([("s1", "x", "c", None, 1, "WAFER", None, 5.0, A, None), ("s2", "y", "c", 1, 1, "WAFER", 1.0, 5.0, A, None), ("s3", "z", "c", 1, 1, "WAFER", 1.0, 5.0, A, None)], kind.format("promotion_id"))
+    new = spark.createDataFrame([("a", "x", "q", 9, 9, "WAFER", None, 5.0, A, None), ("b", "n", "c", None, 1, "WAFER", None, 5.0, A, None), ("c", "n", "c", 1, 1, "WAFER", 1.0, 5.0, A, None),
+                                 ("d", None, None, 1, 1, "WAFER", 1.0, 5.0, A, None), ("e", "x", "c", 1, 1, "WAFER", 1.0, 6.0, A, None)], kind.format("submission_id"))
+    merged = K.merge_field_observations(new, old)
+    assert {r.submission_id: (r.outcome, r.promotion_id) for r in merged.collect()} == {"a": ("MATCHED", "s1"), "b": ("MATCHED", "s1"), "c": ("CONFLICT", None), "d": ("NEW", None), "e": ("CONFLICT", None)}
+    assert exchanges(merged) and not any("competitor_id" in e for e in exchanges(merged))
