@@ -66,3 +66,11 @@ def test_field_observations_meet_by_one_key(spark):
     merged = K.merge_field_observations(new, old)
     assert {r.submission_id: (r.outcome, r.promotion_id) for r in merged.collect()} == {"a": ("MATCHED", "s1"), "b": ("MATCHED", "s1"), "c": ("CONFLICT", None), "d": ("NEW", None), "e": ("CONFLICT", None)}
     assert exchanges(merged) and not any("competitor_id" in e for e in exchanges(merged))
+
+
+def test_events_are_told_apart_by_short_keys(spark):
+    event = lambda i: (f"{i:064x}", f"o{i}", datetime(2024, 1, 1))
+    events = spark.createDataFrame([event(i) for i in range(6)] * 2, "fingerprint string, observation_id string, observed_at timestamp")
+    fresh = K.new_events(events, events.filter("observation_id < 'o2'"))
+    assert sorted(r.fingerprint for r in fresh.collect()) == [event(i)[0] for i in range(2, 6)] and fresh.columns == events.columns
+    assert not any("fingerprint" in e for e in exchanges(fresh))
