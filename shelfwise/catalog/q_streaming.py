@@ -95,5 +95,6 @@ def stream_fold_counts(t: Tables) -> DataFrame:
     stream_tables.read = lambda name: lines if name == "lineitem" else t.read(name)
     obs = V.observations(stream_tables).withColumn("end_date", F.col("end_date").cast("string"))
     trust = V.sources(t).select("source_id", F.col("reliability_score").alias("reliability"))
-    out = J.run_to_table(J.canonical_stream(obs.join(trust, "source_id", "left").drop("confidence", "document_id"), fields), "fold")
+    buckets = max(200, t.part.count() // 500)  # an identity is a part; some hundred of them are kept together
+    out = J.run_to_table(J.canonical_stream(obs.join(trust, "source_id", "left").drop("confidence", "document_id"), fields, buckets=buckets), "fold")
     return out.groupBy("verdict").agg(F.count(F.lit(1)).alias("observations"), F.sum("changes").alias("changes"))

@@ -141,37 +141,57 @@ def stale_episodes(checks: DataFrame, *, stale_days: int = 3, late: str = LATE)
     return found.select("source_id", "kind", F.timestamp_micros("last_success").alias("last_success"), F.timestamp_micros("at").alias("at"))
 
 
-def canonical_stream(observations: DataFrame, fields: list[str], *, key_type: str = "bigint") -> DataFrame:
+def canonical_stream(observations: DataFrame, fields: list[str], *, key_type: str = "bigint", buckets: int | None = None) -> DataFrame:
     """The observation fold as keyed state: current values, last source and last verified time per identity.
 
     ``observations``: fold_key, observation_id, observed_at, source_id, reliability
     and the tracked ``fields`` (numbers and strings). Emits a verdict per observation.
+
+    A call of Spark for a group costs milliseconds, whatever its rows. With ``buckets``, identities are dealt
+    to so many groups, and the states of a group's identities are kept, read and written together; so a group
+    should hold some hundred identities. The number stays the same for the life of a checkpoint.
     """
     tracked = [*fields, "source_id", "reliability"]
+    alone = buckets is None
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # Histories are many and short, so rows are plain lists. Times are nanoseconds; NaN stands for none and, like it, is never newer.
-        fold = FoldState(len(fields), CONFLICT_RECENT_DAYS * 86_400_000_000_000)
+        folds, histories, out = {}, {}, []
+
+        def held(name):
+            if name not in folds:
+                folds[name] = FoldState(len(fields), CONFLICT_RECENT_DAYS * 86_400_000_000_000)
+            return folds[name]
+
         if state.exists:
-            values, source, reliability, verified = state.get
-            fold.values, fold.source, fold.reliability, fold.started = json.loads(values), json.loads(source), reliability, True
-            fold.verified = math.nan if verified == pd.NaT.value else verified
-        rows = []
+            for name, values, source, reliability, verified in [(key[0], *map(json.loads, state.get[:2]), *state.get[2:])] if alone else json.loads(state.get[0]):
+                fold = held(name)
+                fold.values, fold.source, fold.reliability, fold.started = values, source, reliability, True
+                fold.verified = math.nan if verified == pd.NaT.value else verified
         for part in batches:
             times = [math.nan if n == pd.NaT.value else n for n in pd.DatetimeIndex(part["observed_at"]).as_unit("ns").asi8.tolist()]
-            rows += zip(times, part["observation_id"].tolist(), zip(*([None if v != v else v for v in part[c].tolist()] for c in tracked)))
-        rows.sort(key=lambda r: (r[0] != r[0], 0 if r[0] != r[0] else r[0], r[1] is None, r[1] or ""))
-        out = []
-        for now, observation, (*new, source, trust) in rows:
-            verdict, changed, created = fold.step(fields, new, source, DEFAULT_RELIABILITY if trust is None else trust, now)
-            out.append((key[0], observation, verdict, len(changed) if verdict == "APPLY" else 0, created))
-        verified = pd.NaT.value if fold.verified != fold.verified else fold.verified
-        state.update((json.dumps(fold.values), json.dumps(fold.source), float(fold.reliability), verified))
+            names = [key[0]] * len(part) if alone else part["fold_key"].tolist()
+            for name, row in zip(names, zip(times, part["observation_id"].tolist(), zip(*([None if v != v else v for v in part[c].tolist()] for c in tracked)))):
+                histories.setdefault(name, []).append(row)
+        for name, rows in histories.items():
+            fold = held(name)
+            rows.sort(key=lambda r: (r[0] != r[0], 0 if r[0] != r[0] else r[0], r[1] is None, r[1] or ""))
+            for now, observation, (*new, source, trust) in rows:
+                verdict, changed, created = fold.step(fields, new, source, DEFAULT_RELIABILITY if trust is None else trust, now)
+                out.append((name, observation, verdict, len(changed) if verdict == "APPLY" else 0, created))
+        kept = [(name, fold.values, fold.source, float(fold.reliability), pd.NaT.value if fold.verified != fold.verified else fold.verified) for name, fold in folds.items()]
+        state.update((json.dumps(kept[0][1]), json.dumps(kept[0][2]), *kept[0][3:]) if alone else (json.dumps(kept),))
         yield pd.DataFrame(out, columns=["fold_key", "observation_id", "verdict", "changes", "created"])
 
-    return observations.groupBy("fold_key").applyInPandasWithState(
-        step, f"fold_key {key_type}, observation_id string, verdict string, changes int, created boolean",
-        "fields string, source string, reliability double, verified bigint", "append", GroupStateTimeout.NoTimeout)
+    verdicts = "observation_id string, verdict string, changes int, created boolean"
+    if alone:
+        return observations.groupBy("fold_key").applyInPandasWithState(
+            step, f"fold_key {key_type}, {verdicts}", "fields string, source string, reliability double, verified bigint", "append", GroupStateTimeout.NoTimeout)
+    # keys and sources as texts: whole numbers beside missing ones would come to Python as floats
+    texts = observations.withColumns({c: F.col(c).cast("string") for c in ("fold_key", "source_id")})
+    dealt = texts.withColumn("_bucket", F.pmod(F.xxhash64("fold_key"), F.lit(buckets)))
+    found = dealt.groupBy("_bucket").applyInPandasWithState(step, f"fold_key string, {verdicts}", "held string", "append", GroupStateTimeout.NoTimeout)
+    return found.withColumn("fold_key", F.col("fold_key").cast(key_type))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
