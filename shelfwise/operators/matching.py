@@ -328,6 +328,7 @@ def match_details(top: DataFrame, own: DataFrame, offers: DataFrame, *, as_of: A
     keep = [c for c in ("product_name", "competitor", "brand", "retailer", "retailer_channel_type", "pack_size", "promotion_type",
                         "start_date", "end_date", "pack_price", "regular_pack", "regular_unit", "discount", "last_verified_at")
             if c in offers.columns]
+    top = stage(top, "top")  # read twice below; the plans behind it are large
     shown = offers.filter(F.col("scope") == "*") if "scope" in offers.columns else offers
     needed = shown.join(top.select("promotion_id").distinct(), "promotion_id", "left_semi").select(
         "promotion_id", F.col("grams").alias("offer_grams"), *keep)

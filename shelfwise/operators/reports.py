@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DIGEST_LIMIT
 from ..functions.core import AsOf, count_if, days, exact_avg, instant, round_half_up
+from ..sources.staging import stage
 from .gates import source_health
 
 
@@ -152,9 +153,10 @@ def recent_by_category(live: DataFrame, *, as_of: AsOf) -> DataFrame:
 
 def executive_exposures(products: DataFrame, matches: DataFrame, *, limit: int = 10) -> DataFrame:
     """First products under pressure, each with its cheapest offer."""
-    worst = products.filter(F.col("undercuts") > 0).orderBy(F.col("largest_gap_pct").asc_nulls_last(), "own_id").limit(limit)
+    ranked = products.filter(F.col("undercuts") > 0).orderBy(F.col("largest_gap_pct").asc_nulls_last(), "own_id").limit(limit)
+    worst = stage(ranked.select("own_id", "name", "category", "undercuts", "largest_gap_pct"), "worst")  # so that no plan holds both sides whole
     first = matches.filter(F.col("position") == 1).select("own_id", "promotion_id", "unit", "gap_pct")
-    return worst.select("own_id", "name", "category", "undercuts", "largest_gap_pct").join(first, "own_id")
+    return worst.join(first, "own_id")
 
 
 def newest_actions(actions: DataFrame, promotions: DataFrame, *, limit: int = 30) -> DataFrame:
